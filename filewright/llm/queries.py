@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filewright.llm import simhash
+from filewright.llm import bpe, packing, simhash
 from filewright.session import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    light = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(light).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {"op2_packing": op2_packing, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
