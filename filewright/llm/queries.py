@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, packing, simhash
+from filewright.llm import bpe, embed_dedup, packing, simhash, topk
 from filewright.session import table
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -33,5 +37,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash, "op9_topk": op9_topk}
 ORACLES: dict[str, str] = {}
