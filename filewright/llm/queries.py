@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, embed_dedup, packing, simhash, topk
+from filewright.llm import bpe, embed_dedup, packing, quality, simhash, topk, warc
 from filewright.session import table
 
 
@@ -32,14 +32,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash, "op9_topk": op9_topk}
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk}
 ORACLES: dict[str, str] = {}
