@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, embed_dedup, packing, quality, simhash, topk, warc
+from filewright.llm import bpe, embed_dedup, packing, pii, quality, simhash, topk, warc
 from filewright.session import table
 
 
@@ -36,6 +36,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"n_{kind}" for kind in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -50,5 +55,5 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk}
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk}
 ORACLES: dict[str, str] = {}
