@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, embed_dedup, packing, pii, quality, simhash, topk, warc
+from filewright.llm import bpe, embed_dedup, html_extract, packing, pii, quality, simhash, topk, url_filter, warc
 from filewright.session import table
 
 
@@ -21,6 +21,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(light).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -55,5 +60,61 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk}
-ORACLES: dict[str, str] = {}
+#: Dated entries of the lists that op10 evaluates: policy, entry, action, day.
+URL_EVENTS = (
+    ("block", "cheap-pills.example.com", "add", "2024-02-01"),
+    ("block", "cheap-pills.example.com", "remove", "2024-06-01"),
+    ("block", "cheap-pills.example.com", "add", "2024-09-15"),
+    ("block", "spam-farm.example.org", "add", "2024-03-10"),
+    ("block", "example.net", "add", "2024-07-01"),
+    ("block", "example.net", "remove", "2024-08-01"),
+    ("allow", "tionsh.example.net", "add", "2024-07-10"),
+    ("allow", "tionsh.example.net/fr", "add", "2024-01-01"),
+    ("block", "blog.tionble.example.com/en", "add", "2024-04-01"),
+    ("block", "blog.tionble.example.com/en", "remove", "2024-11-01"),
+    ("block", "m.tiontion.example.com/de", "add", "2024-05-05"),
+    ("block", "www.ththen.example.com", "add", "2024-05-01"),
+    ("block", "www.ththen.example.com", "remove", "2024-05-01"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time, so it is derived from the id: an hour of the year 2024."""
+    hours = (F.col("page_id") * 37 % (366 * 24)).cast("int")
+    fetched = F.timestamp_add("HOUR", hours, F.lit("2024-01-01").cast("timestamp_ntz"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    events = spark.createDataFrame(list(URL_EVENTS), "policy string, entry string, action string, day string")
+    events = events.select("policy", "entry", "action", F.col("day").cast("timestamp_ntz").alias("at"))
+    return url_filter.evaluate(captures, events)
+
+
+_URL_VALUES = ", ".join(f"('{p}', '{e}', '{a}', TIMESTAMP '{d} 00:00:00')" for p, e, a, d in URL_EVENTS)
+OP10_SQL = f"""
+WITH events(policy, entry, action, moment) AS (VALUES {_URL_VALUES}),
+spans AS (SELECT policy, entry, action, moment AS since, lead(moment) OVER (PARTITION BY policy, entry ORDER BY moment, action) AS until FROM events),
+active AS (SELECT * FROM spans WHERE action = 'add' AND (until IS NULL OR until > since)),
+captures AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(page_id * 37 % (366 * 24) AS INTEGER) AS fetched_at,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/+$', '') AS path
+  FROM pages),
+hits AS (
+  SELECT c.page_id, a.policy, a.entry, a.since,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(a.entry) DESC, (a.policy = 'allow') DESC) AS pick,
+    count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM captures c JOIN active a ON a.since <= c.fetched_at AND (a.until IS NULL OR c.fetched_at < a.until)
+    AND (c.host = a.entry OR ends_with(c.host, '.' || a.entry) OR c.host || c.path = a.entry OR starts_with(c.host || c.path, a.entry || '/')))
+SELECT c.page_id, c.url, c.fetched_at, coalesce(h.policy = 'block', false) AS blocked, h.policy, h.entry, h.since, coalesce(h.n, 0) AS n_active
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.pick = 1
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op3_html": op3_html, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_url_filter": op10_url_filter}
+ORACLES: dict[str, str] = {"op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
