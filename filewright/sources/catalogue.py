@@ -17,7 +17,10 @@ def extension(name: Column) -> Column:
 
 
 def walk(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``(path, name, ext, bytes, mtime, content)`` of all files below a folder, in Spark's listing."""
+    """``(path, name, ext, bytes, mtime, content)`` of the files below a folder, in Spark's listing.
+
+    Spark's file sources pass over empty files, so those have to come from another listing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
