@@ -21,8 +21,13 @@ from filewright.llm.vectors import blocks, matrix, numbered, usable
 SCALE, K, EVERY = 64, 20, 20
 #: Rows of an indexed block and queries of a query block, on average: they bound a task's memory.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
-#: Impact levels of a query; the rows left to rescore when processing may stop, as a part of k.
-LEVELS, FEW = 10, 4
+#: Impact levels of a query as parts of its highest impact, in the order of processing; whether
+#: processing may stop is tried from CHECK_FROM on, once all but one row in REST are proved out.
+LEVELS, CHECK_FROM, REST = (0.07, 0.03, 0.0), 0.1, 8
+#: Segments of more than one row in DENSE are read as a range of a column, shorter ones as a list.
+DENSE = 24
+#: Scores are summed in single precision, which is exact for whole numbers below this.
+EXACT = 1 << 24
 
 
 class Index:
@@ -30,57 +35,71 @@ class Index:
 
     def __init__(self, rows: np.ndarray):
         self.rows, (self.n, self.dims) = rows, rows.shape
-        order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
+        order = np.argsort(rows, axis=0, kind="stable").T
         self.ids = order.reshape(-1)
-        self.values = np.take_along_axis(rows.T, order, axis=1).reshape(-1)
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
+        self.span = self.high - self.low
+        above = (rows - self.low).T  # per dimension, how far each row is above the least value
         # all lists as one ascending array, for one search over every dimension and level
-        self.step = int((self.high - self.low).max()) + 2
-        at = np.arange(self.dims)[:, None]
-        self.keys = (at * self.step + (self.values.reshape(self.dims, -1) - self.low[:, None])).reshape(-1)
+        self.step = int(self.span.max()) + 2
+        self.keys = (np.arange(self.dims)[:, None] * self.step + np.take_along_axis(above, order, axis=1)).reshape(-1)
+        self.above = np.ascontiguousarray(above, np.float32)
+        self.below = np.ascontiguousarray(self.span[:, None] - above, np.float32)
+        self.most, self.floats = np.abs(rows).max(axis=0), rows.astype(np.float64)
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products; in floating point where all sums are whole numbers below 2**53."""
+        if int(np.abs(query).astype(object) @ self.most.astype(object)) < 1 << 53:
+            return (self.floats[at] @ query.astype(np.float64)).astype(np.int64)
+        return self.rows[at] @ query
 
     def possible(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best; rows at ``own`` are none of the candidates."""
-        weight, span = np.abs(query), self.high - self.low
-        peak = int((weight * span).max(initial=0))
-        used = np.flatnonzero((weight > 0) & (span > 0))
-        if not len(used) or self.n - len(own) <= k * FEW:
+        weight = np.abs(query)
+        peaks = weight * self.span
+        used = np.flatnonzero(peaks > 0)
+        if not len(used) or self.n - len(own) <= 2 * k or peaks.sum() >= EXACT:
             return np.setdiff1d(np.arange(self.n), own)
-        levels = np.unique(np.ceil(peak * np.arange(LEVELS, -1, -1) / LEVELS).astype(np.int64))[::-1]
-        up = query[used] > 0
-        least = -(-levels[:, None] // weight[used][None, :])  # distance from the list's best end, by level
-        reach = np.minimum(least, span[used])
+        weight, peaks, up, span = weight[used], peaks[used], query[used] > 0, self.span[used]
+        levels = np.unique(np.ceil(int(peaks.max()) * np.array(LEVELS)).astype(np.int64))[::-1]
+        least = -(-levels[:, None] // weight)  # how far above a list's least value an impact of a level begins
+        met, reach = least <= span, np.minimum(least, span)
         rising = self.keys.searchsorted((used * self.step + reach).reshape(-1)).reshape(reach.shape)
-        falling = self.keys.searchsorted((used * self.step + span[used] - reach).reshape(-1), "right").reshape(reach.shape)
-        met = least <= span[used]
-        edge = np.where(up, np.where(met, rising, (used + 1) * self.n), np.where(met, falling, used * self.n))
+        falling = self.keys.searchsorted((used * self.step + span - reach).reshape(-1), "right").reshape(reach.shape)
         start = np.where(up, (used + 1) * self.n, used * self.n)
-        have, seen = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        left = np.ones(self.n, bool)
-        left[own] = False
-        for n, level in enumerate(levels):
-            now = edge[n]
-            a, b = np.minimum(start, now), np.maximum(start, now)
-            some = np.flatnonzero(b > a)
-            if len(some):
-                ids = np.concatenate([self.ids[x:y] for x, y in zip(a[some], b[some], strict=True)])
-                values = np.concatenate([self.values[x:y] for x, y in zip(a[some], b[some], strict=True)])
-                size = (b - a)[some]
-                zero = np.where(up, self.low[used], self.high[used])[some]
-                gain = np.repeat(query[used][some], size) * (values - np.repeat(zero, size))
-                have += np.bincount(ids, gain, self.n).astype(np.int64)
-                seen += np.bincount(ids, minlength=self.n)
-            start = now
-            if level == 0:
-                break
-            if n < LEVELS // 2:
+        edges = np.where(met, np.where(up, rising, falling), start)
+        have, seen = np.zeros(self.n, np.float32), np.zeros(self.n, np.int16)
+        before = np.full(len(used), np.iinfo(np.int64).max)
+        least_sum = int(query[used] @ np.where(up, self.low[used], self.high[used]))  # what every row has at least
+        least_sum += int(query @ self.low) - int(query[used] @ self.low[used])  # and has in lists of one value
+        for level, edge, reached in zip(levels.tolist(), edges, least, strict=True):
+            first, last = np.minimum(start, edge), np.maximum(start, edge)
+            some = np.flatnonzero(last > first)
+            for x, y, rise, w, d, low, high in zip(*(z[some].tolist() for z in (first, last, up, weight, used, reached, before)), strict=True):
+                values = self.above[d] if rise else self.below[d]
+                if (y - x) * DENSE > self.n:
+                    inside = values >= low if high > self.span[d] else (values >= low) & (values < high)
+                    have += values * np.float32(w) * inside
+                    seen += inside
+                else:  # a list holds each row once, so it is added in place
+                    ids = self.ids[x:y]
+                    have[ids] += values[ids] * np.float32(w)
+                    seen[ids] += 1
+            start, before = edge, reached
+            if level and level > CHECK_FROM * peaks.max():
                 continue
-            least_kth = np.partition(have[left], -k)[-k]
-            may = have + (len(used) - seen) * (level - 1) >= least_kth
-            if np.count_nonzero(may & left) <= k * FEW:
-                return np.flatnonzero(may & left)
-        least_kth = np.partition(have[left], -k)[-k]
-        return np.flatnonzero((have >= least_kth) & left)
+            have[own] = -np.inf
+            large = peaks >= level
+            rest = (np.count_nonzero(large) - seen.astype(np.int64)) * max(level - 1, 0) + (peaks[~large].sum() if level else 0)
+            # the k-th best whole score of the rows that lead so far is a bound for the k-th best of all
+            lead = np.argpartition(have, -2 * k)[-2 * k :]
+            lead = lead[have[lead] >= 0]
+            whole = self.scores(lead, query) - least_sum
+            kth = np.partition(whole, -k)[-k]
+            may = np.flatnonzero((have + rest >= kth) & (have >= 0))
+            if not level or len(may) * REST <= self.n:
+                return may
+        raise AssertionError("the last level is zero")
 
 
 def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
@@ -96,7 +115,7 @@ def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         at = np.searchsorted(uids, uid, sorter=by_uid)
         own = by_uid[at : at + 1] if at < len(uids) and uids[by_uid[at]] == uid else by_uid[:0]
         found = index.possible(query, k, own)
-        score = index.rows[found] @ query
+        score = index.scores(found, query)
         best = np.argsort(-score, kind="stable")[:k]  # rows are in order of vec_id: ties go to the smaller
         out[0].append(np.full(len(best), n))
         out[1].append(found[best])
