@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import small_batches, stash
+from filewright.llm.bpe import _byte_chars
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,13 +35,13 @@ POPULATION, GENERATIONS = 4, 6
 #: Bins filled less than this are opened again when shards meet.
 WELL_FILLED = 0.98
 #: Encoded words that a worker remembers. Longer words are encoded anew each time.
-MEMO_WORDS, MEMO_CHARS = 800_000, 64
+MEMO_WORDS, MEMO_CHARS = 1_200_000, 64
 
 
 # The letters, digits and white space of Latin-1 after lower-casing, in the pattern
 # by which vocabularies with word ends split text.
 _LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r\\x20\\x85\\xa0"
-LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
+LATIN = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 
 
 class Words(dict):
@@ -52,12 +54,16 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # the same model behind a plain split at blanks, for pieces that are normalised and split
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.chars = {b: c for c, b in _byte_chars().items()}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -65,21 +71,24 @@ class Words(dict):
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.ids(piece).tobytes()
-
-    def learn(self, unknown: list[str]) -> None:
+    def learn(self, unknown: list[str], local: dict[str, bytes]) -> None:
+        """Encode pieces that no document had before, into ``local`` and the worker's memory."""
         if len(self) + len(unknown) > MEMO_WORDS:
             self.clear()
         for at in range(0, len(unknown), 2000):
             some = unknown[at : at + 2000]
-            ids = self.ids(" ".join(some))
+            spelled = [p if p.isascii() and p.isprintable() else "".join(map(self.chars.__getitem__, p.encode())) for p in some]
+            ids = np.array(self.model.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):  # otherwise they are encoded one by one, as they are met
-                packed, last = ids.tobytes(), 0
-                for piece, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self[piece] = packed[last:end]
-                    last = end
+            if len(ends) != len(some):
+                local.update((p, self.ids(p).tobytes()) for p in some)
+                continue
+            packed, last = ids.tobytes(), 0
+            for piece, end in zip(some, (4 * ends).tolist(), strict=True):
+                local[piece] = packed[last:end]
+                last = end
+                if len(piece) <= MEMO_CHARS:
+                    self[piece] = local[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of whole texts, as the tokenizer gives them."""
@@ -90,8 +99,16 @@ class Words(dict):
                 split.append(None if any(x in text for x in self.special) else LATIN.findall(text.lower()))
             except UnicodeEncodeError:
                 split.append(None)
-        self.learn(list({p for x in split if x for p in x if p not in self and len(p) <= MEMO_CHARS}))
-        return [self.ids(text).tobytes() if x is None else b"".join(map(self.__getitem__, x)) for text, x in zip(texts, split, strict=True)]
+        # the worker's memory is large and slow to reach, so a batch looks each of its pieces up once
+        local, unknown, known = dict.fromkeys(chain.from_iterable(filter(None, split))), [], self.get
+        for piece in local:
+            found = known(piece)
+            if found is None:
+                unknown.append(piece)
+            else:
+                local[piece] = found
+        self.learn(unknown, local)
+        return [self.ids(text).tobytes() if x is None else b"".join(map(local.__getitem__, x)) for text, x in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
