@@ -278,7 +278,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         held: dict[str, dict] = {}
 
         def passed_on() -> pd.DataFrame:
-            out = pd.DataFrame({"host": list(held), "made": [json.dumps(x) for x in held.values()]})
+            out = pd.DataFrame({"host": list(held), "made": [json.dumps(x) for x in held.values()]}, dtype=object)
             held.clear()
             return out
 
@@ -288,10 +288,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 held[host] = _together([held[host], part]) if host in held else part
             if len(held) >= HELD_HOSTS:
                 yield passed_on()
-        yield passed_on()
+        if held:
+            yield passed_on()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame.host.iloc[0]], "made": [json.dumps(_together(map(json.loads, sorted(frame.made))))]})
+        return pd.DataFrame({"host": [frame.host.iloc[0]], "made": [json.dumps(_together(map(json.loads, sorted(frame.made))))]}, dtype=object)
 
     parts = stash(pages.select("host", "html").mapInPandas(fold, "host string, made string"), "html-wrappers")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("made"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(merge, "host string, made string")
