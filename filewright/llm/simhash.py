@@ -54,14 +54,14 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` of every row; a null or blank text has fingerprint 0."""
+    """``(uid, doc_id, fp)`` of every row; a null or blank text has fingerprint 0."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, words) for x in texts], dtype="int64")
 
-    return docs.select("doc_id", hashed(F.col("text").cast("binary")).alias("fp"))
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", hashed(F.col("text").cast("binary")).alias("fp"))
 
 
 def _segment(first: int, bits: int):
@@ -145,7 +145,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp, fingerprint, component_id)`` of every row of ``docs(doc_id, text, ...)``.
+    """``(uid, doc_id, fp, fingerprint, component_id)`` of every row of ``docs(doc_id, text, ...)``.
 
     component_id is the smallest doc_id reachable over links of at most three bits. Null and
     blank texts share fingerprint zero; repeated rows are kept; an empty table gives no rows;
@@ -156,10 +156,15 @@ def dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     nodes = stash(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     found = components(links(nodes.where("node is not null")), "simhash")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, "fp").select("uid", "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: its smallest doc_id, once."""
-    chosen = dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each component: its smallest doc_id, nulls last, and of equals the first.
+
+    Rows without a doc_id whose component has none either stand for their fingerprint. The frame
+    is read twice and must give its rows in the same order, as files do.
+    """
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
+    chosen = dedup(docs).groupBy(group).agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"))
+    return docs.withColumn("uid", F.monotonically_increasing_id()).join(chosen, "uid", "left_semi").select(*docs.columns)
