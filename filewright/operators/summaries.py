@@ -50,8 +50,9 @@ def find_text(rows: DataFrame, key: str, text: str, needle: str) -> DataFrame:
 
 def trigram_index(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(gram, key, tf)``: every three-character piece of the lower-case text."""
-    low = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    # characters first: a substring of a long text would be counted out from its start each time
+    three = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    grams = F.flatten(F.transform(F.array(F.split(F.lower(F.col(text)), "")), three))
     return rows.where(F.length(text) >= 3).select(key, F.explode(grams).alias("gram")).groupBy("gram", key).agg(F.count("*").alias("tf"))
 
 
