@@ -24,12 +24,14 @@ from filewright.llm._shared import small_batches
 
 # Unicode white space, and the pattern that byte-level vocabularies split text by.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""".replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+SPLIT = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""".replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
 #: Runs without white space, with the blank before them, and runs of white space: no match of
 #: SPLIT reaches across them.
 RUNS = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Encoded runs that a worker remembers. Longer runs are encoded anew each time.
-MEMO_RUNS, MEMO_CHARS = 800_000, 64
+#: More than any id.
+PAIR = 1 << 20
+#: Encoded runs and pieces that a worker remembers. Longer ones are encoded anew each time.
+MEMO_RUNS, MEMO_PIECES, MEMO_CHARS = 1_200_000, 600_000, 64
 
 
 def _byte_chars() -> dict[str, int]:
@@ -56,55 +58,57 @@ class Codec(dict):
             self.text[i] = token.encode()
         self.special = special
         self.byte_id = [vocab.get(c, -1) for c, _ in sorted(of.items(), key=lambda x: x[1])]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge: dict[int, tuple[int, int]] = {}  # a pair of ids as one number: rank, new id
         for rank, pair in enumerate(read["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merge.setdefault(vocab[a] * PAIR + vocab[b], (rank, vocab[a + b]))
         self.runs = re.compile(RUNS)
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def merged(self, piece: str) -> list[int]:
         """The ids of one piece."""
         ids = [i for i in map(self.byte_id.__getitem__, piece.encode("utf-8", "replace")) if i >= 0]
-        n, merge = len(ids), self.merge
-        heap = [(found[0], i) for i in range(n - 1) if (found := merge.get((ids[i], ids[i + 1])))]
+        n, known = len(ids), self.merge.get
+        heap = [(found[0], i) for i in range(n - 1) if (found := known(ids[i] * PAIR + ids[i + 1]))]
         if not heap:
             return ids
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             rank, i = heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n:
+            j, left = after[i], ids[i]
+            if left < 0 or j >= n:
                 continue  # stale: i was merged into its left neighbour, or became the last
-            found = merge.get((ids[i], ids[j]))
+            found = known(left * PAIR + ids[j])
             if not found or found[0] != rank:
                 continue  # stale: one of the two has changed
-            ids[i], ids[j] = found[1], -1
+            left = ids[i] = found[1]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merge.get((ids[i], ids[k])):
+                if found := known(left * PAIR + ids[k]):
                     heappush(heap, (found[0], i))
             h = before[i]
-            if h >= 0 and (found := merge.get((ids[h], ids[i]))):
+            if h >= 0 and (found := known(ids[h] * PAIR + left)):
                 heappush(heap, (found[0], h))
         return [i for i in ids if i >= 0]
 
+    def packed(self, piece: str) -> bytes:
+        """The packed ids of one piece, remembered."""
+        found = self.pieces.get(piece)
+        if found is None:
+            found = array("i", self.merged(piece)).tobytes()
+            if len(piece) <= MEMO_CHARS:
+                if len(self.pieces) >= MEMO_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
+
     def __missing__(self, run: str) -> bytes:
-        out = array("i")
-        for piece in self.split.findall(run):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.merged(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self.pieces) >= MEMO_RUNS // 4:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.extend(ids)
-        packed = out.tobytes()
+        packed = b"".join(map(self.packed, self.split.findall(run)))
         if len(run) <= MEMO_CHARS:
             if len(self) >= MEMO_RUNS:
                 self.clear()
@@ -176,7 +180,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     A null text is encoded as an empty one. Repeated rows, ties and null ids stay as rows; other
     columns are ignored; an empty table gives no rows. Memory follows the largest batch of texts.
     """
-    small_batches(docs.sparkSession, 64)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
