@@ -49,7 +49,7 @@ KEPT_CHARS = 100
 HELD_HOSTS, SALTS = 2000, 32
 #: Wrappers are broadcast up to this size; beyond it pages are joined with them.
 BROADCAST_BYTES = 8 << 20
-#: Pages of a host that must differ before its constant text counts as template.
+#: Different pages of a host that must hold a text before it counts as template.
 TEMPLATE_PAGES = 3
 
 
@@ -114,7 +114,8 @@ def parse(page: str) -> Node:
     return root
 
 
-# --- wrappers: [key, repeated, optional, text, children]; text: "" none, None a slot ---
+# --- wrappers: [key, repeated, optional, text, children, support]; text: "" none, None a slot;
+# support: the least TEMPLATE_PAGES hashes of different pages that hold the text ---
 
 
 def _text(node: Node) -> str:
@@ -126,18 +127,35 @@ def hash_text(text: str) -> str:
     return f"{zlib.crc32(text.encode('utf-8', 'replace')):08x}{len(text)}"
 
 
-def wrapper(node: Node) -> list:
-    """The wrapper of one page: neighbours with one key fold into a repeated group."""
+def _texts(node: Node, out: list[str]) -> list[str]:
+    out.append(_text(node))
+    for child in node.children:
+        if isinstance(child, Node):
+            _texts(child, out)
+    return out
+
+
+def _support(one: list[str], two: list[str]) -> list[str]:
+    return one if one == two else sorted({*one, *two})[:TEMPLATE_PAGES]
+
+
+def wrapper(node: Node, page: str | None = None) -> list:
+    """The wrapper of one page: neighbours with one key fold into a repeated group.
+
+    ``page`` stands for the page in the support; by default a hash of its text, so copies are one.
+    """
+    if page is None:
+        page = hash_text("\n".join(_texts(node, [])))
     children: list[list] = []
     for child in node.children:
         if isinstance(child, Node):
-            own = wrapper(child)
+            own = wrapper(child, page)
             if children and children[-1][0] == own[0]:
                 children[-1] = align(children[-1], own)
                 children[-1][1] = True
             else:
                 children.append(own)
-    return [node.key, False, False, _text(node), children]
+    return [node.key, False, False, _text(node), children, [page]]
 
 
 def align(one: list, two: list) -> list:
@@ -148,7 +166,7 @@ def align(one: list, two: list) -> list:
         children = [align(x, y) for x, y in zip(a, b, strict=True)]
     else:
         children = _merge(a, b)
-    return [one[0], one[1] or two[1], one[2] or two[2], text, children]
+    return [one[0], one[1] or two[1], one[2] or two[2], text, children, [] if text is None else _support(one[5], two[5])]
 
 
 def _merge(a: list[list], b: list[list]) -> list[list]:
@@ -180,7 +198,8 @@ def _merge(a: list[list], b: list[list]) -> list[list]:
 
 
 def _constants(made: list, path: str, out: set[tuple[str, str]]) -> None:
-    if made[3]:
+    """Texts that enough different pages hold and no page of the host has otherwise."""
+    if made[3] and len(made[5]) >= TEMPLATE_PAGES:
         out.add((path, made[3]))
     for child in made[4]:
         _constants(child, f"{path}/{child[0]}", out)
@@ -240,7 +259,7 @@ def main_text(page: str, made: dict | None) -> str:
             _blocks(node, set(), path, blocks)
             return _joined(blocks)
     constants: set[tuple[str, str]] = set()
-    if made and made["pages"] >= TEMPLATE_PAGES:
+    if made:
         _constants(made["tree"], "#root", constants)
     node, path = root, "#root"
     while True:  # go down while one element holds nearly all of the text

@@ -45,6 +45,20 @@ def test_wrappers_find_slots_groups_and_optional_parts():
     assert "Body 3" in text(page(3), made)
 
 
+def made_of(pages):
+    return html_extract._together([{"pages": 1, "tree": html_extract.wrapper(html_extract.parse(x))} for x in pages])
+
+
+def test_template_takes_several_different_pages():
+    copies = [page(1)] * 5
+    assert "Body 1" in text(page(1), made_of(copies)) and "Body 1" in text(page(1), made_of([*copies, page(2)]))
+    quote = "<blockquote>Said once</blockquote>"
+    pages = [page(n).replace("<p>Second", quote + "<p>Second") if n == 2 else page(n) for n in range(5)]
+    assert "Said once" in text(pages[2], made_of([pages[2], *pages]))
+    twice = [f"<body><div class=a>Site</div><div class=b>Long text {n} of the page</div></body>" for n in range(3)]
+    assert text(twice[1], made_of(twice)) == "Long text 1 of the page"
+
+
 def test_extract_over_odd_rows(spark, tmp_path, monkeypatch):
     rows = [(n, f"http://h{n % 2}.example/{n}", page(n), "t") for n in range(12)] + [(20, None, None, "t"), (21, "nonsense", "", "t"), (22, "http://h0.example/", page(1), "t"), (22, "http://h0.example/", page(1), "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
