@@ -3,8 +3,10 @@
 The pages of a host are aligned one after another into one wrapper, a tree-shaped regular
 expression without unions: elements that only some pages have become optional, neighbours of one
 kind become a repeated group, and text that differs between pages becomes a slot. What stays
-constant is template. A page's article is read where its markup names it, and otherwise in the
-part of the host's wrapper that holds most of the slots' text, without the template's text.
+constant is template. A page's article is read in the part of the host's wrapper that holds most
+of the slots' text, without the template's text; an element that the page's markup names as its
+article is taken for that part when it holds half of that text. Hosts with too few different pages
+to tell template from text are read by their markup alone.
 
 Partitions fold their pages into partial wrappers, which are merged per host, salted first, so a
 host may hold any share of the pages.
@@ -33,6 +35,8 @@ NOISE = frozenset(
     "ad ads adbox advert advertisement adverts advertising alert alerts announcement aside author banner bio breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies copyright disclaimer discussion disqus donate dropdown footer form gdpr header legal login masthead menu message modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar warning widget widgets".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names that make even an article element a reader's comment.
+COMMENTS = frozenset("comment commentlist comments replies reply".split())
 ARTICLES = frozenset("article content entry main post story".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -77,6 +81,7 @@ class Node:
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 self.noise = True
         self.noise |= self.tag not in ("article", "main", "body", "html") and any(x in NOISE for x in names)
+        self.noise |= self.tag == "article" and any(x in COMMENTS for x in names)
         self.main |= not self.noise and any(x in ARTICLES for x in names) and self.tag in ("div", "section", "td")
 
 
@@ -234,8 +239,10 @@ def _joined(blocks: list[list[str]]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _size(node: Node) -> int:
-    return sum(len(x.strip()) if isinstance(x, str) else _size(x) if isinstance(x, Node) and not x.noise else 0 for x in node.children)
+def _size(node: Node, constants: set[tuple[str, str]] = frozenset(), path: str = "") -> int:
+    """Characters of a part of a page that are not template; ``path`` leads to the part."""
+    own = 0 if constants and (path, _text(node)) in constants else sum(len(x.strip()) for x in node.children if isinstance(x, str))
+    return own + sum(_size(x, constants, f"{path}/{x.key}") for x in node.children if isinstance(x, Node) and not x.noise)
 
 
 def _mains(node: Node, path: str, out: list[tuple[Node, str]], tags: tuple[str, ...] | None) -> None:
@@ -247,28 +254,38 @@ def _mains(node: Node, path: str, out: list[tuple[Node, str]], tags: tuple[str,
                 _mains(child, f"{path}/{child.key}", out, tags)
 
 
-def main_text(page: str, made: dict | None) -> str:
-    """The article of one page; ``made`` is its host's wrapper and how many pages it aligns."""
-    root = parse(page)
+def _marked(root: Node, constants: set[tuple[str, str]]) -> tuple[Node, str] | None:
+    """The largest part that a page's markup names as its article."""
     for tags in (("article",), None):
         found: list[tuple[Node, str]] = []
         _mains(root, "#root", found, tags)
         if found:
-            node, path = max(found, key=lambda x: _size(x[0]))
-            blocks: list[list[str]] = []
-            _blocks(node, set(), path, blocks)
-            return _joined(blocks)
-    constants: set[tuple[str, str]] = set()
-    if made:
-        _constants(made["tree"], "#root", constants)
+            return max(found, key=lambda x: _size(x[0], constants, x[1]))
+    return None
+
+
+def _region(root: Node, constants: set[tuple[str, str]]) -> tuple[Node, str]:
+    """Down from the root while one element holds nearly all of the text that is not template."""
     node, path = root, "#root"
-    while True:  # go down while one element holds nearly all of the text
-        inner = [(x, _size(x)) for x in node.children if isinstance(x, Node) and not x.noise and x.tag != "p"]
+    while True:
+        inner = [(x, _size(x, constants, f"{path}/{x.key}")) for x in node.children if isinstance(x, Node) and not x.noise and x.tag != "p"]
         best = max(inner, key=lambda x: x[1], default=None)
-        if best is None or best[1] < 0.7 * max(1, _size(node)):
-            break
+        if best is None or best[1] < 0.7 * max(1, _size(node, constants, path)):
+            return node, path
         node, path = best[0], f"{path}/{best[0].key}"
-    blocks = []
+
+
+def main_text(page: str, made: dict | None) -> str:
+    """The article of one page; ``made`` is its host's wrapper and how many pages it aligns."""
+    root = parse(page)
+    constants: set[tuple[str, str]] = set()
+    if made:
+        _constants(made["tree"], "#root", constants)
+    chosen = _marked(root, constants)
+    if chosen and constants and _size(chosen[0], constants, chosen[1]) < 0.5 * _size(root, constants, "#root"):
+        chosen = None
+    node, path = chosen or _region(root, constants)
+    blocks: list[list[str]] = []
     _blocks(node, constants, path, blocks)
     return _joined(blocks)
 

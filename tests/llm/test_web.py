@@ -59,6 +59,17 @@ def test_template_takes_several_different_pages():
     assert text(twice[1], made_of(twice)) == "Long text 1 of the page"
 
 
+def test_article_nodes_of_readers_are_no_article():
+    assert text("<main><article class=comment><p>reader</p></article><p>the text of it</p></main>") == "the text of it"
+
+
+def test_wrappers_rule_where_markup_names_an_article():
+    notice = [f"<body><article><div class=x>Read our app</div><div class=t><p>Story {n} says {n * 3}</p></div></article></body>" for n in range(4)]
+    assert text(notice[2], made_of(notice)) == "Story 2 says 6"
+    teaser = [f"<body><div class=top>Site</div><article><p>Teaser</p></article><div class=t><p>Story {n} is long and says {n * 3} things</p></div></body>" for n in range(4)]
+    assert text(teaser[2], made_of(teaser)) == "Story 2 is long and says 6 things"
+
+
 def test_extract_over_odd_rows(spark, tmp_path, monkeypatch):
     rows = [(n, f"http://h{n % 2}.example/{n}", page(n), "t") for n in range(12)] + [(20, None, None, "t"), (21, "nonsense", "", "t"), (22, "http://h0.example/", page(1), "t"), (22, "http://h0.example/", page(1), "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
