@@ -75,16 +75,22 @@ def _matches(text: Column, kind: str, shape: str) -> Column:
     return F.flatten(F.transform(F.array(_parts(text, shape)), of))  # the one-element array binds the parts once
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number uid of every row, written once: another read might number otherwise."""
+    return stash(docs.withColumn("uid", F.monotonically_increasing_id()), "pii-rows")
+
+
+def occurrences(docs: DataFrame, numbered: bool = False) -> DataFrame:
     """``(uid, doc_id, kind, start, end, value, left, base)``: all matches and other tokens.
 
-    A row without any has one row of nulls, so that no document is lost. Other tokens have kind
-    token; those that overlap a base span are left out, as are matches that fail.
+    A row without any has one row of nulls, so that no document is lost. uid is a number of the row,
+    that of ``docs`` if it is ``numbered``. Other tokens have kind token; those that overlap a base span are left out, as are matches that fail.
     """
     text = F.coalesce("text", F.lit(""))
     found = F.flatten(F.array(*(F.when(text.contains(mark), _matches(text, kind, SHAPES[kind])).otherwise(F.array()) if mark else F.when(text.rlike("[0-9]"), _matches(text, kind, SHAPES.get(kind, TOKEN))).otherwise(F.array()) for kind, mark in (("email", "@"), ("ip", ""), ("card", ""), ("phone", "+"), ("token", "")))))
     # the number comes first: in one step with the explode it would number the exploded rows
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").select("uid", "doc_id", F.explode_outer(found).alias("x")).select("uid", "doc_id", "x.*")
+    uid = F.col("uid") if numbered else F.monotonically_increasing_id().alias("uid")
+    rows = docs.select(uid, "doc_id", "text").select("uid", "doc_id", F.explode_outer(found).alias("x")).select("uid", "doc_id", "x.*")
     rows = stash(rows, "pii-matches")
     before = Window.partitionBy("uid", "kind").orderBy("pos")
     end = F.sum(F.col("gap") + F.length("value")).over(before)
@@ -133,13 +139,13 @@ def discover(found: DataFrame) -> DataFrame:
     return new
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, numbered: bool = False) -> DataFrame:
     """``(uid, doc_id, kind, start, end, base)`` of every span, and a row of nulls without any.
 
     Starts count code points. A null text is empty; repeated rows are rows of their own; a null
     doc_id is kept; other columns are ignored; an empty table gives no rows.
     """
-    found = stash(occurrences(docs), "pii-occurrences")
+    found = stash(occurrences(docs, numbered), "pii-occurrences")
     known = discover(found).withColumnRenamed("kind", "found")
     told = found.join(known, "value", "left")
     kind = F.when(F.col("base"), F.col("kind")).when(F.col("kind") == "token", F.col("found"))
@@ -170,9 +176,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with every span replaced by its kind in angle brackets.
 
     Overlapping spans become one mark, of the first. A row without spans is returned as it is.
-    The frame is read twice and must give its rows in the same order, as files do.
     """
-    listed = spans(docs).where("kind is not null").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("stop"), "kind"))).alias("spans"))
+    numbered = _numbered(docs)
+    listed = spans(numbered, numbered=True).where("kind is not null").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("stop"), "kind"))).alias("spans"))
     end_before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda s: s["stop"])), F.lit(0))
 
     def piece(s: Column, i: Column) -> Column:
@@ -183,5 +189,4 @@ def redact(docs: DataFrame) -> DataFrame:
     last = F.array_max(F.transform("spans", lambda s: s["stop"]))
     tail = F.substring(F.col("text"), (last + 1).cast("int"), F.length("text"))
     redacted = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
-    numbered = docs.withColumn("uid", F.monotonically_increasing_id())
     return numbered.join(listed, "uid", "left").withColumn("text", F.when(F.col("spans").isNotNull(), redacted).otherwise(F.col("text"))).select(*docs.columns)

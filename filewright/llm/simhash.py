@@ -53,15 +53,16 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(uid, doc_id, fp)`` of every row; a null or blank text has fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, numbered: bool = False) -> DataFrame:
+    """``(uid, doc_id, fp)`` of every row, uid of ``docs`` if ``numbered``; a null or blank text has 0."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, words) for x in texts], dtype="int64")
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", hashed(F.col("text").cast("binary")).alias("fp"))
+    uid = F.col("uid") if numbered else F.monotonically_increasing_id().alias("uid")
+    return docs.select(uid, "doc_id", hashed(F.col("text").cast("binary")).alias("fp"))
 
 
 def _segment(first: int, bits: int):
@@ -144,7 +145,7 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(dense)
 
 
-def dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, words: int = SHINGLE_WORDS, numbered: bool = False) -> DataFrame:
     """``(uid, doc_id, fp, fingerprint, component_id)`` of every row of ``docs(doc_id, text, ...)``.
 
     component_id is the smallest doc_id reachable over links of at most three bits. Null and
@@ -152,7 +153,7 @@ def dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     other columns are ignored. A null doc_id is kept and never becomes a component's id, unless
     its component has no other.
     """
-    own = stash(fingerprints(docs, words), "simhash-fp")
+    own = stash(fingerprints(docs, words, numbered), "simhash-fp")
     nodes = stash(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     found = components(links(nodes.where("node is not null")), "simhash")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -162,9 +163,10 @@ def dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: its smallest doc_id, nulls last, and of equals the first.
 
-    Rows without a doc_id whose component has none either stand for their fingerprint. The frame
-    is read twice and must give its rows in the same order, as files do.
+    Rows without a doc_id whose component has none either stand for their fingerprint. Rows are
+    numbered in a written copy: another read of the frame might number them otherwise.
     """
+    rows = stash(docs.withColumn("uid", F.monotonically_increasing_id()), "simhash-rows")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-    chosen = dedup(docs).groupBy(group).agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"))
-    return docs.withColumn("uid", F.monotonically_increasing_id()).join(chosen, "uid", "left_semi").select(*docs.columns)
+    chosen = dedup(rows, numbered=True).groupBy(group).agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"))
+    return rows.join(chosen, "uid", "left_semi").select(*docs.columns)

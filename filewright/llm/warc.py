@@ -48,15 +48,29 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     the response and the others revisit it.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload"))
+    own = pages.select("page_id", "url", payload.alias("payload"))
     own = own.withColumn("payload_digest", digest(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    light = stash(own.select("row", "page_id", "payload_digest", "payload_bytes"), "warc-light")
-    first = light.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min_by(F.struct("row", "page_id"), F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = light.join(first, ["payload_digest", "payload_bytes"]).where(F.col("first.row") != F.col("row")).select("row", F.lit(True).alias("again"), F.col("first.page_id").alias("refers_to"))
-    revisits = stash(revisits, "warc-revisits")
-    if revisits.count() <= BROADCAST_ROWS:
-        revisits = F.broadcast(revisits)
-    return own.join(revisits, "row", "left").withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response")).drop("again")
+    # the pages are read again below, so rows are told apart by what they hold, not by their place
+    content, same = ["payload_digest", "payload_bytes"], F.struct("page_id", "url")
+    keyed = own.where(F.col("payload_bytes") >= min_bytes).groupBy("page_id", "url", *content).agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("page_id").isNull(), "page_id", "url")
+    first = keyed.groupBy(*content).agg(F.min_by(same, order).alias("first"), F.min_by("copies", order).alias("copies"), F.sum("copies").alias("n")).where("n > 1").drop("n")
+    first = stash(first, "warc-first")
+    known = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    told = own.join(known, content, "left").withColumn("again", F.coalesce(~same.eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull())
+    columns = ["page_id", "url", "payload", *content]
+
+    def made(rows: DataFrame) -> DataFrame:
+        refers_to = F.when(F.col("again"), F.col("first.page_id"))
+        return rows.select(*columns, refers_to.alias("refers_to"), F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"))
+
+    if first.where("copies > 1").isEmpty():
+        return made(told)
+    # of rows that are equal in all, one is the response and the others revisit it
+    twins = F.coalesce(~F.col("again") & (F.col("copies") > 1), F.lit(False))
+    one = told.where(twins).dropDuplicates(["page_id", "url", *content])
+    spread = one.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("again", F.col("at") > 1).drop("at")
+    return made(told.where(~twins).unionByName(spread))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
@@ -96,16 +110,17 @@ Derived = dict[str, Callable[[Column], Column]]
 
 
 def scanned(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, split, order, bytes)``: what stands between two magics, in the order of a file.
+    """``(file, split, order, bytes, sum)``: what stands between two magics, in the order of a file.
 
-    The files don't change, so the same frame has the same orders each time it is run.
+    Orders hold within one run of the frame: another may split the files otherwise. Bytes that are
+    needed again are found by their sum.
     """
     read = spark.read.option("lineSep", MAGIC).text(path)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"), F.col("value").cast("binary").alias("bytes"))
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"), F.col("value").cast("binary").alias("bytes"), F.sha2(F.col("value").cast("binary"), 256).alias("sum"))
 
 
 def chunks(read: DataFrame, derive: Derived) -> DataFrame:
-    """Every place where the magic stands: ``(file, split, order, start, size, next, head, length, ...)``.
+    """Every place where the magic stands: ``(file, split, order, sum, start, size, next, head, length, ...)``.
 
     next is the offset that follows the record, if the chunk starts with a record header. The
     columns of ``derive`` are made from the block of a chunk that holds a whole record, in the
@@ -120,7 +135,7 @@ def chunks(read: DataFrame, derive: Derived) -> DataFrame:
     whole = F.coalesce(F.col("span") == F.col("size"), F.lit(False))
     block = F.when(whole, F.substring(F.col("bytes"), F.octet_length("head") + len(BLANK) + 1, F.col("length").cast("int")))
     made = [make(block).alias(name) for name, make in derive.items()]
-    read = stash(read.select("file", "split", "order", "size", "head", "length", "span", whole.alias("whole"), *made), "warc-chunks")
+    read = stash(read.select("file", "split", "order", "sum", "size", "head", "length", "span", whole.alias("whole"), *made), "warc-chunks")
     # chunks tile a file, so their sizes give their offsets: sums of splits, then sums within one;
     # the first chunk of a file stands before its first magic, hence the offset of one magic
     by_split = read.groupBy("file", "split").agg(F.sum("size").alias("sum"))
@@ -191,16 +206,17 @@ def read(spark: SparkSession, path: str, derive: Derived | None = None) -> DataF
     whole = found.where("whole").join(reached, ["file", "start"], "left_semi").select("file", F.col("start").alias("offset"), *named, *derive)
 
     # a record with the magic in its payload spans several chunks; only those are gathered
-    light = found.select("file", "split", "order", "start", "whole", "head", "length").join(reached, ["file", "start"], "left")
+    light = found.select("file", "split", "sum", "start", "whole", "head", "length").join(reached, ["file", "start"], "left")
     own = F.when(F.col("real"), F.col("start"))
     carried = light.groupBy("file", "split").agg(F.max(own).alias("latest"))
     carried = carried.select("file", "split", F.max("latest").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     owner = F.coalesce(F.max(own).over(Window.partitionBy("file", "split").orderBy("start")), F.col("carried"))
-    owned = light.join(carried, ["file", "split"]).withColumn("offset", owner).where("offset is not null and not (coalesce(real, false) and whole)").select("file", "order", "start", "offset", "head", "length")
+    owned = light.join(carried, ["file", "split"]).withColumn("offset", owner).where("offset is not null and not (coalesce(real, false) and whole)").select("file", "sum", "start", "offset", "head", "length")
     owned = stash(owned, "warc-owned")
     if owned.isEmpty():
         return whole
-    parts = stash(owned.join(scan.select("order", "bytes"), "order"), "warc-parts")
+    again = scan.select("sum", "bytes").join(owned.select("sum").distinct(), "sum", "left_semi").dropDuplicates(["sum"])
+    parts = stash(owned.join(again, "sum"), "warc-parts")
     magic = F.lit(MAGIC).cast("binary")
     body = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, magic, x["bytes"]))
     gathered = parts.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("parts")).withColumn("body", body)

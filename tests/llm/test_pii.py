@@ -67,3 +67,23 @@ def test_plans_hold_no_python(spark):
     for made in (pii.report(frame), pii.redact(frame)):
         plan = made._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redaction_holds_when_a_second_read_deals_the_rows_otherwise(spark, tmp_path, monkeypatch):
+    rows = [(n, f"{'x' * n} user{n}@host.example") for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    real = pii.stash
+
+    def moving(df, label):  # the files are split otherwise from then on
+        done = real(df, label)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return done
+
+    monkeypatch.setattr(pii, "stash", moving)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = sorted(tuple(r) for r in pii.redact(spark.read.parquet(str(tmp_path / "docs"))).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(n, f"{'x' * n} <EMAIL>") for n in range(60)]

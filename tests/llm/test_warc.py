@@ -68,3 +68,23 @@ def test_small_payloads_are_never_revisits_and_cut_files_lose_only_their_tail(sp
     (tmp_path / "c" / "cut.warc").write_bytes(file.read_bytes()[:-10])
     assert warc.read(spark, str(tmp_path / "c")).count() == len(PAGES) - 1
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_records_hold_when_a_second_read_deals_the_pages_otherwise(spark, tmp_path, monkeypatch):
+    rows = [(n, f"http://h/{n}", f"<p>{n % 20}</p>" + "x" * n) for n in range(40)] + [(n + 100, f"http://h/{n}", f"<p>{n}</p>") for n in range(30) for _ in range(2)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(str(tmp_path / "pages"))
+    real = warc.stash
+
+    def moving(df, label):  # the files are split otherwise from then on
+        done = real(df, label)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return done
+
+    monkeypatch.setattr(warc, "stash", moving)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        kept = warc.records(spark.read.parquet(str(tmp_path / "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((tuple(r) for r in kept), key=str) == expected(rows)
