@@ -36,7 +36,7 @@ CONTEXT, WORDS = 80, (1, 2, 3)
 #: A pattern is confident with this many known instances at least, and this share of all its own.
 SUPPORT, PRECISION = 5, 0.8
 #: An instance is known when one minus the product of its patterns' doubts reaches this.
-CONFIDENCE, ROUNDS = 0.9, 2
+CONFIDENCE = 0.9
 
 
 def _digits(value: Column) -> Column:
@@ -123,7 +123,7 @@ def discover(found: DataFrame) -> DataFrame:
     # only patterns with enough seeds can ever start a chain, and only unseeded values can be found
     known = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
     new = None
-    for _ in range(ROUNDS):
+    while True:  # each round knows more values than the one before, so this ends
         told = edges.join(known, "value", "left")
         sizes = told.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
         scored = told.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("known")).where(F.col("known") >= SUPPORT)
@@ -134,9 +134,8 @@ def discover(found: DataFrame) -> DataFrame:
         best = stash(best, "pii-found")
         new = best if new is None else new.unionByName(best)
         if best.isEmpty():
-            break
+            return new
         known = known.unionByName(best)
-    return new
 
 
 def spans(docs: DataFrame, numbered: bool = False) -> DataFrame:

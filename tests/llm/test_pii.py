@@ -87,3 +87,11 @@ def test_redaction_holds_when_a_second_read_deals_the_rows_otherwise(spark, tmp_
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == [(n, f"{'x' * n} <EMAIL>") for n in range(60)]
+
+
+def test_chains_of_three_steps_are_followed_to_the_end(spark):
+    contexts, name = ("alpha beta gamma", "delta epsilon zeta", "eta theta iota"), lambda i: f"name{i}_at_host.example"
+    texts = [f"{contexts[0]} user{i}@host{i}.example.com" for i in range(100)]
+    texts += [f"{contexts[0]} {name(i)}" for i in range(20)] + [f"{contexts[1]} {name(i)}" for i in range(25)] + [f"{contexts[2]} {name(i)}" for i in range(20, 26)]
+    found = pii.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(tuple(r) for r in pii.discover(pii.stash(found, "chain")).collect()) == sorted((name(i), "email") for i in range(26))
