@@ -8,21 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold on its way to a Python worker. A batch of long
-#: texts stays in the tens of megabytes; the value bounds memory, it drops nothing.
-BATCH_ROWS = 256
+#: Rows and bytes that one Arrow batch may hold on its way to a Python worker; they bound memory
+#: and drop nothing. A single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is unset, as in tests, a folder of the driver's machine is used.
+    Only where that setting is unset and Spark runs on this machine alone, as in tests, a
+    temporary folder is used; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="filewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _local[context.applicationId]
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -34,10 +40,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, unless its user chose smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Bound the Arrow batches of this session in rows and bytes, unless its user chose smaller ones.
+
+    Plans are run after the operator has returned, so the bounds stay set in the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def _directed(edges: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Near copies by the exact Jaccard similarity of their five-word shingles.
+"""What SimHash leaves of near copies: texts of a given Jaccard similarity, found without a miss.
 
+The similarity of two texts is that of their sets of five-word shingles. SimHash finds most near
+copies, but fingerprints of texts that are just similar enough may differ in any number of bits.
 Two sets as similar as asked for share one of their first shingles in any order that both follow,
-so a text is looked up by a prefix of its shingles alone and no such pair is missed. Common
-shingles come last in that order. Each text is compared with that first text of its buckets that it
-meets most often; then only texts that are still in different components are compared, so a large
-group of near copies costs about as many comparisons as it has texts. Every link is verified on the whole sets.
+so the texts that SimHash left apart are looked up by a prefix of their shingles. Common shingles
+come last in that order. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ NUM, DEN = 4, 5
 #: Texts that say which shingles are common, and how many of those come last. Both only set the
 #: order of lookups: any order finds the same links.
 ORDER_TEXTS, COMMON = 5000, 20_000
+#: Hashes whose bits are summed at once, which bounds memory for very long texts.
+CHUNK = 1 << 16
 #: Rows to compare are broadcast up to this many, one number each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -41,6 +43,17 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(x), 42) for x in whole], np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed SimHash of unsigned 64-bit hashes: a bit is set if over half of them have it."""
+    if not len(hashes):
+        return 0
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        rows = np.ascontiguousarray(hashes[at : at + CHUNK], ">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _is_common(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     at = np.searchsorted(common, hashes)
     at[at == len(common)] = 0
@@ -58,17 +71,17 @@ def _listed(series: pd.Series, of) -> pd.Series:
     return pd.Series([of(shingles(x)).view(np.int64) for x in series], dtype=object)
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number, the digest of the shingles and their count, written once."""
+def shingled(docs: DataFrame, extra: list[str]) -> DataFrame:
+    """``(uid, text, *extra, digest, n, fp)``: a number of the row, and of its shingles the digest, count and SimHash."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("digest string, n long")
+    @F.pandas_udf("digest string, n long, fp long")
     def summed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(x) for x in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "n": [len(x) for x in sets]})
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.int64)})
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), *docs.columns)
-    return stash(numbered.withColumn("own", summed(F.col("text").cast("binary"))), "near-own").select("uid", *docs.columns, "own.*")
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "text", *extra)
+    return stash(numbered.withColumn("__own", summed(F.col("text").cast("binary"))), "near-own").select("uid", "text", *extra, "__own.*")
 
 
 def _common(own: DataFrame) -> np.ndarray:
@@ -107,15 +120,20 @@ def _may_be(x: str, y: str) -> str:
     return f"{sizes} and {NUM + DEN} * least(n{x} - pos{x}, n{y} - pos{y}) >= {NUM} * (n{x} + n{y})"
 
 
-def links(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect all similar pairs of those rows of ``own`` that are ``nodes``."""
+def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` that connect all similar pairs of those rows of ``own`` that are ``nodes``.
+
+    ``first`` holds pairs that SimHash has found. With them each text is compared with that first
+    text of its buckets that it meets most often; then only texts that are still in different
+    components are compared, so a large group costs about as many comparisons as it has texts.
+    """
     common = own.sparkSession.sparkContext.broadcast(_common(own))
 
     @F.pandas_udf("array<long>")
-    def first(x: pd.Series) -> pd.Series:
+    def ahead_of(x: pd.Series) -> pd.Series:
         return _listed(x, lambda s: prefix(s, common.value))
 
-    prefixes = stash(own.where("n > 0").select("uid", "n", first(F.col("text").cast("binary")).alias("first")), "near-prefixes")
+    prefixes = stash(own.where("n > 0").select("uid", "n", ahead_of(F.col("text").cast("binary")).alias("first")), "near-prefixes")
     prefixes = prefixes.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     # both sides of the join below read all columns of one exchange
     looked = prefixes.select("uid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "hash")).repartition("hash")
@@ -124,8 +142,9 @@ def links(own: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = stash(shared.selectExpr("hash", *(f"{x} as {x}_a" for x in ("uid", "n", "pos")), "uid_s", "n_s", "pos_s"), "near-shared")
 
     met = shared.where(f"uid_a <> uid_s and {_may_be('_a', '_s')}").groupBy("uid_a", "uid_s").count()
-    stars = _similar(met.groupBy(F.col("uid_a").alias("v")).agg(F.max_by("uid_s", F.struct("count", "uid_s")).alias("u")).select("u", "v"), own)
-    label = components(stars, "near-stars").withColumnRenamed("node", "uid_a")
+    stars = met.groupBy(F.col("uid_a").alias("v")).agg(F.max_by("uid_s", F.struct("count", "uid_s")).alias("u")).select("u", "v")
+    found = _similar(stars.unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), own)
+    label = components(found, "near-stars").withColumnRenamed("node", "uid_a")
     named = shared.drop("uid_s", "n_s", "pos_s").join(label, "uid_a", "left").withColumn("c_a", F.coalesce("component", "uid_a")).drop("component")
     named = stash(named, "near-named")
     apart = named.groupBy("hash").agg(F.min("c_a").alias("least"), F.max("c_a").alias("most")).where("least < most").select("hash")
@@ -136,18 +155,4 @@ def links(own: DataFrame, nodes: DataFrame) -> DataFrame:
     large = rest.select("hash", *(F.col(f"{x}_a").alias(f"{x}_b") for x in ("uid", "n", "pos", "c")))
     ahead = "(n_a < n_b or (n_a = n_b and uid_a < uid_b)) and c_a <> c_b"
     pairs = small.join(large, "hash").where(f"{ahead} and {_may_be('_a', '_b')}").select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).distinct()
-    return stars.unionByName(_similar(pairs, own))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs(doc_id, text, ...)`` for each component: its smallest doc_id, nulls last.
-
-    Components are over links of a similarity of 0.8 or more; texts with the same shingles are one,
-    as are null and blank ones. Of equal or missing doc_ids the first row is kept.
-    """
-    own = _own(docs)
-    nodes = stash(own.groupBy("digest").agg(F.min("uid").alias("node")), "near-nodes")
-    found = components(links(own, nodes), "near")
-    named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    chosen = own.select("uid", "doc_id", "digest").join(named, "digest").groupBy("component").agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"))
-    return own.join(chosen, "uid", "left_semi").select(*docs.columns)
+    return found.unionByName(_similar(pairs, own))

@@ -62,17 +62,23 @@ def test_any_order_of_lookups_finds_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "COMMON", 3)
     monkeypatch.setattr(near_copies, "ORDER_TEXTS", 20)
     docs = spark.createDataFrame(rows, COLUMNS)
-    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute(rows)[0]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == brute(rows)[0]
 
 
 def test_given_documents_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()) == brute(rows)[0]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()) == brute(rows)[0]
 
 
 def test_rows_without_an_id_and_empty_tables(spark):
     rows = [(None, "x y"), (2, "X  y"), (None, "z"), (None, "z"), (None, None), (5, " ")]
-    kept = near_copies.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "5", "None"]
-    assert near_copies.keep_one(spark.createDataFrame([], COLUMNS)).count() == 0
+    assert simhash.keep_one(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_clashing_columns_come_back_as_they_are(spark):
+    rows = [(1, "a b c d e f", 7, 8, "x"), (2, "a b c d e f", 7, 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid long, n long, `fp.x` string")
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [rows[0]]

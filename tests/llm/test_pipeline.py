@@ -5,11 +5,16 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from filewright.llm import quality, simhash
+from filewright.llm import quality
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = text.lower().encode().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
 def test_stages_take_effect_and_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before, kept = docs.columns, docs.count(), {}
@@ -23,16 +28,17 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     scored = quality.classify(source, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert sorted(r.doc_id for r in scored if r.score >= 0.3) == sorted(r.doc_id for r in kept["quality"])
-    # near duplicates: brute force over all pairs
-    fps = {r.doc_id: simhash.fingerprint(r.text.encode()) & (2**64 - 1) for r in kept["quality"]}
-    ids, label = sorted(fps), {i: i for i in fps}
+    # near duplicates: brute force over all pairs of sets of five-word shingles
+    sets = {r.doc_id: shingles(r.text) for r in kept["quality"]}
+    ids, label = sorted(sets), {i: i for i in sets}
+    linked = [(i, j) for i in ids for j in ids if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
     moved = True
     while moved:
         moved = False
-        for i in ids:
-            for j in ids:
-                if (fps[i] ^ fps[j]).bit_count() <= 3 and label[j] < label[i]:
-                    label[i], moved = label[j], True
+        for i, j in linked:
+            low = min(label[i], label[j])
+            moved |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
     assert sorted(set(label.values())) == sorted(r.doc_id for r in kept["near_duplicates"])
     # personal data: gone, and every other text is untouched
     texts = {r.doc_id: r.text for r in kept["near_duplicates"]}

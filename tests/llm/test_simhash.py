@@ -50,10 +50,42 @@ def test_components_match_brute_force_in_sparse_and_dense_buckets(spark, monkeyp
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
 
 
+@pytest.mark.parametrize(("bits", "n"), [(3, 1), (3, 10**9), (7, 1), (7, 10**7)])
+def test_any_tables_find_the_same_links(spark, monkeypatch, bits, n):
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(0, 2**63, 60)]
+    for size in range(9):
+        fps += [x ^ sum(1 << int(b) for b in rng.permutation(64)[:size]) for x in fps[:12]]
+    cut = simhash.segments(n, bits)
+    monkeypatch.setattr(simhash, "segments", lambda *_: cut)
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "node": np.arange(len(fps))}))
+    for most in (32, 0):  # joined buckets, and buckets dealt out as blocks
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
+        edges = [(r.u, r.v) for r in simhash.links(nodes, bits).collect()]
+        assert all((fps[u] ^ fps[v]).bit_count() <= bits for u, v in edges)
+        root = {}
+
+        def find(x, root=root):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for u, v in edges:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+        assert all(find(i) == find(j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= bits)
+
+
+def test_a_row_without_an_id_joins_its_neighbours(spark, monkeypatch):
+    found = {"a": 0b0000, "b": 0b0111, "c": 0b111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.selectExpr("monotonically_increasing_id() uid", "doc_id", "fp"))
+    docs = spark.createDataFrame([(5, found["a"]), (None, found["b"]), (2, found["c"])], "doc_id long, fp long")
+    assert sorted(r.component_id for r in simhash.dedup(docs).collect()) == [2, 2, 2]
+
+
 def test_whole_tables_nulls_ties_and_clashing_columns(spark):
     rows = [(1, "the quick brown fox jumps"), (2, "the quick brown fox jumps"), (2, "the quick brown fox jumps"), (3, None), (4, ""), (5, "  "), (6, "something else entirely here now"), (None, "lone text without an id at all")]
     docs = spark.createDataFrame([(*r, 9, 8) for r in rows], "doc_id long, text string, fp int, component int")
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.component_id if r.component_id is not None else 99) for r in simhash.dedup(docs).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (99, 99)]
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "3", "6", "None"]
     assert simhash.dedup(docs.limit(0)).count() == 0
