@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import near_copies, packing, pii, quality
+from filewright.llm import packing, pii, quality, simhash
 from filewright.llm._shared import stash
 from filewright.session import table
 
@@ -18,8 +18,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8), that with the smallest doc_id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies, that with the smallest doc_id.
+
+    SimHash over five-word shingles, links verified at a similarity of 0.8 or more.
+    """
+    return simhash.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
