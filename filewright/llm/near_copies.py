@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import components, small_batches, stash
@@ -71,14 +71,24 @@ def _listed(series: pd.Series, of) -> pd.Series:
     return pd.Series([of(shingles(x)).view(np.int64) for x in series], dtype=object)
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes of a set begin with each value of their leading bits, four to twelve to a value.
+
+    What two sets share is at most the sum of the smaller counts, which costs far less to know
+    than the sets.
+    """
+    bits = max(2, (len(hashes) // 6).bit_length())
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
 def shingled(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """``(uid, text, *extra, digest, n, fp)``: a number of the row, and of its shingles the digest, count and SimHash."""
+    """``(uid, text, *extra, digest, n, fp, spread)``: a number of the row, and what its shingles give."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("digest string, n long, fp long")
+    @F.pandas_udf("digest string, n long, fp long, spread array<int>")
     def summed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(x) for x in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.int64)})
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.int64), "spread": [spread(x) for x in sets]})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "text", *extra)
     return stash(numbered.withColumn("__own", summed(F.col("text").cast("binary"))), "near-own").select("uid", "text", *extra, "__own.*")
@@ -96,6 +106,13 @@ def _common(own: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["hash"] for r in rows], np.int64).view(np.uint64))
 
 
+def _as_short(one: str, other: str) -> Column:
+    """The counts ``one`` by as few leading bits as ``other`` has."""
+    step = F.greatest(F.lit(1), (F.size(one) / F.size(other)).cast("int"))
+    summed = lambda i: F.aggregate(F.slice(one, i * step + 1, step), F.lit(0), lambda t, x: t + x)
+    return F.when(step == 1, F.col(one)).otherwise(F.transform(F.sequence(F.lit(0), (F.size(one) / step).cast("int") - 1), summed))
+
+
 def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` of rows whose whole sets share NUM / DEN or more of what both hold."""
 
@@ -103,11 +120,20 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     def every(x: pd.Series) -> pd.Series:
         return _listed(x, lambda s: s)
 
+    def rows_of(some: DataFrame, *columns) -> DataFrame:
+        wanted = stash(some.select("u").union(some.select("v")).distinct().withColumnRenamed("u", "uid"), "near-wanted")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        return own.join(wanted, "uid", "left_semi").select("uid", *columns)
+
     pairs = stash(pairs, "near-pairs")
-    wanted = stash(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "uid"), "near-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = stash(own.select("uid", "text").join(wanted, "uid", "left_semi").select("uid", every(F.col("text").cast("binary")).alias("hashes")), "near-sets")
+    known = rows_of(pairs, "n", "spread")
+    one = known.select(F.col("uid").alias("u"), F.col("n").alias("na"), F.col("spread").alias("a"))
+    two = known.select(F.col("uid").alias("v"), F.col("n").alias("nb"), F.col("spread").alias("b"))
+    most = F.aggregate(F.zip_with(_as_short("a", "b"), _as_short("b", "a"), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    possible = pairs.join(one, "u").join(two, "v").where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb")))
+    pairs = stash(possible.select("u", "v"), "near-pairs")
+    sets = stash(rows_of(pairs, every(F.col("text").cast("binary")).alias("hashes")), "near-sets")
     one = sets.select(F.col("uid").alias("u"), F.col("hashes").alias("a"))
     two = sets.select(F.col("uid").alias("v"), F.col("hashes").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
