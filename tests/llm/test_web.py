@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 import pytest
 
 from filewright.llm import html_extract, queries, url_filter
@@ -7,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def text(page, made=None):
-    return html_extract.main_text(page, made)
+    return html_extract.main_text(page, made or html_extract.wrapper([page]))
 
 
 @pytest.mark.parametrize(
@@ -25,8 +29,6 @@ def text(page, made=None):
     ],
 )
 def test_main_text(page, want):
-    if "article class=comment" in page:
-        page = page.replace("<article class=comment>", "<div class=comment>").replace("</article>", "</div>")
     assert text(page) == want
 
 
@@ -34,19 +36,100 @@ def page(n, extra=""):
     return f"<body><div>Site name</div>{extra}<div><p>Body {n} of this page is {n * 7} words long, and says many things.</p><p>Second {n}</p></div><div>All rights</div></body>"
 
 
+def parts(made):
+    return {x.key: x for x in html_extract._preorder(html_extract.loads(made), html_extract._kids)}
+
+
 def test_wrappers_find_slots_groups_and_optional_parts():
-    made = None
-    for n in range(5):
-        part = {"pages": 1, "tree": html_extract.wrapper(html_extract.parse(page(n, "<table><tr><td>t</td></tr></table>" if n % 2 else "")))}
-        made = html_extract._together([made, part]) if made else part
-    body = made["tree"][4][0]
-    assert [x[0] for x in body[4]][0] == "div" and any(x[0] == "table" and x[2] for x in body[4])
-    assert any(x[4] and x[4][0][0] == "p" and x[4][0][1] and x[4][0][3] is None for x in body[4])
-    assert "Body 3" in text(page(3), made)
+    pages = [page(n, "<table><tr><td>t</td></tr></table>" if n % 2 else "") for n in range(5)]
+    pages[4] = pages[4].replace("</p></div><div>All", "</p><p>Third</p></div><div>All")
+    made = html_extract.wrapper(pages)
+    found = parts(made)
+    assert found["table"].optional and not found["body"].optional
+    assert found["p"].repeated and found["p"].text is None
+    assert html_extract.dumps(html_extract.loads(made)) == made
+    got = text(pages[3], made)
+    assert got == "Body 3 of this page is 21 words long, and says many things.\nSecond 3"
+
+
+def test_several_tags_in_a_row_are_one_repeated_group():
+    many = "".join(f"<h2>Head {n}</h2><p>Text {n}</p><p>More {n}</p>" for n in range(9))
+    pages = [f"<body>{many}</body>", "<body><h2>Other</h2><p>One</p></body>"]
+    found = parts(html_extract.wrapper(pages))
+    assert found["(h2 p)"].repeated and found["(h2 p)"].tag == "(" and [x.key for x in found["(h2 p)"].kids] == ["h2", "p"]
+    assert found["p"].repeated and [x.key for x in found["body"].kids] == ["(h2 p)"]
+    assert text(pages[0], html_extract.wrapper(pages)).count("\n") == 26
+
+
+def brute_common(a, b):
+    """The length of the longest common subsequence of labelled keys, by trying every subset."""
+    label = lambda keys: [(k, keys[:i].count(k)) for i, k in enumerate(keys)]
+    a, b = label(a), label(b)
+    for size in range(len(a), -1, -1):
+        for some in itertools.combinations(a, size):
+            it = iter(b)
+            if all(x in it for x in some):
+                return size
+    return 0
+
+
+def test_alignment_agrees_with_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("pqrs") for _ in range(rng.randrange(8))] for _ in range(2))
+        pairs = html_extract.common(a, b)
+        assert len(pairs) == brute_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert pairs == sorted(pairs) and sorted(j for _, j in pairs) == [j for _, j in pairs]
+
+
+def accepts(part, node):
+    """Whether a wrapper's part matches an element, by a naive matcher of its children's pattern."""
+    spelled = lambda x: "(" + "".join(map(spelled, x.kids)) + ")" + ("+" if x.repeated else "") if x.tag == "(" else f"(?:{letters[x.key]})" + ("+" if x.repeated else "")
+    letters = {}
+    for x in html_extract._preorder(part, html_extract._kids):
+        letters.setdefault(x.key, chr(0x4E00 + len(letters)))
+    pattern = "".join(f"(?:{spelled(x)})" + ("?" if x.optional else "") for x in part.kids)
+    kids = html_extract._elements(node)
+    if not re.fullmatch(pattern, "".join(letters.get(x.key, "!") for x in kids)):
+        return False
+    by_key = {x.key: x for x in html_extract._preorder(part, html_extract._kids)}
+    return all(accepts(by_key[x.key], x) for x in kids)
+
+
+def test_a_wrapper_matches_every_page_that_made_it():
+    rng = random.Random(9)
+    for _ in range(60):
+        pages = []
+        for _ in range(4):
+            kinds = [x for x in ("<h2>{}</h2>", "<p>{}</p>", "<hr>", "<ul><li>{}</li><li>b</li></ul>", "<table></table>") if rng.random() < 0.7]
+            pages.append("<body>" + "".join(x.format(rng.randrange(9)) * rng.randrange(1, 3) for x in kinds) + "</body>")
+        made = html_extract.loads(html_extract.wrapper(pages))
+        assert all(accepts(made, html_extract.parse(x)) for x in pages)
+
+
+def test_pages_without_names_are_read_by_their_slots():
+    def plain(n):
+        menu = "".join(f"<li><a href=/{n}{k}>Menu {k * n}</a></li>" for k in range(6))
+        return f"<body><div><ul>{menu}</ul></div><div>Buy thing {n}</div><div><h1>Title {n}</h1><div><p>{'Word ' * 30}{n}</p><div>Read our app</div><p>End {n}</p></div></div><div>Contact {n}</div></body>"
+
+    pages = [plain(n) for n in range(6)]
+    made = html_extract.wrapper(pages)
+    assert text(pages[4], made) == "Title 4\n" + "Word " * 30 + "4\nEnd 4"
+    assert text(pages[4], None) != html_extract.main_text(pages[4], None)
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 100_000 + "x" + "</div>" * 100_000
+    assert text(deep) == "x"
+    wide = "<body>" + "".join(f"<p>{n}</p>" for n in range(50_000))
+    assert text(wide).count("\n") == 49_999
+    kinds = "<body>" + "".join(f"<{'div' if n % 2 else 'p'} class={''.join(chr(97 + int(d)) for d in str(n))}>{n}</{'div' if n % 2 else 'p'}>" for n in range(50_000))
+    made = html_extract.wrapper([kinds, kinds])
+    assert len(made) < 10_000 and text(kinds, made).count("\n") == 49_999
 
 
 def made_of(pages):
-    return html_extract._together([{"pages": 1, "tree": html_extract.wrapper(html_extract.parse(x))} for x in pages])
+    return html_extract.wrapper(pages)
 
 
 def test_template_takes_several_different_pages():
