@@ -1,15 +1,20 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
-Rows are rotated to the principal axes of all vectors. A tile pair first accumulates the leading
-axes; Cauchy-Schwarz bounds the rest by the product of the suffix norms, and only pairs that can
-still reach the threshold get their whole cosine. Tiles are ranges of the first axis, so tile
-pairs too far apart on it are never formed. A tile pair returns link counts and a spanning
-forest of its links, never the links themselves.
+Rows are rotated to the principal axes of all vectors. A tile pair accumulates the products of the
+axes in steps, the leading axes first. After each step Cauchy-Schwarz bounds what is left by the
+product of the suffix norms, and pairs that cannot reach the threshold any more are dropped; only
+pairs that pass the last step get their cosine in the given axes. Tiles are ranges of the first
+axis, so tile pairs too far apart on it are never formed. A tile pair returns link counts and a
+spanning forest of its links, never the links themselves.
+
+Every row goes to each tile near its own, so the shuffle is rows times tiles; the tiles near one
+form a range of numbers, so the driver holds a few numbers a tile.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +23,9 @@ from filewright.llm._shared import components, small_batches, stash
 from filewright.llm.vectors import blocks, matrix, numbered, usable
 
 THRESHOLD = 0.9
-#: Distinct vectors of a tile on average, rows compared at once, and part of the axes that lead.
-TILE_ROWS, STRIP, LEADING = 8192, 512, 0.25
+#: Distinct vectors of a tile on average, rows compared at once, and the parts of the axes after
+#: which the bound is tried.
+TILE_ROWS, STRIP, STEPS = 8192, 512, (0.25, 0.5, 0.75, 1.0)
 #: Slack of the bound, which is computed in single precision.
 SLACK = 1e-4
 
@@ -55,26 +61,39 @@ def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _with_bound(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Leading coordinates and, as one more, the norm of the others."""
-    lead = unit @ axes[:, : max(1, round(LEADING * axes.shape[1]))]
-    rest = np.sqrt(np.maximum(0, 1 - (lead**2).sum(axis=1)))
-    return np.concatenate([lead, rest[:, None]], axis=1).astype(np.float32)
+class Rotated:
+    """Unit rows in the order of the principal axes, with the norms of what follows each step."""
+
+    def __init__(self, unit: np.ndarray, axes: np.ndarray):
+        self.rows = unit @ axes
+        self.cuts = sorted({max(1, round(x * axes.shape[1])) for x in STEPS})
+        left = np.maximum(0, 1 - np.cumsum(self.rows**2, axis=1))
+        self.suffix = [np.sqrt(left[:, c - 1]) for c in self.cuts]
+
+    def leading(self) -> np.ndarray:
+        """The coordinates of the first step and, as one more, the first suffix norm."""
+        return np.concatenate([self.rows[:, : self.cuts[0]], self.suffix[0][:, None]], axis=1).astype(np.float32)
+
+
+def _reaching(one: Rotated, two: Rotated, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that can reach the threshold after each further step of the axes."""
+    begin, total = 0, np.zeros(len(x))
+    for cut, su, sv in zip(one.cuts, one.suffix, two.suffix, strict=True):
+        total += np.einsum("nd,nd->n", one.rows[x, begin:cut], two.rows[y, begin:cut])
+        may = total + su[x] * sv[y] >= threshold - SLACK
+        x, y, total, begin = x[may], y[may], total[may], cut
+    return x, y
 
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float):
     """Strips of index pairs of unit rows of a and b whose cosine reaches the threshold."""
-    fa, fb = _with_bound(a, axes), _with_bound(b, axes).T.copy()
+    one, two = Rotated(a, axes), Rotated(b, axes)
+    fa, fb = one.leading(), two.leading().T.copy()
     for at in range(0, len(a), STRIP):
         may = fa[at : at + STRIP] @ fb >= threshold - SLACK
-        some = np.count_nonzero(may)
-        if some > 0.02 * may.size:
-            i, j = np.nonzero(may & (a[at : at + STRIP] @ b.T >= threshold))
-            yield i + at, j
-            continue
         i, j = np.nonzero(may)
-        for part in range(0, some, 1 << 16):
-            x, y = i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
+        for part in range(0, len(i), 1 << 16):
+            x, y = _reaching(one, two, i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)], threshold)
             reach = np.einsum("nd,nd->n", a[x], b[y]) >= threshold
             yield x[reach], y[reach]
 
@@ -111,23 +130,22 @@ def _compared(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     tiles = blocks(placed.count(), TILE_ROWS)
     cuts = placed.approxQuantile("p", [k / tiles for k in range(1, tiles)], 0.1 / tiles) if tiles > 1 else []
     # equal values of the first axis share a range, so every range is also dealt over slots
-    ranges = np.unique(cuts)
-    span = F.aggregate(F.array(*map(F.lit, ranges.tolist())), F.lit(0), lambda n, c: n + (c <= F.col("p")).cast("int")) if len(ranges) else F.lit(0)
-    placed = stash(placed.withColumn("range", span), "embed-placed")
-    sizes = {r["range"]: r for r in placed.groupBy("range").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).collect()}
-    named, tile = [], 0
-    for r in sorted(sizes):
-        slots = blocks(sizes[r]["n"], 2 * TILE_ROWS)
-        named.append((r, tile, slots))
-        tile += slots
-    of = {t: r for r, start, slots in named for t in range(start, start + slots)}
+    edges = classes.sparkSession.sparkContext.broadcast(np.unique(cuts))  # a number a tile
+
+    @F.pandas_udf("int")
+    def span(p: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges.value, p, "right"), dtype="int32")
+
+    placed = stash(placed.withColumn("range", span("p")), "embed-placed")
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).orderBy("range").collect()
+    slots = np.array([blocks(r["n"], 2 * TILE_ROWS) for r in ranges], int)
+    ends, low, high = np.cumsum(slots), np.array([r["low"] for r in ranges]), np.array([r["high"] for r in ranges])
     far = (2 - 2 * threshold) ** 0.5 + 1e-9  # unit vectors this far apart on one axis cannot reach it
-    near = {t: [u for u in of if sizes[of[u]]["low"] - sizes[of[t]]["high"] <= far and sizes[of[t]]["low"] - sizes[of[u]]["high"] <= far] for t in of}
-    spark = classes.sparkSession
-    plan = spark.createDataFrame([(r, slot, start + slot, near[start + slot]) for r, start, slots in named for slot in range(slots)], "range int, slot int, tile int, near array<int>")
-    slots = F.element_at(F.create_map(*(F.lit(x) for r, _, s in named for x in (r, s))), F.col("range"))
-    dealt = placed.withColumn("slot", F.pmod(F.xxhash64("class"), slots).cast("int")).join(F.broadcast(plan), ["range", "slot"])
-    met = dealt.select("tile", F.explode("near").alias("other"), "class", "copies", "unit")
+    first, last = np.searchsorted(high, low - far), np.searchsorted(low, high + far, "right") - 1
+    plan = [(r["range"], int(ends[k] - slots[k]), int(slots[k]), int(ends[first[k]] - slots[first[k]]), int(ends[last[k]]) - 1) for k, r in enumerate(ranges)]
+    known = F.broadcast(classes.sparkSession.createDataFrame(plan, "range int, start int, slots int, first int, last int"))  # a row a tile
+    tile = (F.col("start") + F.pmod(F.xxhash64("class"), F.col("slots"))).cast("int")
+    met = placed.join(known, "range").select(tile.alias("tile"), F.explode(F.sequence("first", "last")).alias("other"), "class", "copies", "unit")
     paired = met.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "class", "copies", "unit")
 
     def run(group: pa.Table) -> pa.Table:
@@ -140,20 +158,21 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row of ``vectors(vec_id, embedding)``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
-    nor do vectors of different lengths. Equal vectors become one class first, so a group of
+    nor do vectors of different lengths; any other finite vector takes part, however large or small. Equal vectors become one class first, so a group of
     copies costs one comparison. Repeated vec_ids are rows of their own; a null vec_id is kept
     and names a component only if it has no other; other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark, 10_000)
     rows = numbered(vectors, "embed-rows")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    good = rows.where(usable()).withColumn("norm", norm).where(F.col("norm") > 0)
-    unit = F.when(F.col("norm") < float("inf"), F.transform("embedding", lambda x: x / F.col("norm")))
-    classes = stash(
-        good.groupBy("embedding").agg(F.min("uid").alias("class"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("norm").alias("norm")).withColumn("unit", unit).where("unit is not null"),
-        "embed-classes",
-    )
+    # scaled by its largest component first, so that no square overflows or vanishes
+    most = F.array_max(F.transform("embedding", F.abs))
+    scaled = F.transform("embedding", lambda x: x / F.col("most"))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("scaled", lambda x: x / F.col("norm"))
+    good = rows.where(usable()).withColumn("most", most).where("most > 0")
+    distinct = good.groupBy("embedding").agg(F.min("uid").alias("class"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("most").alias("most"))
+    classes = stash(distinct.withColumn("scaled", scaled).withColumn("norm", norm).withColumn("unit", unit).drop("scaled", "norm", "most"), "embed-classes")
     found = [_compared(classes.where(F.col("dims") == d).select("class", "copies", "unit"), d, threshold) for (d,) in classes.select("dims").distinct().collect()]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -167,4 +186,4 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labelled = own.join(named, "component").select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     told = rows.join(labelled, "embedding", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return told.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return told.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

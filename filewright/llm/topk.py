@@ -10,6 +10,9 @@ not proved out is rescored exactly.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,14 +23,20 @@ from filewright.llm.vectors import blocks, matrix, numbered, usable
 
 SCALE, K, EVERY = 64, 20, 20
 #: Rows of an indexed block and queries of a query block, on average: they bound a task's memory.
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS = 8192, 8192
 #: Impact levels of a query as parts of its highest impact, in the order of processing; whether
 #: processing may stop is tried from CHECK_FROM on, once all but one row in REST are proved out.
-LEVELS, CHECK_FROM, REST = (0.07, 0.03, 0.0), 0.1, 8
+LEVELS, CHECK_FROM, REST = (0.4, 0.2, 0.1, 0.06, 0.03, 0.015, 0.0), 0.1, 8
 #: Segments of more than one row in DENSE are read as a range of a column, shorter ones as a list.
 DENSE = 24
 #: Scores are summed in single precision, which is exact for whole numbers below this.
 EXACT = 1 << 24
+#: Rows with a component of this size or more are in no posting list: they are rescored for every query.
+WIDE = 1 << 31
+LONG = 1 << 63
+#: Scores up to this size are ranked as decimals, larger ones by their digits as well.
+MOST = 10**37
+_TURNED = str.maketrans("0123456789", "9876543210")
 
 
 class Index:
@@ -49,9 +58,12 @@ class Index:
 
     def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products; in floating point where all sums are whole numbers below 2**53."""
-        if int(np.abs(query).astype(object) @ self.most.astype(object)) < 1 << 53:
+        most = int(np.abs(query).astype(object) @ self.most.astype(object))
+        if most < 1 << 53:
             return (self.floats[at] @ query.astype(np.float64)).astype(np.int64)
-        return self.rows[at] @ query
+        if most < LONG:
+            return self.rows[at] @ query
+        return self.rows[at].astype(object) @ query.astype(object)
 
     def possible(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best; rows at ``own`` are none of the candidates."""
@@ -102,42 +114,79 @@ class Index:
         raise AssertionError("the last level is zero")
 
 
-def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    schema = pa.schema([("uid", pa.int64()), ("query_id", queries.schema.field("vec_id").type), ("vec_id", rows.schema.field("vec_id").type), ("score", pa.int64()), ("row", pa.int64())])
+def whole(vectors: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers floor(scale * x) of rows, and which rows are wide; those are zero in the first.
+
+    >>> whole(np.array([[0.5, -0.01], [1e300, 0.0]]), 64)[0].tolist()
+    [[32, -1], [0, 0]]
+    """
+    with np.errstate(over="ignore"):
+        scaled = np.floor(vectors * float(scale))
+    wide = (np.abs(scaled) >= WIDE).any(axis=1)
+    return np.where(wide[:, None], 0, scaled).astype(np.int64), wide
+
+
+def big(vector: np.ndarray, scale: int) -> np.ndarray:
+    """One row as exact whole numbers of any size."""
+    return np.array([scale * int(x) if abs(x) >= 1 << 60 else math.floor(scale * x) for x in vector.tolist()], object)
+
+
+def digits(score: int) -> str:
+    """What orders scores beyond MOST as text.
+
+    >>> digits(5), digits(10**37 + 1) < digits(10**38), digits(-(10**37) - 1) > digits(-(10**38))
+    ('', True, True)
+    """
+    if abs(score) <= MOST:
+        return ""
+    text = f"{len(str(abs(score))):06d}{abs(score)}"
+    return text if score > 0 else text.translate(_TURNED)
+
+
+def _search(queries: pa.Table, rows: pa.Table, k: int, scale: int) -> pa.Table:
+    schema = pa.schema([("uid", pa.int64()), ("query_id", queries.schema.field("vec_id").type), ("vec_id", rows.schema.field("vec_id").type), ("score", pa.decimal128(38, 0)), ("digits", pa.string()), ("row", pa.int64())])
     if not len(queries) or not len(rows):
         return schema.empty_table()
     rows = rows.sort_by([("vec_id", "ascending"), ("uid", "ascending")])
-    index = Index(matrix(rows["v"], np.int64))
+    given, asked = matrix(rows["v"], np.float64), matrix(queries["v"], np.float64)
+    (values, wide), (wanted, far) = whole(given, scale), whole(asked, scale)
+    index, beyond = Index(values), {int(i): big(given[i], scale) for i in np.flatnonzero(wide)}
     uids = rows["uid"].to_numpy()
     by_uid = np.argsort(uids, kind="stable")
     out: list[list] = [[], [], []]
-    for n, (uid, query) in enumerate(zip(queries["uid"].to_numpy(), matrix(queries["v"], np.int64), strict=True)):
+    for n, (uid, query) in enumerate(zip(queries["uid"].to_numpy(), wanted, strict=True)):
         at = np.searchsorted(uids, uid, sorter=by_uid)
         own = by_uid[at : at + 1] if at < len(uids) and uids[by_uid[at]] == uid else by_uid[:0]
-        found = index.possible(query, k, own)
-        score = index.scores(found, query)
-        best = np.argsort(-score, kind="stable")[:k]  # rows are in order of vec_id: ties go to the smaller
+        if far[n] or beyond:
+            exact = big(asked[n], scale)
+            found = np.setdiff1d(np.arange(len(values)), own) if far[n] else np.union1d(np.setdiff1d(index.possible(query, k, np.union1d(own, np.flatnonzero(wide))), own), np.setdiff1d(np.flatnonzero(wide), own))
+            score = values[found].astype(object) @ exact if far[n] else index.scores(found, query).astype(object)
+            for place in np.flatnonzero(wide[found]):
+                score[place] = int(beyond[int(found[place])] @ exact)
+        else:
+            found = index.possible(query, k, own)
+            score = index.scores(found, query)
+        best = np.array(sorted(range(len(score)), key=lambda i: -score[i])[:k], int) if score.dtype == object else np.argsort(-score, kind="stable")[:k]
         out[0].append(np.full(len(best), n))
-        out[1].append(found[best])
-        out[2].append(score[best])
-    which, row, score = (np.concatenate(x) for x in out)
-    return pa.table([queries["uid"].take(which), queries["vec_id"].take(which), rows["vec_id"].take(row), pa.array(score), rows["uid"].take(row)], schema)
+        out[1].append(found[best])  # rows are in order of vec_id: ties go to the smaller
+        out[2] += map(int, score[best])
+    which, row = (np.concatenate(x) for x in out[:2])
+    score = pa.array([Decimal(min(max(x, -MOST), MOST)) for x in out[2]], pa.decimal128(38, 0))
+    beyond_most = pa.array(map(digits, out[2]), pa.string())
+    return pa.table([queries["uid"].take(which), queries["vec_id"].take(which), rows["vec_id"].take(row), score, beyond_most, rows["uid"].take(row)], schema)
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other rows of every query row.
 
     Queries are the rows whose vec_id is divisible by ``every``; components become
-    floor(scale * x). Null vectors, vectors with a null or non-finite component and vectors with
-    a component beyond 2**24 after scaling take no part, nor do rows of another length than the
-    query's. A null vec_id is a candidate, last among ties, and no query. Ties go to the smaller
-    vec_id; repeated rows are candidates of each other; other columns are ignored.
+    floor(scale * x). Null vectors and vectors with a null or non-finite component take no part, nor
+    do rows of another length than the query's. A null vec_id is a candidate, last among ties, and
+    no query. Ties go to the smaller vec_id; repeated rows are candidates of each other; other
+    columns are ignored. A score beyond the range of a long is returned as the end of that range.
     """
     small_batches(vectors.sparkSession, 10_000)
-    whole = numbered(vectors, "topk-rows").where(usable())
-    scaled = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x))
-    fits = F.forall("embedding", lambda x: F.abs(x) * scale < float(1 << 24))
-    rows = whole.where(fits).select("uid", "vec_id", "dims", scaled.alias("v"))
+    rows = numbered(vectors, "topk-rows").where(usable()).select("uid", "vec_id", "dims", F.col("embedding").alias("v"))
     asked = rows.where(F.col("vec_id") % every == 0)
     one = F.struct(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
     n, queries = rows.agg(one.alias("x")).select("x.*").first()
@@ -149,8 +198,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        return _search(queries, rows, k)
+        return _search(queries, rows, k, scale)
 
-    found = left.groupBy("dims", "b", "q").cogroup(right.groupBy("dims", "b", "q")).applyInArrow(run, f"uid long, query_id {kind}, vec_id {kind}, score long, row long")
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("dims", "b", "q").cogroup(right.groupBy("dims", "b", "q")).applyInArrow(run, f"uid long, query_id {kind}, vec_id {kind}, score decimal(38,0), digits string, row long")
+    as_long = F.least(F.greatest("score", F.lit(Decimal(-LONG))), F.lit(Decimal(LONG - 1))).cast("long")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), F.desc("digits"), F.asc_nulls_last("vec_id"), "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", as_long.alias("score"))

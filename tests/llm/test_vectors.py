@@ -97,3 +97,37 @@ def test_index_proves_rows_out_and_keeps_every_member():
         assert set(np.argsort(-score, kind="stable")[:20].tolist()) <= set(left.tolist())
     assert len(index.possible(rows[1], 20, np.array([1]))) <= 80
     assert set(index.possible(np.zeros(32, int), 20, np.array([1])).tolist()) == set(range(3000)) - {1}
+
+
+def test_large_components_take_part(spark):
+    rows = [(20, [300000.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [1e9, -1.0]), (40, [1e300, 0.0]), (60, [0.5, 0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(64 * x) if abs(x) > 1e17 else int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in topk.search(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    limit = 2**63
+    for q in (20, 40, 60):
+        score = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        assert [i for i, _ in got[q]] == sorted(score, key=lambda i: (-score[i], i))
+        assert [s for _, s in got[q]] == [max(-limit, min(limit - 1, score[i])) for i, _ in got[q]]
+
+
+def test_lengths_beyond_squares_link(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1.0, 1.0]), (3, [1e-300, 1e-300]), (4, [1.0, -1.0]), (None, [2.0, 2.0])]
+    got = embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 9, r.n_links, r.component_id, r.kept) for r in got) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (9, 3, 1, False)]
+    alone = embed_dedup.dedup(spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in alone] == [(None, 0, None, True)]
+
+
+def test_each_step_of_the_axes_keeps_what_can_reach():
+    rng = np.random.default_rng(8)
+    unit = near_copies(rng, 200, 20, 16).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    turned = embed_dedup.Rotated(unit, np.linalg.eigh(unit.T @ unit)[1][:, ::-1])
+    assert len(turned.cuts) == 4 and np.allclose(turned.suffix[-1], 0, atol=1e-6)
+    x, y = (z.ravel() for z in np.indices((200, 200)))
+    kept = set(zip(*(z.tolist() for z in embed_dedup._reaching(turned, turned, x, y, 0.9)), strict=True))
+    reach = {(i, j) for i, j in zip(*(z.tolist() for z in np.nonzero(unit @ unit.T >= 0.9)), strict=True)}
+    assert reach <= kept and len(kept) < len(reach) + 50
