@@ -48,6 +48,10 @@ class Codec(dict):
         super().__init__()
         with open(path, encoding="utf-8") as file:
             read = json.load(file)
+        split, model = read.get("pre_tokenizer") or {}, read["model"]
+        plain = read.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if not plain or model.get("ignore_merges") or model.get("end_of_word_suffix") or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in read["added_tokens"]):
+            raise ValueError(f"{path} is no byte-level vocabulary with the usual split and no normaliser")
         of = _byte_chars()
         vocab = read["model"]["vocab"]
         special = {x["content"]: x["id"] for x in read["added_tokens"]}

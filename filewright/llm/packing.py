@@ -9,6 +9,7 @@ filled bins of all shards meet in new shards, level by level.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -20,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import small_batches, stash
@@ -32,6 +33,8 @@ END_ID = 1
 SHARD_PIECES, ISLANDS, EPOCHS = 4096, 3, 2
 #: Packings that live on an island, and the generations of an epoch.
 POPULATION, GENERATIONS = 4, 6
+#: More shards of a level and bins of a shard than there can be; both only make numbers of bins.
+SHARDS_MOST, BINS_MOST = 1 << 34, 1 << 24
 #: Bins filled less than this are opened again when shards meet.
 WELL_FILLED = 0.98
 #: Encoded words that a worker remembers. Longer words are encoded anew each time.
@@ -41,12 +44,23 @@ MEMO_WORDS, MEMO_CHARS = 1_200_000, 64
 # The letters, digits and white space of Latin-1 after lower-casing, in the pattern
 # by which vocabularies with word ends split text.
 _LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r\\x20\\x85\\xa0"
+PLAIN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 LATIN = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 
 
 class Words(dict):
     """Maps a piece of lower-case Latin-1 text to its packed ids; other texts are encoded whole.
 
+    That holds for vocabulary files with the normaliser and split above; with any other file the
+    library encodes every text whole.
+
     The vocabulary marks the last token of every piece, so unknown pieces go through the
     tokenizer together and their ids are told apart by that mark.
     """
@@ -63,6 +77,8 @@ class Words(dict):
         # the same model behind a plain split at blanks, for pieces that are normalised and split
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        read = json.loads(self.tokenizer.to_str())
+        self.known = read["normalizer"] == PLAIN and read["pre_tokenizer"] == SPLIT and read["model"].get("end_of_word_suffix") == "</w>"
         self.chars = {b: c for c, b in _byte_chars().items()}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -96,7 +112,7 @@ class Words(dict):
         for text in texts:
             try:
                 text.encode("latin-1")
-                split.append(None if any(x in text for x in self.special) else LATIN.findall(text.lower()))
+                split.append(None if not self.known or any(x in text for x in self.special) else LATIN.findall(text.lower()))
             except UnicodeEncodeError:
                 split.append(None)
         # the worker's memory is large and slow to reach, so a batch looks each of its pieces up once
@@ -267,32 +283,31 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` with sequence_id and offset: pieces packed into few sequences of ``capacity``.
 
     Full pieces are sequences of their own. Takes ``(row, doc_id, piece, length, ...)`` with every
-    length in 1..capacity; a sequence's pieces lie gapless from offset 0. An empty table gives no
-    rows; ties are broken by row and piece.
+    length in 1..capacity; a sequence's pieces lie gapless from offset 0. Pieces of poorly filled
+    bins are dealt anew until that saves no more bins. An empty table gives no rows; ties are broken
+    by row and piece; columns named sequence_id, offset or number are replaced. Ids are level, shard
+    and bin in one number, and below zero for full pieces.
     """
-    cut = stash(cut, "packing-pieces")
+    cut = stash(cut.drop("sequence_id", "offset").withColumn("number", F.monotonically_increasing_id()), "packing-pieces")
     open_items = cut.where(F.col("length") < capacity).select("row", "piece", "length")
-    n, level, packed = open_items.count(), 0, []
+    loose = F.col("filled") < WELL_FILLED * capacity
+    n, level, packed, before, before_bins = open_items.count(), 0, [], None, None
     while n:
-        state = stash(_evolved(_dealt(open_items, n, level), capacity), "packing-level")
-        last = n <= SHARD_PIECES
-        loose = F.col("filled") < WELL_FILLED * capacity
-        settled = state if last else state.where(~loose)
-        name = F.concat_ws("/", F.lit(level), "shard", "bin")
-        packed.append(settled.select("row", "piece", "length", name.alias("name")))
-        if last:
+        sequence = (F.lit(level).cast("long") * SHARDS_MOST + F.col("shard")) * BINS_MOST + F.col("bin")
+        state = stash(_evolved(_dealt(open_items, n, level), capacity).withColumn("sequence_id", sequence), "packing-level")
+        bins, loose_bins, left = state.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(loose, F.col("sequence_id"))), F.count_if(loose)).first()
+        if before is not None and bins >= before_bins:
+            packed.append(before)
             break
-        open_items = state.where(loose).select("row", "piece", "length")
-        left = open_items.count()
-        if left > 0.9 * n:  # nothing packs well: settle all of them now
-            packed.append(state.where(loose).select("row", "piece", "length", name.alias("name")))
+        if n <= SHARD_PIECES or not left:
+            packed.append(state)
             break
-        n, level = left, level + 1
-    full = cut.where(F.col("length") >= capacity).select("row", "piece", "length", F.concat_ws("/", F.lit("full"), "row", "piece").alias("name"))
+        packed.append(state.where(~loose))
+        before, before_bins = state.where(loose), loose_bins
+        open_items, n, level = before.select("row", "piece", "length"), left, level + 1
+    full = cut.where(F.col("length") >= capacity).select("row", "piece", "length", (-1 - F.col("number")).alias("sequence_id"))
     for more in packed:
-        full = full.unionByName(more)
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("name").orderBy("row", "piece")
-    placed = full.select("row", "piece", F.xxhash64("name").alias("sequence_id"), (F.sum("length").over(inside) - F.col("length")).alias("offset"))
-    return cut.join(placed, ["row", "piece"]).drop("row")
+        full = full.unionByName(more.select("row", "piece", "length", "sequence_id"))
+    inside = Window.partitionBy("sequence_id").orderBy("row", "piece")
+    placed = full.select("row", "piece", "sequence_id", (F.sum("length").over(inside) - F.col("length")).alias("offset"))
+    return cut.join(placed, ["row", "piece"]).drop("row", "number")

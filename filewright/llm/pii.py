@@ -27,12 +27,18 @@ SHAPES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: An identifier-like token: at least five characters between delimiters, one of them a digit.
+#: An identifier-like token: at least five characters between delimiters, with a digit, an underscore
+#: or a dot between letters among them; or a number written in groups, with blanks or brackets.
 _DELIMITERS = r"\s\x01\x22'<>(),;=|\[\]{}"
-TOKEN = rf"(?<![^{_DELIMITERS}])(?=[^{_DELIMITERS}0-9]*+[0-9])[^{_DELIMITERS}]{{5,}}+"
+_GROUPS = r"(?:\([0-9]{2,}+\)|[0-9]{2,}+)(?:[\x20.-]{1,2}+(?:\([0-9]{2,}+\)|[0-9]{2,}+))++"
+_HINT = rf"(?=[^{_DELIMITERS}0-9_]*+[0-9_]|[^{_DELIMITERS}]*?[A-Za-z]\.[A-Za-z])"
+TOKEN = rf"(?<![^{_DELIMITERS}])(?:{_GROUPS}(?![^{_DELIMITERS}.])|{_HINT}[^{_DELIMITERS}]{{5,}}+)"
+LIKE_TOKEN = r"[0-9_]|[A-Za-z]\.[A-Za-z]"
 
-#: Characters of left context that are looked at, and words of a pattern.
+#: A pattern is the last words, so many of them, within so many characters before an occurrence.
 CONTEXT, WORDS = 80, (1, 2, 3)
+#: Characters of the blocks out of which a redacted text is put together.
+BLOCK = 4096
 #: A pattern is confident with this many known instances at least, and this share of all its own.
 SUPPORT, PRECISION = 5, 0.8
 #: An instance is known when one minus the product of its patterns' doubts reaches this.
@@ -75,11 +81,6 @@ def _matches(text: Column, kind: str, shape: str) -> Column:
     return F.flatten(F.transform(F.array(_parts(text, shape)), of))  # the one-element array binds the parts once
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number uid of every row, written once: another read might number otherwise."""
-    return stash(docs.withColumn("uid", F.monotonically_increasing_id()), "pii-rows")
-
-
 def occurrences(docs: DataFrame, numbered: bool = False) -> DataFrame:
     """``(uid, doc_id, kind, start, end, value, left, base)``: all matches and other tokens.
 
@@ -87,7 +88,9 @@ def occurrences(docs: DataFrame, numbered: bool = False) -> DataFrame:
     that of ``docs`` if it is ``numbered``. Other tokens have kind token; those that overlap a base span are left out, as are matches that fail.
     """
     text = F.coalesce("text", F.lit(""))
-    found = F.flatten(F.array(*(F.when(text.contains(mark), _matches(text, kind, SHAPES[kind])).otherwise(F.array()) if mark else F.when(text.rlike("[0-9]"), _matches(text, kind, SHAPES.get(kind, TOKEN))).otherwise(F.array()) for kind, mark in (("email", "@"), ("ip", ""), ("card", ""), ("phone", "+"), ("token", "")))))
+    marks = {"email": text.contains("@"), "phone": text.contains("+"), "token": text.rlike(LIKE_TOKEN)}
+    each = (F.when(marks.get(kind, text.rlike("[0-9]")), _matches(text, kind, SHAPES.get(kind, TOKEN))).otherwise(F.array()) for kind in (*KINDS, "token"))
+    found = F.flatten(F.array(*each))
     # the number comes first: in one step with the explode it would number the exploded rows
     uid = F.col("uid") if numbered else F.monotonically_increasing_id().alias("uid")
     rows = docs.select(uid, "doc_id", "text").select("uid", "doc_id", F.explode_outer(found).alias("x")).select("uid", "doc_id", "x.*")
@@ -99,9 +102,12 @@ def occurrences(docs: DataFrame, numbered: bool = False) -> DataFrame:
     for kind in KINDS:
         passes = F.when(F.col("kind") == kind, valid(kind, F.col("value"))).otherwise(passes)
     placed = placed.withColumn("base", F.coalesce(passes, F.lit(False)))
-    by_start = Window.partitionBy("uid").orderBy("start", "end")
-    reach = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    # both frames only grow, so a document's matches cost no more than their sorting
+    order = ("start", "end", "kind", "pos")
+    ahead_of = Window.partitionBy("uid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("uid").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(ahead_of)
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(behind)
     clear = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
     # a token that starts where a base span does is caught by the second test or by the tie in order
     kept = placed.withColumn("clear", clear)
@@ -171,21 +177,31 @@ def report(docs: DataFrame) -> DataFrame:
     return by_row.drop("uid")
 
 
+def _between(start: Column, stop: Column) -> Column:
+    """The text from ``start`` to ``stop``, out of its blocks: a place far into a text is slow to find."""
+    first = F.floor(start / BLOCK).cast("int")
+    blocks = F.slice("blocks", first + 1, F.floor(stop / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(blocks, ""), (start - first * BLOCK + 1).cast("int"), (stop - start).cast("int"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with every span replaced by its kind in angle brackets.
 
-    Overlapping spans become one mark, of the first. A row without spans is returned as it is.
+    Overlapping spans become one mark, of the first. A row without spans is returned as it is, a
+    null text as null; repeated rows stay, an empty table gives no rows, and columns of any name
+    are returned as they are.
     """
-    numbered = _numbered(docs)
-    listed = spans(numbered, numbered=True).where("kind is not null").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("stop"), "kind"))).alias("spans"))
-    end_before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda s: s["stop"])), F.lit(0))
-
-    def piece(s: Column, i: Column) -> Column:
-        before = end_before(i)
-        gap = F.substring(F.col("text"), (before + 1).cast("int"), F.greatest(s["start"] - before, F.lit(0)).cast("int"))
-        return F.when(s["start"] >= before, F.concat(gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-
-    last = F.array_max(F.transform("spans", lambda s: s["stop"]))
-    tail = F.substring(F.col("text"), (last + 1).cast("int"), F.length("text"))
-    redacted = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
-    return numbered.join(listed, "uid", "left").withColumn("text", F.when(F.col("spans").isNotNull(), redacted).otherwise(F.col("text"))).select(*docs.columns)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", others), "pii-rows")
+    found = spans(rows.select("uid", "doc_id", "text"), numbered=True).where("kind is not null")
+    before = F.max("end").over(Window.partitionBy("uid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.select("uid", "start", "end", "kind", F.coalesce(before, F.lit(0)).alias("before"))
+    one = F.struct("start", "before", "kind")
+    listed = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("before"), one))).alias("spans"), F.max("end").alias("last"))
+    length = F.length("text").cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(length / BLOCK).cast("int")), lambda i: F.substring(F.col("text"), i * BLOCK + 1, F.lit(BLOCK)))
+    piece = lambda s: F.concat(_between(s["before"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+    marked = F.concat(F.array_join(F.transform("spans", piece), ""), _between(F.col("last"), length))
+    told = rows.join(listed, "uid", "left").withColumn("blocks", F.when(F.col("spans").isNotNull(), blocks))
+    redacted = F.when(F.col("spans").isNotNull(), marked).otherwise(F.col("text")).alias("text")
+    return told.select(*(redacted if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

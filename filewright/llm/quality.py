@@ -161,11 +161,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fit on at most SAMPLE_ROWS rows that are not held out, the first in the order of a hash.
 
-    Each row gives up to EXCERPTS evenly spaced excerpts of one chunk. Rows with a null label and
-    labels of no document are passed over; with no labels at all the network scores one half.
+    Each row gives up to EXCERPTS evenly spaced excerpts of one chunk. Rows with a null label, ids
+    with both labels and labels of no document are passed over; with no labels at all the network
+    scores one half.
     """
     size = CHUNK * UNIT * STEP
-    chosen = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     bounded = F.broadcast(chosen)  # SAMPLE_ROWS rows of two numbers
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.octet_length("data")
@@ -179,7 +180,8 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with score double: the probability of quality 1 of every whole text.
 
     A null or empty text is scored as one chunk of padding. No other column is looked at; all of
-    them are kept, so ``docs`` must have none named score.
+    them are kept, but one named score is replaced. Repeated rows and null ids stay as rows, and an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -191,6 +193,13 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
+    """``docs`` with held_out, score and predicted; columns of these names are replaced."""
     scored = score(docs, train(docs, labels))
     return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text the classifier accepts, with their columns as they are."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+    scored = score(whole, train(docs, labels)).where(F.col("score") >= threshold)
+    return scored.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

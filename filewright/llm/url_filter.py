@@ -33,10 +33,13 @@ def intervals(events: DataFrame) -> DataFrame:
     """``(policy, key, since, until)`` of ``events(policy, entry, action, at)``.
 
     An add holds until the entry's next event of the same policy, a remove ends it; of events at
-    the same moment a remove counts last. until is null while an entry is active. Entries are
-    lower-cased and lose a final slash or dot; null or blank ones and those without a date drop out.
+    the same moment a remove counts last. until is null while an entry is active. The host of an
+    entry is lower-cased, its path is not; both lose a final slash or dot. Null or blank entries
+    and those without a date drop out.
     """
-    key = F.regexp_replace(F.lower(F.trim("entry")), r"[./]+$", "")
+    entry = F.trim("entry")
+    domain = F.rtrim(F.lower(F.substring_index(entry, "/", 1)), F.lit("."))
+    key = F.concat(domain, F.rtrim(F.regexp_replace(F.regexp_extract(entry, "(/.*)$", 1), "/+", "/"), F.lit("/")))
     clean = events.select("policy", key.alias("key"), "action", F.col("at").alias("since")).where("key != '' and since is not null and policy in ('block', 'allow')").distinct()
     later = Window.partitionBy("policy", "key").orderBy("since", "action")
     return clean.withColumn("until", F.lead("since").over(later)).where("action = 'add' and (until is null or until > since)").drop("action")
@@ -55,17 +58,22 @@ def evaluate(captures: DataFrame, events: DataFrame, fetched: str = "fetched_at"
 
     Of the entries active at the fetch the longest decides, and an allow before a block of the
     same length; n_active counts them. A capture without a host or a date matches nothing and is
-    not blocked; repeated captures stay; other columns are kept.
+    not blocked; repeated captures stay, an empty table gives no rows; other columns are kept, those
+    of the five names above are replaced.
     """
+    told = ("blocked", "policy", "entry", "since", "n_active")
+    kept = [c for c in captures.columns if c not in told]
+    captures = captures.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("url").alias("url"), F.col(f"`{fetched}`").alias("at"))
     active = stash(intervals(events), "url-intervals")
     if active.count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     # one URL fetched at one moment is looked up once, however many captures it has
-    asked = captures.select(F.col("url").alias("__url"), F.col(fetched).alias("__at")).where("__url is not null and __at is not null").distinct()
+    asked = captures.select(F.col("url").alias("__url"), F.col("at").alias("__at")).where("__url is not null and __at is not null").distinct()
     probes = asked.select("__url", "__at", F.explode(F.array_distinct(keys(F.col("__url")))).alias("key"))
     held = (F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until")))
     rank = F.struct(F.length("key"), F.col("policy") == "allow", "key")
     best = F.max_by(F.struct("policy", F.col("key").alias("entry"), "since"), rank).alias("best")
     verdicts = probes.join(active, "key").where(held).groupBy("__url", "__at").agg(best, F.count("*").alias("n_active")).select("__url", "__at", "best.*", "n_active")
-    joined = captures.join(verdicts, (F.col("url") == F.col("__url")) & (F.col(fetched) == F.col("__at")), "left")
-    return joined.select(*(captures[c] for c in captures.columns), F.coalesce(F.col("policy") == "block", F.lit(False)).alias("blocked"), "policy", "entry", "since", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"))
+    joined = captures.join(verdicts, (F.col("url") == F.col("__url")) & (F.col("at") == F.col("__at")), "left")
+    columns = (F.col(f"row.`{c}`") for c in kept)
+    return joined.select(*columns, F.coalesce(F.col("policy") == "block", F.lit(False)).alias("blocked"), "policy", "entry", "since", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"))

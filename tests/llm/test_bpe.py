@@ -46,3 +46,9 @@ def test_query_and_operators_over_odd_rows(spark, tmp_path, library):
     back = bpe.decode(bpe.encode(docs, PATH), PATH)
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_other_kinds_of_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.codec(PATH).decode(b"") == ""

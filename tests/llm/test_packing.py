@@ -52,6 +52,19 @@ def test_packing_is_whole_valid_and_near_the_bound(spark, monkeypatch):
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096) + 3
 
 
+def test_pieces_that_never_fit_together_settle(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 20)
+    cut = spark.createDataFrame([(n, n, 0, 0, 2100 + n, 7) for n in range(100)], "row long, doc_id long, piece int, start long, length long, sequence_id int")
+    got = packing.pack(cut).toPandas()
+    assert got.sequence_id.nunique() == len(got) == 100 and (got.offset == 0).all()
+
+
+def test_other_vocabularies_are_encoded_by_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello World's end", "x  y", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(path).encode(texts)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_query_over_odd_rows(spark, tmp_path):
     rows = [(1, "Hello world", 1), (2, None, 1), (3, "", 1), (3, "", 1), (4, "word " * 9000, 1), (None, "x", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, length int").write.parquet(str(tmp_path / "documents.parquet"))

@@ -95,3 +95,24 @@ def test_chains_of_three_steps_are_followed_to_the_end(spark):
     texts += [f"{contexts[0]} {name(i)}" for i in range(20)] + [f"{contexts[1]} {name(i)}" for i in range(25)] + [f"{contexts[2]} {name(i)}" for i in range(20, 26)]
     found = pii.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(tuple(r) for r in pii.discover(pii.stash(found, "chain")).collect()) == sorted((name(i), "email") for i in range(26))
+
+
+def test_many_matches_in_one_document_take_linear_time(spark):
+    text = "é " + " ".join(f"user{n}@host.example" for n in range(100_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.redact(frame).collect()[0].text
+    assert got == "é " + " ".join(["<EMAIL>"] * 100_000)
+    assert pii.report(frame).collect()[0].n_email == 100_000
+
+
+def test_columns_of_any_name_come_back_as_they_are(spark):
+    row = (1, "a@b.cd", "x", 2, [1], "k")
+    docs = spark.createDataFrame([row], "doc_id long, text string, uid string, n long, spans array<int>, `kind.x` string")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "<EMAIL>", *row[2:])]
+
+
+def test_numbers_in_groups_and_addresses_without_digits_are_discovered(spark):
+    texts = [f"call the desk phone at +1 (555) {200 + i}-{1000 + i} now" for i in range(30)] + [f"his mail address is user{i}@host.example ok" for i in range(30)]
+    texts += ["call the desk phone at 555 123 4567 now", "call the desk phone at (555) 987-6543 now", "his mail address is jane_at_host.example ok", "in the years 2019 2020 we grew"]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[60] == "phone:23:35" and got[61] == "phone:23:37" and got[62] == "email:20:40" and got[63] == ""

@@ -45,6 +45,38 @@ def test_batches_do_not_change_scores_and_every_byte_counts():
     assert not np.array_equal(tail, net.pooled([b"a" * 5000 + b"a" * 16])[1])
 
 
+def naive_score(net, text):
+    """One text by loops over its steps: filters, units of steps, chunks of units."""
+    step, unit = quality.STEP, quality.UNIT
+    steps = (len(text) + step - 1) // step + 1
+    steps = -(-steps // unit) * unit  # a step of zeros at the end, then whole units
+    data = np.frombuffer(text.ljust(steps * step, b"\0"), np.uint8)
+    response = [net.filters @ net.table[data[s * step : (s + 2) * step]].reshape(-1) for s in range(steps - 1)]
+    units = [np.max(response[u * unit : (u + 1) * unit], axis=0) for u in range(steps // unit)]
+    begins = range(0, max(1, len(units) - quality.CHUNK + quality.HOP), quality.HOP)
+    hidden = [np.maximum(np.max(units[b : b + quality.CHUNK], axis=0) + net.bias, 0) for b in begins]
+    logit = np.mean(hidden, axis=0) @ net.weights[: quality.FILTERS] + np.max(hidden, axis=0) @ net.weights[quality.FILTERS :] + net.offset
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def test_scores_match_a_naive_scorer():
+    rng = np.random.default_rng(6)
+    net = quality.Network(rng.normal(size=(256, quality.DEPTH)) / 4, rng.normal(size=(quality.FILTERS, 2 * quality.STEP * quality.DEPTH)) / 4, rng.normal(size=quality.FILTERS), rng.normal(size=2 * quality.FILTERS) / 9, 0.1)
+    for n in [0, 1, 5, 126, 128, 400, 511, 512, 513, 900, 1281, 5000]:
+        text = rng.integers(1, 256, n).astype(np.uint8).tobytes()
+        assert net.score([text])[0] == pytest.approx(naive_score(net, text), abs=1e-4)
+
+
+def test_accepted_rows_keep_their_columns_and_conflicting_labels_are_passed_over(spark):
+    docs, labels = corpus(120)
+    frame = spark.createDataFrame([(*d, 5.0, "p") for d in docs], "doc_id long, text string, score double, predicted string")
+    twice = spark.createDataFrame([*labels, *((i, 1 - q, 0) for i, q, _ in labels[:9])], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(labels[9:], "doc_id long, quality int, toxic int")
+    kept = quality.accepted(frame, twice).collect()
+    assert 0 < len(kept) < 120 and all(r.score == 5.0 and r.predicted == "p" for r in kept)
+    assert sorted(kept) == sorted(quality.accepted(frame, once).collect())
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 256, (5, quality.CHUNK * quality.UNIT * quality.STEP)).astype(np.uint8)

@@ -176,15 +176,18 @@ def test_topk_query_matches_sql(spark):
 
 def test_validity_intervals_and_odd_captures(spark):
     events = spark.createDataFrame(
-        [("block", "Bad.Example.", "add", "2024-01-10"), ("block", "bad.example", "remove", "2024-02-01"), ("block", "bad.example", "add", "2024-03-01"), ("allow", "ok.bad.example", "add", "2024-01-01"), ("block", "site.example/a/b/", "add", "2024-01-01"), ("block", None, "add", "2024-01-01"), ("block", " ", "add", "2024-01-01"), ("block", "x.example", "add", None), ("block", "bad.example", "add", "2024-01-10")],
+        [("block", "Bad.Example.", "add", "2024-01-10"), ("block", "bad.example", "remove", "2024-02-01"), ("block", "bad.example", "add", "2024-03-01"), ("allow", "ok.bad.example", "add", "2024-01-01"), ("block", "site.example/a/b/", "add", "2024-01-01"), ("block", "Site.example/News", "add", "2024-01-01"), ("block", None, "add", "2024-01-01"), ("block", " ", "add", "2024-01-01"), ("block", "x.example", "add", None), ("block", "bad.example", "add", "2024-01-10")],
         "policy string, entry string, action string, day string",
     ).selectExpr("policy", "entry", "action", "cast(day as timestamp) at")
     rows = [
         (1, "http://bad.example/", "2024-01-09", False), (2, "http://bad.example/", "2024-01-10", True), (3, "https://u:p@www.BAD.example.:80/x", "2024-01-31", True), (4, "http://bad.example/", "2024-02-01", False),
         (5, "http://bad.example/", "2024-03-05", True), (6, "http://ok.bad.example/", "2024-03-05", False), (7, "http://notbad.example/", "2024-03-05", False), (8, "http://site.example/a/b?q", "2024-03-05", True),
         (9, "http://site.example//a/b/c#x", "2024-03-05", True), (10, "http://site.example/a/bc", "2024-03-05", False), (11, None, "2024-03-05", False), (12, "no host", "2024-03-05", False), (13, "http://bad.example/", None, False), (2, "http://bad.example/", "2024-01-10", True),
+        (14, "http://SITE.example/News/x", "2024-03-05", True), (15, "http://site.example/news/x", "2024-03-05", False),
     ]
     frame = spark.createDataFrame([(*r, "p") for r in rows], "page_id long, url string, day string, want boolean, policy2 string").selectExpr("page_id", "url", "want", "cast(day as timestamp) fetched_at", "policy2 as key")
     got = url_filter.evaluate(frame, events).collect()
     assert len(got) == len(rows) and all(r.blocked == r.want for r in got)
+    clash = url_filter.evaluate(frame.selectExpr("*", "'mine' as policy", "1 as since"), events)
+    assert clash.columns == url_filter.evaluate(frame, events).columns and clash.where("blocked").count() == sum(r[3] for r in rows)
     assert url_filter.evaluate(frame.limit(0), events).count() == 0 and url_filter.evaluate(frame, events.limit(0)).where("blocked").count() == 0
