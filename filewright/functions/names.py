@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from filewright.functions.text import match_key
+
 # What Windows reserves, and the limits of a name.
 RESERVED = frozenset(["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))])
 MAX_CHARS, MAX_BYTES, LAST_SUFFIX = 80, 250, 99
@@ -64,14 +66,24 @@ def strip_unknown(name: Column) -> Column:
 
 
 def pick_option(options: Column, want: Column) -> Column:
-    """The one option that matches: exactly, without case, by its start, or by containing; else null.
+    """The one option of ``options(value, text, disabled)`` that matches, else null.
 
-    The first kind of match that any option has must single one out.
+    By its value, by its text, by either as labels are compared, or by a text that contains what is
+    wanted. The first of these that any option meets must single one out. Disabled options and
+    those without a value take part only by an equal value or text.
     """
-    low = F.lower(F.trim(want))
-    kinds = (lambda x: x == want, lambda x: F.lower(F.trim(x)) == low, lambda x: F.lower(F.trim(x)).startswith(low), lambda x: F.contains(F.lower(x), low))
-    out = F.when((want == "") | want.isNull(), None)
-    for kind in kinds:
-        hits = F.filter(options, kind)
+    key = match_key(want)
+    same = lambda x: F.trim(x["text"]) == want
+    real = lambda x: (~F.coalesce(x["disabled"], F.lit(False)) & (match_key(x["value"]) != "")) | same(x)
+    tiers = (
+        lambda x: x["value"] == want,
+        same,
+        lambda x: real(x) & (match_key(x["value"]) == key),
+        lambda x: real(x) & (match_key(x["text"]) == key),
+        lambda x: real(x) & (key != "") & F.contains(match_key(x["text"]), key),
+    )
+    out = F.when(want.isNull(), None)
+    for tier in tiers:
+        hits = F.filter(options, tier)
         out = out.when(F.size(hits) > 0, F.when(F.size(hits) == 1, F.get(hits, 0)))
     return out

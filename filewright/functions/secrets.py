@@ -51,6 +51,12 @@ PATTERNS = (
     ("a .pgpass line", r"(?m)^[^\s:]+:\d{1,5}:[^\s:]*:[^\s:]+:\S+$"),
     ("a private key field", r"""(?i)(?:^|[\s,{"'])(?:private_key|privatekey|client_secret|api[_-]?secret)["']?\s*[:=]"""),
 )
+#: What a text must contain for a pattern to match, by its place above; (?i) patterns are lower-cased.
+GUARDS = {
+    **dict.fromkeys(range(4), ("-----BEGIN",)),
+    4: ("AKIA", "ASIA", "ABIA", "ACCA"), 5: ("aws_secret",), 6: ("gh",), 7: ("github_pat_",), 8: ("sk-",), 9: ("xox",), 10: ("AIza",), 11: ("bearer",),
+    13: ("k_live_", "k_test_"), 14: ("://",), 15: ("eyJ",), 16: ("kind:",), 17: (":",), 18: ("private", "secret"),
+}
 CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
 USER_WORDS = r"(?i)\b(?:username|user_name|user|account|login|email)\b|帳號|使用者|電子郵件|信箱"
 PASS_WORDS = r"(?i)\b(?:password|passwd|pwd|secret|passphrase)\b|密碼|通行碼|口令"
@@ -85,8 +91,12 @@ def looks_like_credential_table(text: Column) -> Column:
 def by_content(text: Column) -> Column:
     """Why a text holds a secret; null if it does not. The order of the patterns decides."""
     reason = F.when(text == "", None)
-    for label, pattern in PATTERNS:
-        reason = reason.when(text.rlike(pattern), f"the contents hold {label}")
+    low = F.lower(text)
+    for n, (label, pattern) in enumerate(PATTERNS):
+        told = text.rlike(pattern)
+        if n in GUARDS:
+            told = reduce(or_, ((low if pattern.startswith("(?i)") else text).contains(x) for x in GUARDS[n])) & told
+        reason = reason.when(told, f"the contents hold {label}")
     reason = reason.when(has_card_number(text), "the contents hold a credit card number")
     return reason.when(looks_like_credential_table(text), "the contents look like a table of usernames and passwords")
 

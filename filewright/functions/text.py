@@ -14,18 +14,18 @@ _HALF_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _FULL_ASCII = "".join(chr(0xFF01 + i) for i in range(94))
 _HALF_ASCII = "".join(chr(0x21 + i) for i in range(94))
 
-# Names that mark a copy of another file, and the two characters of a control.
-COPY_WORDS_DASH = ("copy", "副本", "複製", "复制", "複本")
-COPY_WORDS_BARE = ("copy", "拷貝", "拷贝", "副本", "的副本", "複本")
-_COPY_MARK = (
-    r"(?:\s*\(\d{1,3}\)"
-    rf"|\s+-\s+(?:{'|'.join(COPY_WORDS_DASH)})(?:\s*\(\d{{1,3}}\))?"
-    rf"|\s+(?:{'|'.join(COPY_WORDS_BARE)})(?:\s+\d{{1,3}})?)"
-)
+# The mark of a copy's name, the two sorts of it whole.
+_COPY_MARK = r"(?:\s*\(\d{1,3}\)|\s+-\s+(?:copy|副本|複製|复制|複本)(?:\s*\(\d{1,3}\))?|\s+(?:copy|拷貝|拷贝|副本|的副本|複本)(?:\s+\d{1,3})?)"
 COPY_NAME = rf"(?iu)^(?:copy of\s+\S.*|.*\S{_COPY_MARK}(?:\.[^.\s]{{1,8}}){{0,2}})$"
-CONTROLS = r"[\x00-\x1f\x7f-\x9f\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
-#: Punctuation that a form label may carry around its words.
-LABEL_NOISE = r"[\s:：*＊,，.。;；()（）\[\]【】「」/／、\-_－—?？!！]"
+# Control and direction characters, white space of Unicode, what a form label may
+# carry around its words, beginnings of absolute paths, prefixes of keys, and the marks for both.
+CONTROLS = r"[\x00-\x1f\x7f-\x9f\x{61c}\x{200e}\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}]"
+PREVIEW_CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f-\x9f\x{61c}\x{200e}\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}]"
+BLANKS = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+LABEL_NOISE = rf"[{BLANKS}:：*＊()（）\[\]【】<>《》.,、。_\-—/\\]"
+PATHS = r"""(?:~|/(?:home|Users|var|tmp|private|etc|opt|mnt|media|root|srv|usr)|[A-Za-z]:)[\\/][^\s"'，。；：）】]*"""
+KEY_PREFIXES = r"(?i)\b(?:sk|pk|rk|hf|ghp|gho|ghu|ghs|glpat|xox[abpsr])[-_][A-Za-z0-9._~+/=-]{12,}"
+PATH_MARK, KEY_MARK, CONTROL_MARK = "⋯", "[hidden]", "·"
 
 
 def to_half_width(text: Column) -> Column:
@@ -45,11 +45,16 @@ def match_key(label: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no built-in for it."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, for which Spark has no built-in; ASCII stays out of Python."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
 def phrase_key(phrase: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(nfkc(phrase), r"\s+", " ")))
 
@@ -74,27 +79,27 @@ def strip_copy_suffix(name: Column) -> Column:
 
 
 def original_ext(name: Column) -> Column:
-    """The extension of up to ten letters and digits, ".tar.gz" kinds whole; "" if there is none."""
-    return F.lower(F.regexp_extract(name, r"(?i)[^.](\.tar\.[a-z0-9]{1,4}|\.[a-z0-9]{1,10})$", 1))
+    """The extension of up to ten letters and digits as it is spelled, packed ".tar" kinds whole; "" if none."""
+    packed = r"(?i)(\.tar\.(?:gz|bz2|xz|zst|lz|lzma|z))$"
+    return F.when(name.rlike(packed), F.regexp_extract(name, packed, 1)).otherwise(F.regexp_extract(name, r"(?s)^.+(\.[A-Za-z0-9]{1,10})$", 1))
 
 
 def clean_field(text: Column, most: int) -> Column:
-    """Controls to blanks, absolute paths to an ellipsis, trimmed, at most ``most`` characters."""
-    blanked = F.regexp_replace(text, CONTROLS, " ")
-    hidden = F.regexp_replace(blanked, r"(?:[A-Za-z]:\\|\\\\|/(?:home|Users|root|mnt|var|tmp)/)\S*", "…")
-    return F.substring(F.trim(hidden), 1, most)
+    """Controls to blanks, absolute paths to one mark, trimmed, at most ``most`` characters."""
+    hidden = F.regexp_replace(F.regexp_replace(text, CONTROLS, " "), PATHS, PATH_MARK)
+    return F.substring(F.regexp_replace(hidden, rf"^[{BLANKS}]+|[{BLANKS}]+$", ""), 1, most)
 
 
 def safe_preview(text: Column) -> Column:
     """CRLF to LF, then every control but tab and newline to a middle dot."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x00-\x08\x0b-\x1f\x7f-\x9f\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]", "·")
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), PREVIEW_CONTROLS, CONTROL_MARK)
 
 
 def looks_like_text(text: Column, most: float = 0.02) -> Column:
-    """At most two in a hundred of the first 4096 characters are controls."""
+    """Something but white space, and at most two in a hundred of the first 4096 characters are controls."""
     head = F.substring(text, 1, 4096)
-    odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]", ""))
-    return (F.length(head) > 0) & (odd <= F.length(head) * most)
+    odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    return F.coalesce(text.rlike(rf"[^{BLANKS}]") & (odd <= F.length(head) * most), F.lit(False))
 
 
 def long_enough(text: Column, least: int = 30) -> Column:
@@ -104,22 +109,24 @@ def long_enough(text: Column, least: int = 30) -> Column:
 def split_address(full: Column) -> Column:
     """struct(full, postal_code, city, district, rest); all but full are null if no city is found."""
     whole = to_half_width(full)
-    shape = r"^(\d{3,5})?\s*(.{2,3}[市縣])(.{1,4}?[區鄉鎮市])?(.*)$"
+    shape = r"^(\d{3,5})?\s*(.{2,3}[市縣])(.{1,4}[區鄉鎮市])?(.*)$"
     part = lambda n: F.nullif(F.regexp_extract(whole, shape, n), F.lit(""))
     rest = F.when(whole.rlike(shape), F.trim(F.regexp_extract(whole, shape, 4)))
     return F.struct(whole.alias("full"), part(1).alias("postal_code"), part(2).alias("city"), part(3).alias("district"), rest.alias("rest"))
 
 
 def hide_keys(text: Column) -> Column:
-    """Long runs that mix upper case, lower case and digits, as keys do, to an ellipsis."""
-    return F.regexp_replace(text, r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{32,}", "…")
+    """What looks like a key to a mark: known prefixes, and long runs of both cases and digits."""
+    shown = F.regexp_replace(F.regexp_replace(text, CONTROLS, CONTROL_MARK), KEY_PREFIXES, KEY_MARK.replace("[", r"\["))
+    run = "[A-Za-z0-9+/=_-]"
+    return F.regexp_replace(shown, rf"(?<!{run})(?={run}*[a-z])(?={run}*[A-Z])(?={run}*[0-9]){run}{{32,}}", KEY_MARK.replace("[", r"\["))
 
 
 def format_bytes(size: Column) -> Column:
-    """1536 -> "1.5 KB"; whole bytes below 1024."""
-    power = F.when(size < 1024, 0).when(size < 1024**2, 1).when(size < 1024**3, 2).otherwise(3)
-    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), power + 1)
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", size / F.pow(F.lit(1024.0), power)), F.lit(" "), unit))
+    """1536 -> "1.5 KB"; whole bytes below 1024, two decimals from a gigabyte on."""
+    scaled = lambda power, digits, unit: F.format_string(f"%.{digits}f {unit}", size / float(1024**power))
+    small = F.concat(F.greatest(F.round(size), F.lit(0)).cast("long").cast("string"), F.lit(" B"))
+    return F.when(size >= 1024**3, scaled(3, 2, "GB")).when(size >= 1024**2, scaled(2, 1, "MB")).when(size >= 1024, scaled(1, 1, "KB")).otherwise(small)
 
 
 def display_path(path: Column, root: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from filewright.functions.values import hamming
 from filewright.operators.sequences import micros
 
+#: Rows of short strings that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
 
 def without_later(rows: DataFrame, later: DataFrame, by: str, at: str) -> DataFrame:
     """Rows with no row of ``later`` of the same key after them.
@@ -82,6 +85,8 @@ def deepest_root(items: DataFrame, roots: DataFrame, path: str = "path") -> Data
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     keyed = items.select(F.col(path).alias("__path")).distinct()
     known = roots.select(F.rtrim("root", F.lit("/")).alias("root")).distinct()
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     best = keyed.select("__path", F.explode(prefixes).alias("root")).join(known, "root").groupBy("__path").agg(F.max_by("root", F.length("root")).alias("root"))
     return items.join(best, F.col(path) == F.col("__path"), "left").drop("__path")
 
@@ -91,8 +96,10 @@ def alias_match(labels: DataFrame, registry: DataFrame, key: str, label: str) ->
 
     ``registry`` is ``(name, alias, ord)``, a small list of aliases that are compared as they are.
     An equal alias wins, then the longest that the label contains, then the registry's order.
-    Distinct labels meet the aliases once; the list is a broadcast of checked size.
+    Distinct labels meet the aliases once; the list is broadcast, so its size is checked.
     """
+    if registry.count() > BROADCAST_ROWS:
+        raise ValueError(f"a registry has {BROADCAST_ROWS} aliases at most")
     texts = labels.select(label).where(F.col(label) != "").distinct()
     met = texts.join(F.broadcast(registry), F.col(label).contains(F.col("alias")))
     best = met.groupBy(label).agg(F.min_by(F.struct("name", (F.col("alias") == F.col(label)).alias("exact")), F.struct((F.col("alias") != F.col(label)), -F.length("alias"), "ord")).alias("b"))

@@ -18,7 +18,11 @@ ARCHIVE = (".zip", ".rar", ".7z", ".tar", ".gz", ".tgz")
 PROTECTED = (".pages", ".numbers")
 SCREENSHOT = r"(?i)^(screenshot|screen shot|截圖|螢幕擷取|螢幕快照)[\s_\-（(]*"
 REFUSED_ENDINGS = (".db", ".sqlite", ".sqlite3", ".pem", ".key", ".p12", ".pfx", ".ini", ".cfg", ".conf", ".lnk", ".url")
-REFUSED_NAMES = ("credentials", "token", "id_rsa", "id_ed25519", "authorized_keys", "known_hosts")
+REFUSED_FOLDERS = (
+    ".ssh", ".gnupg", ".aws", ".kube", ".config", ".git", ".contextbox", "ssh", "gnupg", "keychain", "keychains",
+    "credentials", "credential", "secrets", "secret", "tokens", "token",
+)
+REFUSED_FILES = (".env", ".npmrc", ".netrc", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "data.db")
 PROTECT_DAYS, CHECKED_FROM, RULE_VERSION = 14, 50, "1"
 LIVE = ("new", "candidate", "kept", "restored")
 
@@ -48,9 +52,13 @@ def rules(protect_days: float | None = PROTECT_DAYS) -> list[Rule]:
 def refuses_name(name: Column) -> Column:
     """Whether a file must never be touched because of its name."""
     low = F.lower(name)
-    named = F.exists(F.array(*map(F.lit, REFUSED_NAMES)), lambda x: (low == x) | low.startswith(F.concat(x, F.lit("."))))
     ending = F.exists(F.array(*map(F.lit, REFUSED_ENDINGS)), lambda x: low.endswith(x))
-    return low.startswith(".") | named | ending
+    return low.startswith(".") | low.isin(*REFUSED_FOLDERS) | refuses_file(low) | ending
+
+
+def refuses_file(low: Column) -> Column:
+    """Whether a lower-case name is one of the refused files, alone or with more endings."""
+    return F.exists(F.array(*map(F.lit, REFUSED_FILES)), lambda x: (low == x) | low.startswith(F.concat(x, F.lit("."))))
 
 
 def candidates(catalogue: DataFrame, now: Column, protect_days: float | None = PROTECT_DAYS) -> DataFrame:

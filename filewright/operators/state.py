@@ -72,13 +72,10 @@ def evict(preferences: DataFrame, keep: int) -> DataFrame:
     return preferences.orderBy((F.col("kind") == "rejected").asc(), F.desc("times"), F.desc("at"), F.desc("id")).limit(keep)
 
 
-def greedy_prefix(groups: DataFrame, weight: str, order: list, most: int) -> DataFrame:
-    """The groups before the first one whose running sum passes ``most``, in order.
-
-    Only rows that can still fit matter, and each weighs at least one, so the sort is a bounded
-    top-k of ``most`` rows.
-    """
-    head = groups.where(F.col(weight) >= 1).orderBy(*order).limit(most + 1)
+def greedy_prefix(groups: DataFrame, weight: str, order: list, most: int, most_groups: int = 1000) -> DataFrame:
+    """The groups, in order, before the first one that would be one of more than ``most_groups`` or
+    whose running sum passes ``most``; the sort is a bounded top-k."""
+    head = groups.orderBy(*order).limit(most_groups)
     return head.withColumn("running", F.sum(weight).over(Window.orderBy(*order))).where(F.col("running") <= most)
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +54,20 @@ def find_text(rows: DataFrame, key: str, text: str, needle: str) -> DataFrame:
 
 
 def trigram_index(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(gram, key, tf)``: every three-character piece of the lower-case text."""
-    # characters first: a substring of a long text would be counted out from its start each time
-    three = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    grams = F.flatten(F.transform(F.array(F.split(F.lower(F.col(text)), "")), three))
-    return rows.where(F.length(text) >= 3).select(key, F.explode(grams).alias("gram")).groupBy("gram", key).agg(F.count("*").alias("tf"))
+    """``(gram, key, tf)``: every three-character piece of the lower-case text, counted within its row.
+
+    Rows stand for themselves, so a key that comes twice has its pieces twice.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, whole in enumerate(batch.column(1).to_pylist()):
+                grams = Counter(map("".join, zip(whole, whole[1:], whole[2:], strict=False)))
+                own = pa.array([n], pa.int32()).take(pa.array(np.zeros(len(grams), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), batch.column(0).take(own), pa.array(list(grams.values()), pa.int64())], ["gram", key, "tf"])
+
+    low = rows.where(F.length(text) >= 3).select(key, F.lower(F.col(text)).alias("low"))
+    return low.mapInArrow(counted, f"gram string, {key} {rows.schema[key].dataType.simpleString()}, tf long")
 
 
 def search(rows: DataFrame, key: str, text: str, words: list[str], top: int = 20) -> DataFrame:

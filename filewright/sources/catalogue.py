@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders and files that a walk never enters.
-DENIED_FOLDERS = (".ssh", ".gnupg", ".aws", ".azure", ".kube", ".docker", ".git", "node_modules", "appdata", "library")
+from filewright.operators.rules import REFUSED_FOLDERS, refuses_file
+
+# Endings of unfinished downloads and the limits of a walk.
 PARTIAL_ENDINGS = (".crdownload", ".part", ".partial", ".download", ".opdownload", ".filepart")
 MAX_DEPTH, MAX_FILES, RECENT_MINUTES, HASH_BYTES = 3, 5000, 10, 512 << 20
 NAMES = ("lecture {}.pdf", "Screenshot {}.png", "notes ({}).txt", "setup-{}.exe", "photos {}.zip", "draft {}.tmp", "film {}.crdownload", "report {} - copy.docx", "book {}.pages", "key {}.pem", ".hidden-{}", "clip {}.mp4")
@@ -29,11 +30,12 @@ def walk(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
 
 
 def admitted(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
-    """Files no deeper than ``max_depth``, outside hidden and denied folders; the first by path."""
+    """Files no deeper than ``max_depth``, outside hidden and refused folders; the first by path."""
     inner = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     parts = F.split(F.substr(inner, F.lit(len(root.rstrip("/")) + 2)), "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    shut = F.exists(parts, lambda x: x.startswith(".")) | F.exists(folders, lambda x: F.lower(x).isin(*DENIED_FOLDERS))
+    shut = F.exists(parts, lambda x: x.startswith(".")) | F.exists(folders, lambda x: F.lower(x).isin(*REFUSED_FOLDERS))
+    shut = shut | refuses_file(F.lower(F.element_at(parts, -1)))
     return files.where((F.size(folders) <= max_depth) & ~shut).orderBy("path").limit(max_files)
 
 

@@ -37,32 +37,53 @@ def _chunks(data: bytes):
         at += 12 + size
 
 
+def _diagonals(lines: np.ndarray, kinds: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Lines with the average or Paeth filter: a pixel needs those left and above, so diagonals go at once."""
+    height, row = lines.shape
+    width = -(-row // step)
+    given = np.zeros((height, width * step), np.int16)
+    given[:, :row] = lines
+    done = np.zeros((height + 1, width + 1, step), np.int16)
+    done[0, 1:].reshape(-1)[:row] = above
+    now, out = given.reshape(-1, step), done.reshape(-1, step)  # a diagonal is every width-th pixel of these
+    average = (kinds == 3)[:, None]
+    for d in range(width + height - 1):
+        first, last = max(0, d - width + 1), min(height - 1, d)
+        at, n = first * width + d, last - first + 1
+        places = lambda start, n=n: slice(start, start + (n - 1) * width + 1, width)
+        if width > 1:
+            values = now[slice(first * width + d - first, first * width + d - first + (n - 1) * (width - 1) + 1, width - 1)]
+        else:
+            values = now[first : first + 1]
+        left, up, corner = out[places(at + width + 1)], out[places(at + 1)], out[places(at)]
+        p, q = up - corner, left - corner
+        far_left, far_up, far_corner = np.abs(p), np.abs(q), np.abs(p + q)
+        guess = np.where((far_left <= far_up) & (far_left <= far_corner), left, np.where(far_up <= far_corner, up, corner))
+        guess = np.where(average[first : last + 1], (left + up) >> 1, guess)
+        out[places(at + width + 2)] = (values + guess) & 255
+    return done[1:, 1:].reshape(height, -1)[:, :row]
+
+
 def _unfiltered(raw: np.ndarray, height: int, row: int, step: int) -> np.ndarray:
     lines = raw.reshape(height, row + 1)
-    out = np.zeros((height + 1, row), np.uint8)
-    for y in range(height):
-        kind, line, up, now = lines[y, 0], lines[y, 1:], out[y], out[y + 1]
-        if kind == 0:
-            now[:] = line
-        elif kind == 1:
+    kinds, lines = lines[:, 0], lines[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown filter")
+    out, y = np.zeros((height + 1, row), np.uint8), 0
+    while y < height:
+        now = out[y + 1]
+        if kinds[y] >= 3:
+            others = np.flatnonzero(kinds[y:] < 3)
+            end = y + int(others[0]) if len(others) else height
+            out[y + 1 : end + 1] = _diagonals(lines[y:end], kinds[y:end], out[y], step)
+            y = end
+            continue
+        if kinds[y] == 1:
             for c in range(step):
-                now[c::step] = np.cumsum(line[c::step], dtype=np.uint64).astype(np.uint8)
-        elif kind == 2:
-            now[:] = line + up
-        elif kind in (3, 4):
-            l, u, done = line.tolist(), up.tolist(), [0] * row
-            for x in range(row):
-                a, b = done[x - step] if x >= step else 0, u[x]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = u[x - step] if x >= step else 0
-                    p = a + b - c
-                    guess = min((a, b, c), key=lambda v: abs(p - v))
-                done[x] = (l[x] + guess) & 255
-            now[:] = done
+                now[c::step] = np.cumsum(lines[y, c::step], dtype=np.uint64).astype(np.uint8)
         else:
-            raise ValueError("unknown filter")
+            now[:] = lines[y] + out[y] if kinds[y] == 2 else lines[y]
+        y += 1
     return out[1:]
 
 

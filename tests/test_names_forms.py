@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright.functions import names
+from filewright.operators import rules
 from filewright.sources import forms
 
 
@@ -21,10 +22,34 @@ def test_cleaning_properties():
         assert not set(got) & set('\\/:*?"<>|\x00‮') and got == got.strip(" .")
 
 
-def test_free_names_targets_and_options(spark):
-    rows = spark.createDataFrame([("a", ".txt", ["a.txt", "a-2.txt"], "p", ["p", "p.restored"], ["Taipei City", "Taichung", "taipei city "], "Taipei"), ("B", "", [], "p", [], ["Male", "Female"], "male")], "s string, e string, t array<string>, p string, q array<string>, o array<string>, w string")
-    got = rows.select(names.free_name(F.col("s"), F.col("e"), F.col("t")).alias("f"), names.restore_target(F.col("p"), F.col("q")).alias("r"), names.pick_option(F.col("o"), F.col("w")).alias("o"), names.strip_unknown(F.lit("Unknown_未知_HW1.pdf")).alias("u"), names.clean_name(F.lit("x?.md"), F.lit(".md")).alias("c")).collect()
-    assert [tuple(r) for r in got] == [("a-3.txt", "p.restored.2", None, "HW1.pdf", "x"), ("B", "p", "Male", "HW1.pdf", "x")]
+def test_free_names_and_targets(spark):
+    rows = spark.createDataFrame([("a", ".txt", ["a.txt", "a-2.txt"], "p", ["p", "p.restored"]), ("B", "", [], "p", [])], "s string, e string, t array<string>, p string, q array<string>")
+    got = rows.select(names.free_name(F.col("s"), F.col("e"), F.col("t")).alias("f"), names.restore_target(F.col("p"), F.col("q")).alias("r"), names.strip_unknown(F.lit("Unknown_未知_HW1.pdf")).alias("u"), names.clean_name(F.lit("x?.md"), F.lit(".md")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("a-3.txt", "p.restored.2", "HW1.pdf", "x"), ("B", "p", "HW1.pdf", "x")]
+
+
+def test_options(spark):
+    cases = [
+        ("tp", [("tp", "Taipei", False), ("x", "tp", False)], "tp"),  # an equal value wins
+        ("Taipei", [("1", " Taipei ", False), ("2", "Taipei City", False)], "1"),
+        ("MALE", [("male", "x", False), ("female", "y", False)], "male"),
+        ("男", [("", "請選擇", False), ("m", "男性", False), ("f", "女性", False)], "m"),
+        ("Tai", [("1", "Taipei", False), ("2", "Taichung", False)], None),  # several contain it
+        ("役畢", [("1", "替代役", False)], None),
+        ("male", [("male", "x", True)], "male"),  # disabled, but equal
+        ("Male", [("male", "x", True)], None),
+        (None, [("1", "a", False)], None),
+    ]
+    rows = spark.createDataFrame([(n, w, o) for n, (w, o, _) in enumerate(cases)], "n int, w string, o array<struct<value:string,text:string,disabled:boolean>>")
+    got = [r.v for r in rows.select("n", names.pick_option(F.col("o"), F.col("w"))["value"].alias("v")).orderBy("n").collect()]
+    assert got == [want for *_, want in cases]
+
+
+def test_refused_names_are_those_of_the_list(spark):
+    refused = ["token", "Secrets", ".x", "id_ecdsa", "ID_RSA.bak", "data.db.x", "a.PEM", "keychain"]
+    admitted = ["token.txt", "credentials.md", "data.dbx", "known_hosts", "notes.txt"]
+    rows = spark.createDataFrame([(n,) for n in [*refused, *admitted]], "name string")
+    assert {r.name for r in rows.where(rules.refuses_name(F.col("name"))).collect()} == set(refused)
 
 
 def test_form_fields_with_their_labels(spark):

@@ -16,6 +16,5 @@ def test_query_matches_sql(spark, con, name):
     assert differences(spark, queries.QUERIES[name], queries.ORACLES[name], SF, con) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
