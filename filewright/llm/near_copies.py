@@ -25,6 +25,8 @@ NUM, DEN = 4, 5
 ORDER_TEXTS, COMMON = 5000, 20_000
 #: Hashes whose bits are summed at once, which bounds memory for very long texts.
 CHUNK = 1 << 16
+#: Texts of a bucket that meet its others before all that are still apart are compared.
+STARS = 6
 #: Rows to compare are broadcast up to this many, one number each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -150,8 +152,9 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` that connect all similar pairs of those rows of ``own`` that are ``nodes``.
 
     ``first`` holds pairs that SimHash has found. With them each text is compared with that first
-    text of its buckets that it meets most often; then only texts that are still in different
-    components are compared, so a large group costs about as many comparisons as it has texts.
+    text of its buckets that it meets most often, then with a few more. Only texts that are still in
+    different components after that are all compared, so a large group of near copies costs about
+    as many comparisons as it has texts.
     """
     common = own.sparkSession.sparkContext.broadcast(_common(own))
 
@@ -170,11 +173,23 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
     met = shared.where(f"uid_a <> uid_s and {_may_be('_a', '_s')}").groupBy("uid_a", "uid_s").count()
     stars = met.groupBy(F.col("uid_a").alias("v")).agg(F.max_by("uid_s", F.struct("count", "uid_s")).alias("u")).select("u", "v")
     found = _similar(stars.unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), own)
-    label = components(found, "near-stars").withColumnRenamed("node", "uid_a")
-    named = shared.drop("uid_s", "n_s", "pos_s").join(label, "uid_a", "left").withColumn("c_a", F.coalesce("component", "uid_a")).drop("component")
-    named = stash(named, "near-named")
-    apart = named.groupBy("hash").agg(F.min("c_a").alias("least"), F.max("c_a").alias("most")).where("least < most").select("hash")
-    rest = named.join(apart, "hash")
+    named = shared.drop("uid_s", "n_s", "pos_s")
+
+    def apart(found: DataFrame, label: str) -> DataFrame:
+        """The rows of buckets whose texts are in several components of the links found so far."""
+        of = components(found, label).withColumnRenamed("node", "uid_a")
+        told = stash(named.join(of, "uid_a", "left").withColumn("c_a", F.coalesce("component", "uid_a")).drop("component"), "near-named")
+        several = told.groupBy("hash").agg(F.min("c_a").alias("least"), F.max("c_a").alias("most")).where("least < most").select("hash")
+        return told.join(several, "hash")
+
+    # one more round: a few texts of each bucket, the same ones in all buckets, meet its others
+    rest = stash(apart(found, "near-stars"), "near-apart")
+    some = F.array(*(F.min(F.struct(F.xxhash64("uid_a", F.lit(k)).alias("order"), F.col("uid_a").alias("uid_s"), F.col("n_a").alias("n_s"), F.col("pos_a").alias("pos_s"), F.col("c_a").alias("c_s"))) for k in range(STARS)))
+    chosen = rest.groupBy("hash").agg(F.array_distinct(some).alias("stars")).select("hash", F.explode("stars").alias("x")).select("hash", "x.*").drop("order")
+    meeting = rest.join(chosen, "hash").where(f"c_a <> c_s and {_may_be('_a', '_s')}").select(F.least("uid_a", "uid_s").alias("u"), F.greatest("uid_a", "uid_s").alias("v"))
+    found = found.unionByName(_similar(meeting.distinct(), own))
+    named = rest.drop("c_a")
+    rest = apart(found, "near-more")
 
     # the smaller set needs only the shorter prefix of two sets of its size
     small = rest.where(f"{NUM + DEN} * pos_a <= {DEN - NUM} * n_a")
