@@ -21,7 +21,7 @@ def item(name, bytes_=10, days=0):
         (item("a.tmp", 1, 7), {"temp"}), (item("a.exe", 1, 13), set()), (item("a.exe", 1, 14), {"installer", "old-download"}),
         (item("a.zip", 1, 29), {"old-download"}), (item("a.zip", 1, 30), {"archive", "old-download"}), (item("a.pages", 1, 99), set()),
         (item("Screenshot 1.png", 1, 30), {"screenshot-noise", "old-download"}), (item("截圖1.png", 1, 29), {"old-download"}),
-        (item("a.pem", 1, 99), set()), (item(".x.zip", 1, 99), set()), (item("token.txt", 0, 99), set()),
+        (item("a.pem", 1, 99), set()), (item(".x.zip", 1, 99), set()), (item("token", 0, 99), set()), (item("token.txt", 0, 99), {"empty", "old-download"}),
     ],
 )
 def test_rule_boundaries(spark, file, kinds):

@@ -55,7 +55,7 @@ def test_signatures_and_thumbnails(spark):
 
 
 def test_catalogue_of_a_folder(spark, tmp_path):
-    for name, body in {"a.txt": b"x", "b.part": b"y", "e.txt": b"", ".hid/z.txt": b"z", "node_modules/q.js": b"q", "d1/d2/d3/d4/deep.txt": b"d", "d1/ok.PDF": b"p"}.items():
+    for name, body in {"a.txt": b"x", "b.part": b"y", "e.txt": b"", ".hid/z.txt": b"z", "Secrets/q.js": b"q", "id_rsa.bak": b"k", "d1/d2/d3/d4/deep.txt": b"d", "d1/ok.PDF": b"p"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(body)
     files = catalogue.admitted(catalogue.walk(spark, str(tmp_path)), str(tmp_path))
