@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import components, small_batches, stash
@@ -25,8 +25,9 @@ NUM, DEN = 4, 5
 ORDER_TEXTS, COMMON = 5000, 20_000
 #: Hashes whose bits are summed at once, which bounds memory for very long texts.
 CHUNK = 1 << 16
-#: Texts of a bucket that meet its others before all that are still apart are compared.
-STARS = 6
+#: Closest partners of a text that are compared first, and texts of a bucket that then meet its
+#: others, before all that are still apart are compared. Neither bounds what is found.
+STARS, MORE_STARS = 6, 32
 #: Rows to compare are broadcast up to this many, one number each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -148,13 +149,24 @@ def _may_be(x: str, y: str) -> str:
     return f"{sizes} and {NUM + DEN} * least(n{x} - pos{x}, n{y} - pos{y}) >= {NUM} * (n{x} + n{y})"
 
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(u, v, bits)`` the STARS closest of each text, ties in one order for all texts.
+
+    A group of copies gives a number of pairs of the order of its texts, not of their square.
+    """
+    both = pairs.select("u", "v", "bits").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
+    nearest = Window.partitionBy("u").orderBy("bits", F.xxhash64("v"), "v")
+    return both.where("u <> v").withColumn("__n", F.row_number().over(nearest)).where(F.col("__n") <= STARS).select("u", "v")
+
+
 def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` that connect all similar pairs of those rows of ``own`` that are ``nodes``.
 
-    ``first`` holds pairs that SimHash has found. With them each text is compared with that first
-    text of its buckets that it meets most often, then with a few more. Only texts that are still in
-    different components after that are all compared, so a large group of near copies costs about
-    as many comparisons as it has texts.
+    ``first`` holds pairs that SimHash has found, with their differing bits; each text needs the
+    closest few, and the lookups find what those leave apart. With them each text is compared with that first text of its buckets that
+    it meets most often, then with a few more. Only texts that are still in different components
+    after that are all compared, so a large group of near copies costs about as many comparisons as
+    it has texts.
     """
     common = own.sparkSession.sparkContext.broadcast(_common(own))
 
@@ -172,24 +184,35 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
 
     met = shared.where(f"uid_a <> uid_s and {_may_be('_a', '_s')}").groupBy("uid_a", "uid_s").count()
     stars = met.groupBy(F.col("uid_a").alias("v")).agg(F.max_by("uid_s", F.struct("count", "uid_s")).alias("u")).select("u", "v")
-    found = _similar(stars.unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), own)
+    found = _similar(stars.unionByName(_few(first)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), own)
     named = shared.drop("uid_s", "n_s", "pos_s")
 
-    def apart(found: DataFrame, label: str) -> DataFrame:
-        """The rows of buckets whose texts are in several components of the links found so far."""
-        of = components(found, label).withColumnRenamed("node", "uid_a")
+    def forest(found: DataFrame, label: str) -> DataFrame:
+        """Links that connect what ``found`` connects, one a text."""
+        return stash(components(found, label).select(F.col("component").alias("u"), F.col("node").alias("v")), "near-forest")
+
+    def apart(trees: DataFrame) -> DataFrame:
+        """The rows of buckets whose texts are in several of the trees found so far."""
+        of = trees.select(F.col("v").alias("uid_a"), F.col("u").alias("component"))
         told = stash(named.join(of, "uid_a", "left").withColumn("c_a", F.coalesce("component", "uid_a")).drop("component"), "near-named")
         several = told.groupBy("hash").agg(F.min("c_a").alias("least"), F.max("c_a").alias("most")).where("least < most").select("hash")
         return told.join(several, "hash")
 
-    # one more round: a few texts of each bucket, the same ones in all buckets, meet its others
-    rest = stash(apart(found, "near-stars"), "near-apart")
-    some = F.array(*(F.min(F.struct(F.xxhash64("uid_a", F.lit(k)).alias("order"), F.col("uid_a").alias("uid_s"), F.col("n_a").alias("n_s"), F.col("pos_a").alias("pos_s"), F.col("c_a").alias("c_s"))) for k in range(STARS)))
-    chosen = rest.groupBy("hash").agg(F.array_distinct(some).alias("stars")).select("hash", F.explode("stars").alias("x")).select("hash", "x.*").drop("order")
+    # one more round: some texts of each bucket, the same ones in all buckets, meet its others, and
+    # texts that are still apart meet the rest of what SimHash found for them
+    found = forest(found, "near-stars")
+    rest = stash(apart(found), "near-apart")
+    order = Window.partitionBy("hash").orderBy(F.xxhash64("uid_a"), "uid_a")
+    numbered = rest.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MORE_STARS)
+    chosen = stash(numbered.selectExpr("hash", *(f"{x}_a as {x}_s" for x in ("uid", "n", "pos", "c"))), "near-chosen")
     meeting = rest.join(chosen, "hash").where(f"c_a <> c_s and {_may_be('_a', '_s')}").select(F.least("uid_a", "uid_s").alias("u"), F.greatest("uid_a", "uid_s").alias("v"))
-    found = found.unionByName(_similar(meeting.distinct(), own))
-    named = rest.drop("c_a")
-    rest = apart(found, "near-more")
+    tree = {x: found.select(F.col("v").alias(x), F.col("u").alias(f"c_{x}")) for x in ("u", "v")}
+    others = first.join(tree["u"], "u", "left").join(tree["v"], "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)")
+    meeting = meeting.unionByName(others.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    found = forest(found.unionByName(_similar(meeting, own)), "near-more")
+    # a chosen text has met all of its bucket
+    named = rest.join(chosen.selectExpr("hash", "uid_s as uid_a"), ["hash", "uid_a"], "left_anti").drop("c_a")
+    rest = apart(found)
 
     # the smaller set needs only the shorter prefix of two sets of its size
     small = rest.where(f"{NUM + DEN} * pos_a <= {DEN - NUM} * n_a")

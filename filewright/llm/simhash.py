@@ -126,29 +126,30 @@ def _forest(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     a, b = left.fp.to_numpy(np.int64).view(np.uint64), right.fp.to_numpy(np.int64).view(np.uint64)
     nodes, index = np.unique(np.concatenate([left.node, right.node]).astype(np.int64), return_inverse=True)
     ia, ib = index[: len(a)], index[len(a) :]
-    root, u, v = np.arange(len(nodes)), [], []
+    root, u, v, differing = np.arange(len(nodes)), [], [], []
     for at in range(0, len(a), 256):
         i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= bits)
-        x, y = ia[i + at], ib[j]
+        x, y, d = ia[i + at], ib[j], np.bitwise_count(a[i + at] ^ b[j])
         while True:  # hook every root on the least root that a link of its tree leads to, then shorten the paths
             rx, ry = root[x], root[y]
             apart = rx != ry
             if not apart.any():
                 break
-            x, y, high, low = x[apart], y[apart], np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart]
+            x, y, d, high, low = x[apart], y[apart], d[apart], np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart]
             first = np.lexsort((low, high))
             first = first[np.r_[True, np.diff(high[first]) != 0]]
             root[high[first]] = low[first]
             u.append(nodes[x[first]])
             v.append(nodes[y[first]])
+            differing.append(d[first])
             while (root != root[root]).any():
                 root = root[root]
     none = np.empty(0, np.int64)
-    return pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+    return pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v]), "bits": np.concatenate([none, *differing]).astype(np.int32)})
 
 
 def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``(u, v)``, each of at most ``bits`` bits, that connect all ``nodes(fp, node)`` that close."""
+    """Edges ``(u, v, bits)``, each of at most ``bits`` bits, that connect all ``nodes(fp, node)`` that close."""
     found = stash(_lookups(nodes, segments(nodes.count(), bits)), "simhash-lookups")
     sizes = found.groupBy("segment", "value").agg(F.count_if("stored").alias("held"), F.count("*").alias("all")).where("held > 0 and all > 1")
     sized = found.join(sizes, ["segment", "value"])
@@ -158,8 +159,9 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     pairs = (
         few.select(*key, F.col("fp").alias("fa"), F.col("node").alias("u"), F.col("stored").alias("own"))
         .join(few.where("stored").select(*key, F.col("fp").alias("fb"), F.col("node").alias("v")), key)
-        .where((F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits) & (~F.col("own") | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")))
-        .select("u", "v")
+        .withColumn("bits", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("int"))
+        .where((F.col("bits") <= bits) & (~F.col("own") | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")))
+        .select("u", "v", "bits")
     )
 
     blocks = F.ceil(F.col("all") / BLOCK_ROWS)
@@ -171,7 +173,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return _forest(rows, bits)
 
-    return pairs.unionByName(probing.unionByName(stored).groupBy(*key, "i", "j").applyInPandas(run, "u long, v long"))
+    return pairs.unionByName(probing.unionByName(stored).groupBy(*key, "i", "j").applyInPandas(run, "u long, v long, bits int"))
 
 
 def dedup(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
