@@ -195,9 +195,9 @@ def keep_one(docs: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     """One row of ``docs(doc_id, text, ...)`` for each component: its smallest doc_id, nulls last.
 
     Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more. Multi-index hashing over five-word fingerprints finds the pairs within ``bits`` bits,
-    which are verified on the whole sets; similar pairs further apart are added by
-    :func:`near_copies.links`. Texts with the same shingles are one, as are null and blank ones. Of
+    more. Multi-index hashing over five-word fingerprints finds the pairs within ``bits`` bits;
+    :func:`near_copies.links` verifies them on the whole sets, the closest of each text first and
+    the others while their texts are apart, and adds similar pairs further apart. Texts with the same shingles are one, as are null and blank ones. Of
     equal or missing doc_ids the first row is kept. Columns of any name are returned as they are.
     """
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__row")
