@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, embed_dedup, html_extract, packing, pii, quality, simhash, topk, url_filter, warc
+from filewright.llm import alignment, bpe, differencing, embed_dedup, hard_negatives, html_extract, packing, pii, quality, simhash, topk, url_filter, warc
 from filewright.session import table
 
 
@@ -88,6 +88,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, events)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _URL_VALUES = ", ".join(f"('{p}', '{e}', '{a}', TIMESTAMP '{d} 00:00:00')" for p, e, a, d in URL_EVENTS)
 OP10_SQL = f"""
 WITH events(policy, entry, action, moment) AS (VALUES {_URL_VALUES}),
@@ -116,5 +130,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_packing": op2_packing, "op3_html": op3_html, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_url_filter": op10_url_filter}
-ORACLES: dict[str, str] = {"op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embed_dedup, op2_packing, op3_html, op4_bpe, op5_warc, op6_pii, op7_simhash, op8_quality, op9_topk, op10_url_filter,
+        op11_hard_negatives, op12_alignment, op13_differencing,
+    )
+}
+ORACLES: dict[str, str] = {"op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -1,0 +1,77 @@
+"""Byte-level encoding by the tokenizers library, with each run of a text encoded once a worker."""
+
+from __future__ import annotations
+
+import os
+import re
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import regex
+
+from filewright.llm.bpe import RUNS, SPLIT
+
+#: Encoded runs and pieces that a worker remembers, none longer than MEMO_CHARS: some 200 bytes an
+#: entry, so at most about 140 MB. Longer ones are encoded anew each time.
+MEMO_RUNS, MEMO_PIECES, MEMO_CHARS = 400_000, 300_000, 64
+
+
+class Runs:
+    """Packed ids (little-endian 32-bit) of whole texts, as the library gives them for a byte-level file.
+
+    With ``plain`` the strings of special tokens are ordinary text; otherwise texts that hold one are
+    encoded by the library as they are. Other texts are cut where no token can reach across.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut, self.split = re.compile(RUNS), regex.compile(SPLIT)
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, unknown: list[str], local: dict[str, bytes]) -> None:
+        """Encode the runs ``unknown`` into ``local`` and the worker's memory."""
+        parts = [[x] if x.isalpha() or (x[0] == " " and x[1:].isalpha()) else self.split.findall(x) for x in unknown]
+        known = self.pieces.get
+        of = {p: known(p) for p in chain.from_iterable(parts)}
+        new = [p for p, packed in of.items() if packed is None]
+        of.update(zip(new, self.by_library(new), strict=True))
+        if len(self.pieces) + len(new) > MEMO_PIECES:
+            self.pieces.clear()
+        if len(self.runs) + len(unknown) > MEMO_RUNS:
+            self.runs.clear()
+        self.pieces.update((p, of[p]) for p in new if len(p) <= MEMO_CHARS)
+        for run, pieces in zip(unknown, parts, strict=True):
+            local[run] = b"".join(map(of.__getitem__, pieces))
+            if len(run) <= MEMO_CHARS:
+                self.runs[run] = local[run]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [any(x in text for x in self.special) for text in texts]
+        split = [[] if w else self.cut.findall(text) for text, w in zip(texts, whole, strict=True)]
+        local, unknown, known = dict.fromkeys(chain.from_iterable(split)), [], self.runs.get
+        for run in local:  # each run of a batch is looked up once
+            found = known(run)
+            if found is None:
+                unknown.append(run)
+            else:
+                local[run] = found
+        for at in range(0, len(unknown), 50_000):
+            self.learn(unknown[at : at + 50_000], local)
+        return [self.by_library([text])[0] if w else b"".join(map(local.__getitem__, x)) for text, w, x in zip(texts, whole, split, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def runs(path: str, plain: bool = False) -> Runs:
+    return Runs(path, plain)

@@ -18,10 +18,10 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & ~bad, F.lit(False))
 
 
-def numbered(vectors: DataFrame, label: str) -> DataFrame:
-    """``(uid, vec_id, embedding array<double>, dims)`` of every row; uid tells repeated rows apart."""
+def numbered(vectors: DataFrame, label: str, *more: str) -> DataFrame:
+    """``(uid, vec_id, embedding array<double>, *more, dims)`` of every row; uid tells repeated rows apart."""
     doubles = F.col("embedding").cast("array<double>")
-    return stash(vectors.select(F.monotonically_increasing_id().alias("uid"), "vec_id", doubles.alias("embedding")).withColumn("dims", F.coalesce(F.size("embedding"), F.lit(-1))), label)
+    return stash(vectors.select(F.monotonically_increasing_id().alias("uid"), "vec_id", doubles.alias("embedding"), *more).withColumn("dims", F.coalesce(F.size("embedding"), F.lit(-1))), label)
 
 
 def matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
