@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ PROTECTED = (".pages", ".numbers")
 SCREENSHOT = r"(?i)^(screenshot|screen shot|截圖|螢幕擷取|螢幕快照)[\s_\-（(]*"
 REFUSED_ENDINGS = (".db", ".sqlite", ".sqlite3", ".pem", ".key", ".p12", ".pfx", ".ini", ".cfg", ".conf", ".lnk", ".url")
 REFUSED_FOLDERS = (
-    ".ssh", ".gnupg", ".aws", ".kube", ".config", ".git", ".contextbox", "ssh", "gnupg", "keychain", "keychains",
+    ".ssh", ".gnupg", ".aws", ".kube", ".config", ".git", "ssh", "gnupg", "keychain", "keychains",
     "credentials", "credential", "secrets", "secret", "tokens", "token",
 )
 REFUSED_FILES = (".env", ".npmrc", ".netrc", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "data.db")
@@ -52,13 +54,12 @@ def rules(protect_days: float | None = PROTECT_DAYS) -> list[Rule]:
 def refuses_name(name: Column) -> Column:
     """Whether a file must never be touched because of its name."""
     low = F.lower(name)
-    ending = F.exists(F.array(*map(F.lit, REFUSED_ENDINGS)), lambda x: low.endswith(x))
-    return low.startswith(".") | low.isin(*REFUSED_FOLDERS) | refuses_file(low) | ending
+    return low.startswith(".") | low.isin(*REFUSED_FOLDERS) | refuses_file(low) | reduce(or_, (low.endswith(x) for x in REFUSED_ENDINGS))
 
 
 def refuses_file(low: Column) -> Column:
     """Whether a lower-case name is one of the refused files, alone or with more endings."""
-    return F.exists(F.array(*map(F.lit, REFUSED_FILES)), lambda x: (low == x) | low.startswith(F.concat(x, F.lit("."))))
+    return low.isin(*REFUSED_FILES) | reduce(or_, (low.startswith(f"{x}.") for x in REFUSED_FILES))
 
 
 def candidates(catalogue: DataFrame, now: Column, protect_days: float | None = PROTECT_DAYS) -> DataFrame:

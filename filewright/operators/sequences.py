@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filewright.operators.fold import folded
+
 
 def micros(ts: str | Column) -> Column:
     """Microseconds of a timestamp with or without a zone."""
@@ -28,23 +30,50 @@ def chunks(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataF
     return rows.withColumn("chunk", F.floor((number - 1) / size).cast("long"))
 
 
+class _Fill:
+    """The chunk that is filled now: its number, its weight and its rows."""
+
+    def __init__(self, order: str, weight: str, most: int, count: int):
+        self.order, self.weight, self.most, self.count = order, weight, most, count
+        self.chunk = self.sum = self.n = 0
+
+    def add(self, row: dict) -> list[tuple]:
+        weight = row[self.weight] or 0
+        if self.n and (self.sum + weight > self.most or self.n >= self.count):
+            self.chunk, self.sum, self.n = self.chunk + 1, 0, 0
+        self.sum, self.n = self.sum + weight, self.n + 1
+        return [(row[self.order], row[self.weight], self.chunk)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def capacity_chunks(rows: DataFrame, by: str, order: str, weight: str, most: int, count: int) -> DataFrame:
-    """``rows`` with chunk: cut when the weights of a chunk would pass ``most`` or it has ``count`` rows.
+    """``(by, order, weight, chunk)``: cut when the weights of a chunk would pass ``most`` or it has ``count`` rows.
 
-    The sum starts anew at each cut, which no window frame expresses, so each group folds over an
-    ordered array; a group is bounded by the segments that callers cut first.
+    The sum starts anew at each cut, which no window frame expresses, so each group is folded in
+    order, batch by batch. A row heavier than ``most`` is a chunk of its own; a null weight counts as
+    nothing.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(weight).cast("long").alias("w"))
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("out"))
+    listed = rows.select(by, order, F.col(weight).cast("long").alias(weight))
+    kind = rows.schema[order].dataType.simpleString()
+    return folded(listed, [by], [order], lambda: _Fill(order, weight, most, count), f"{order} {kind}, {weight} long, chunk long")
 
-    def step(s: Column, x: Column) -> Column:
-        cut = (s["n"] > 0) & ((s["sum"] + x["w"] > most) | (s["n"] >= count))
-        chunk = s["chunk"] + cut.cast("long")
-        return F.struct(chunk.alias("chunk"), F.when(cut, x["w"]).otherwise(s["sum"] + x["w"]).alias("sum"), F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
 
-    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    numbered = listed.select(by, "items", F.aggregate("items", zero, step, lambda s: s["out"]).alias("chunks"))
-    return numbered.select(by, F.inline(F.arrays_zip("items", "chunks"))).select(by, F.col("items.o").alias(order), F.col("items.w").alias(weight), F.col("chunks").alias("chunk"))
+def running_before(rows: DataFrame, by: list[str], order: str, value: str, block: int) -> DataFrame:
+    """``rows`` with before: the sum of ``value`` over the rows of the key before it by the whole number ``order``.
+
+    Blocks of ``block`` numbers are summed first, and only their sums run over a whole key, so a key
+    with a large part of all rows is spread over as many tasks as it has blocks. ``order`` is unique
+    within a key.
+    """
+    own = rows.withColumn("__block", F.floor(F.col(order) / block))
+    sums = own.groupBy(*by, "__block").agg(F.sum(value).alias("__sum"))
+    ahead = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__block", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = own.join(sums, [*by, "__block"])
+    return joined.withColumn("before", (F.col("__ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("__block", "__ahead").select(*rows.columns, "before")
 
 
 def streaks(rows: DataFrame, by: str, order: list[str], failed: Column) -> DataFrame:

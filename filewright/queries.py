@@ -45,7 +45,7 @@ FILES = f"""files AS (
     CASE WHEN doc_id % 17 = 0 THEN 0 ELSE strlen(text) END AS bytes, text, source FROM documents))"""
 # The SQL spells out its own values, so that a wrong constant of an operator shows.
 _REFUSED = """(name LIKE '.%'
-  OR lower(name) IN ('.ssh', '.gnupg', '.aws', '.kube', '.config', '.git', '.contextbox', 'ssh', 'gnupg', 'keychain', 'keychains', 'credentials', 'credential', 'secrets', 'secret', 'tokens', 'token')
+  OR lower(name) IN ('.ssh', '.gnupg', '.aws', '.kube', '.config', '.git', 'ssh', 'gnupg', 'keychain', 'keychains', 'credentials', 'credential', 'secrets', 'secret', 'tokens', 'token')
   OR regexp_matches(lower(name), '^(\\.env|\\.npmrc|\\.netrc|id_rsa|id_ed25519|id_ecdsa|id_dsa|data\\.db)(\\..*)?$')
   OR regexp_matches(lower(name), '\\.(db|sqlite|sqlite3|pem|key|p12|pfx|ini|cfg|conf|lnk|url)$'))"""
 DRAFTS = f"""aged AS (SELECT *, CAST(floor(epoch(TIMESTAMP '{NOW}' - mtime) / 86400) AS BIGINT) AS age FROM files WHERE NOT {_REFUSED}),

@@ -1,9 +1,10 @@
-"""Session helpers shared by the operators: tables, code shipping, a default local session."""
+"""Session helpers shared by the operators: tables, written steps, code shipping, a default local session."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -31,6 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset and Spark runs on this machine alone a temporary folder is used.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _local[context.applicationId]
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share the driver's path."""
     context = spark.sparkContext
