@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import small_batches, stash
-from filewright.llm.bpe import _byte_chars
-from filewright.llm.runs import runs
+from filewright.llm.bpe import SPACE, _byte_chars
+from filewright.llm.pieces import pieces
 
 #: More than any id of the second tokenizer; makes a pair of ids one number.
 PAIR = 1 << 24
-#: Bytes of text that a chunk holds, and then at most one document more.
-CHUNK_BYTES = 8 << 20
+#: Characters of text that a chunk holds, and then at most one batch of documents more.
+CHUNK_CHARS = 4 << 20
+#: Marks that a byte-level split always cuts from the letter before them.
+MARKS = ",.;:!?)"
+#: Units that a worker remembers between chunks, none longer than UNIT_CHARS: some 400 bytes each.
+MEMO_UNITS, UNIT_CHARS = 400_000, 64
 #: Nodes and transitions that a worker remembers, and tokens of a group that is remembered whole.
 MEMO_NODES, MEMO_MOVES, MEMO_TOKENS = 1_000_000, 500_000, 32
 
@@ -75,10 +80,12 @@ class Transducer:
         self.at, self.node_turn, self.nexts, self.parent, self.read = [0], [0], [{}], [-1], [-1]
         self.known: list[Group] = []
 
-    def refresh(self) -> None:
-        """Forget all when there is too much to remember; numbers of groups start anew then."""
-        if len(self.at) > MEMO_NODES // 2 or self.n_moves > MEMO_MOVES:
+    def refresh(self) -> bool:
+        """Forget all when there is too much to remember, and say so; numbers of groups start anew then."""
+        full = len(self.at) > MEMO_NODES // 2 or self.n_moves > MEMO_MOVES
+        if full:
             self.forget()
+        return full
 
     def move(self, residual: int, token: int) -> int:
         """The residual after the next token of the side whose turn it is; -1 if its bytes do not follow."""
@@ -177,9 +184,9 @@ class Pair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
 
-        self.runs = runs(byte_path, plain=True)
+        self.bytes = pieces(byte_path, plain=True, memo=MEMO_UNITS // 2)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        vocab, of = self.runs.tokenizer.get_vocab(), _byte_chars()
+        vocab, of = self.bytes.tokenizer.get_vocab(), _byte_chars()
         one = [b""] * (1 + max(vocab.values()))
         for token, i in vocab.items():
             one[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
@@ -187,17 +194,73 @@ class Pair:
         two = [bytes([int(spell.id_to_piece(i)[3:5], 16)]) if spell.is_byte(i) else spell.id_to_piece(i).replace("▁", " ").encode() for i in range(spell.get_piece_size())]
         self.one, self.two, self.transducer = one, two, Transducer(one, two)
 
+        # the byte-level split cuts before a blank that follows no white space, and between a letter and a
+        # mark; so does the piece model if no piece reaches across, and then such parts stand each alone
+        pieces_ = [spell.id_to_piece(i) for i in range(spell.get_piece_size()) if not spell.is_control(i)]
+        self.local = self.bytes.known and not any(re.search("[^▁]▁", x) for x in pieces_)
+        marks = "".join(x for x in MARKS if not any(re.search(f"[A-Za-z]{re.escape(x)}", y) for y in pieces_))
+        mark, word, rest = f"[{re.escape(marks)}]" if marks else "(?!)", " [A-Za-z]+", f"[^{SPACE}]+(?:(?! )[{SPACE}]+)?"
+        self.cut = re.compile(f"{word}(?= |{mark})|{mark}(?= )| [{SPACE}]*(?:{rest})*|(?:{rest})+")
+        self.blank = spell.piece_to_id("▁")
+        self.units: dict[str, Unit | None] = {}
+
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both tokenizers, None for empty texts and those that either does not spell as they are."""
-        spelled = [" " + x for x in texts]
+        """Ids of both tokenizers for parts of texts, None where either does not spell them as they are.
+
+        The piece model adds a blank. A part that begins with another character follows a letter:
+        it is encoded behind a blank and a letter that no piece joins to it, which are taken off.
+        """
+        begins = [x.startswith(" ") for x in texts]
+        words = [first and x.isascii() and x[1:].isalpha() for x, first in zip(texts, begins, strict=True)]
+        whole = iter(self.bytes.learn([x for x, w in zip(texts, words, strict=True) if w]))  # one piece of the split each
+        others = iter(self.bytes.encode([x for x, w in zip(texts, words, strict=True) if not w]))
+        encoded = self.pieces.encode([x[1:] if first else "a" + x for x, first in zip(texts, begins, strict=True)], num_threads=1)
         out: list[tuple[list[int], list[int]] | None] = []
-        for text, packed, b in zip(spelled, self.runs.encode(spelled), self.pieces.encode(texts, num_threads=1), strict=True):
-            a, whole = memoryview(packed).cast("I").tolist(), text.encode()
-            good = len(text) > 1 and b"".join(map(self.one.__getitem__, a)) == whole and b"".join(map(self.two.__getitem__, b)) == whole
-            out.append((a, b) if good else None)
+        one, two = self.one.__getitem__, self.two.__getitem__
+        for text, first, word, b in zip(texts, begins, words, encoded, strict=True):
+            a, spelled = memoryview(next(whole) if word else next(others)).cast("I").tolist(), text.encode()
+            b = (b if len(text) > 1 else [self.blank]) if first else b[1:]
+            out.append((a, b) if b"".join(map(one, a)) == spelled and b"".join(map(two, b)) == spelled else None)
+        return out
+
+    def split(self, text: str) -> list[str]:
+        """A blank and ``text`` in units that both tokenizers spell each on its own; empty for an empty text."""
+        if not text:
+            return []
+        return self.cut.findall(f" {text}") if self.local else [f" {text}"]
+
+    def learn(self, unknown: list[str]) -> None:
+        """Align units that are new, all as one stream, since each of them ends a token on both sides."""
+        for at in range(0, len(unknown), 10_000):
+            some = unknown[at : at + 10_000]
+            tokens = self.tokens(some)
+            self.units.update((text, None) for text, x in zip(some, tokens, strict=True) if x is None)
+            good = [(text, *x) for text, x in zip(some, tokens, strict=True) if x is not None]
+            found = self.transducer.numbered(list(chain.from_iterable(a for _, a, _ in good)), list(chain.from_iterable(b for _, _, b in good)))
+            if found is None or found[1]:  # some group is not remembered, so the units are aligned each
+                for text, a, b in good:
+                    self.units[text] = self._units([(text, a, b)], *self.transducer.numbered(a, b))[0]
+            else:
+                self.units.update(zip([x[0] for x in good], self._units(good, *found), strict=True))
+
+    def _units(self, good: list[tuple], groups: list[int], others: list[Group]) -> list[Unit]:
+        known = self.transducer.known
+        of = [known[g] if g >= 0 else others[-1 - g] for g in groups]
+        read = np.cumsum([len(x.a) for x in of])  # a unit's last group is the one that reads its last token
+        ends = (np.searchsorted(read, np.cumsum([len(a) for _, a, _ in good])) + 1).tolist()
+        links, texts = [x.links for x in of], [x.text for x in of]
+        packed, out, last = np.array(groups, np.int32).tobytes(), [], 0
+        for (_, a, b), end in zip(good, ends, strict=True):
+            out.append((len(a), len(b), end - last, sum(links[last:end]), ";".join(texts[last:end]), packed[4 * last : 4 * end], others or None))
+            last = end
         return out
 
 
+#: A part of a text: numbers of tokens, groups and links, the groups as text and as packed numbers,
+#: and those groups that are not remembered.
+Unit = tuple[int, int, int, int, str, bytes, list[Group] | None]
+
+
 @lru_cache(maxsize=1)
 def pair(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
@@ -207,7 +270,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys in order and the sums of their values."""
     if not len(keys):
         return keys, values
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(values[order], first)
@@ -223,39 +286,61 @@ class Chunk:
     """Documents up to a number of bytes, and the distinct groups and pairs that they hold."""
 
     def __init__(self, own: Pair):
-        own.transducer.refresh()
-        self.transducer, self.size = own.transducer, 0
+        if len(own.units) > MEMO_UNITS:
+            own.units.clear()
+        if own.transducer.refresh():
+            own.units.clear()
+        self.own, self.size = own, 0
         self.doc_ids: list[object] = []
         self.sums: tuple[list, ...] = ([], [], [], [], [])
-        self.groups: list[list[int]] = []
+        self.groups: list[np.ndarray] = []
         self.others: list[Group] = []
 
-    def add(self, doc_id: object, size: int, tokens: tuple[list[int], list[int]] | None) -> None:
-        found = self.transducer.numbered(*tokens) if tokens else None
-        told, own = (0, 0, 0, 0, ""), []
-        if found:
-            known, before = self.transducer.known, len(self.others)
-            self.others += found[1]
-            of = [known[g] if g >= 0 else found[1][-1 - g] for g in found[0]]
-            own = [g if g >= 0 else g - before for g in found[0]]  # places among the others of the chunk
-            digest = hashlib.sha256(";".join([x.text for x in of]).encode()).hexdigest()
-            told = (len(tokens[0]), len(tokens[1]), len(of), sum([x.links for x in of]), digest)
-        self.size += size
-        self.doc_ids.append(doc_id)
-        self.groups.append(own)
-        for column, value in zip(self.sums, told, strict=True):
-            column.append(value)
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        units = [self.own.split(x) for x in texts]
+        local = dict.fromkeys(chain.from_iterable(units))
+        self.own.learn([x for x in local if x not in self.own.units])
+        for unit in local:
+            local[unit] = self.own.units[unit]
+            if len(unit) > UNIT_CHARS:
+                del self.own.units[unit]
+        for doc_id, text, names in zip(doc_ids, texts, units, strict=True):
+            parts = list(map(local.__getitem__, names))
+            told, own = (0, 0, 0, 0, ""), np.empty(0, np.int32)
+            if parts and None not in parts:
+                n_a, n_b, n_groups, links, spelled, packed, others = zip(*parts, strict=True)
+                own = np.frombuffer(b"".join(packed), np.int32) if not any(others) else self._with_others(parts)
+                digest = hashlib.sha256(";".join(spelled).encode()).hexdigest()
+                told = (sum(n_a), sum(n_b), sum(n_groups), sum(links), digest)
+            self.size += len(text)
+            self.doc_ids.append(doc_id)
+            self.groups.append(own)
+            for column, value in zip(self.sums, told, strict=True):
+                column.append(value)
+
+    def _with_others(self, parts: list[Unit]) -> np.ndarray:
+        """Numbers of groups where those that are not remembered are places in the chunk's list of them."""
+        out = []
+        for *_, packed, others in parts:
+            groups = np.frombuffer(packed, np.int32)
+            out.append(np.where(groups < 0, groups - len(self.others), groups))
+            self.others += others or []
+        return np.concatenate(out)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs of the chunk, and place of document, place of pair and number of links of each pair of a document."""
-        lengths = np.array([len(x) for x in self.groups], np.int64)
-        of = np.array(list(chain.from_iterable(self.groups)), np.int64)
-        used, place = np.unique(of, return_inverse=True)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        lengths, known = np.array([len(x) for x in self.groups], np.int64), self.own.transducer.known
+        of = np.concatenate([np.empty(0, np.int32), *self.groups]).astype(np.int64)
+        of = np.where(of < 0, len(known) - 1 - of, of)  # the others after those that are remembered
+        used = np.flatnonzero(np.bincount(of, minlength=1))
+        place = np.zeros(int(of.max(initial=0)) + 1, np.int64)
+        place[used] = np.arange(len(used))
         # each distinct group of a document once
-        keys, times = _summed(doc * max(1, len(used)) + place, np.ones(len(of), np.int64))
-        doc, place = np.divmod(keys, max(1, len(used)))
-        spelled = [(self.transducer.known[g] if g >= 0 else self.others[-1 - g]).pairs() for g in used.tolist()]
+        keys = np.sort(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(used)) + place[of])
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        times = np.diff(np.r_[first, len(keys)])
+        doc, place = np.divmod(keys[first], max(1, len(used)))
+        spelled = [(known[g] if g < len(known) else self.others[g - len(known)]).pairs() for g in used.tolist()]
         held = np.array([len(x) for x, _ in spelled], np.int64)
         flat = np.concatenate([np.empty(0, np.int64), *(x for x, _ in spelled)])
         often = np.concatenate([np.empty(0, np.int64), *(n for _, n in spelled)])
@@ -293,7 +378,8 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(byte_path, piece_path)
         for batch in batches:
-            found = [(own.transducer.align(*x) if x else None) or [] for x in own.tokens([x or "" for x in batch.column(1).to_pylist()])]
+            texts = [f" {x or ''}" for x in batch.column(1).to_pylist()]
+            found = [(own.transducer.align(*x) if x and len(text) > 1 else None) or [] for text, x in zip(texts, own.tokens(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"a": a, "b": b} for a, b in x] for x in found], told)], ["doc_id", "groups"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, groups array<struct<a:array<int>,b:array<int>>>")
@@ -308,7 +394,7 @@ def report(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     empty digest. Counts of pairs are over the documents of the whole table, repeated rows
     included; n_best are links whose count is the highest of their A id, ties included. An empty
     table gives no rows; a null doc_id stays; other columns are ignored. A chunk's memory follows
-    CHUNK_BYTES or its one longer text, and the distinct ids of its longest group.
+    CHUNK_CHARS or its one longer text, and the distinct ids of its longest group.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -319,11 +405,11 @@ def report(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         own, number = pair(byte_path, piece_path), TaskContext.get().partitionId() << 33
         chunk, arrow = Chunk(own), None
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            arrow = ids.type
-            for doc_id, text, tokens in zip(ids.to_pylist(), texts, own.tokens(texts), strict=True):
-                chunk.add(doc_id, len(text), tokens)
-                if chunk.size >= CHUNK_BYTES:
+            arrow = batch.column(0).type
+            for at in range(0, len(batch), 64):
+                ids, texts = (batch.column(c).slice(at, 64).to_pylist() for c in (0, 1))
+                chunk.add(ids, [x or "" for x in texts])
+                if chunk.size >= CHUNK_CHARS:
                     yield chunk.rows(number, arrow)
                     chunk, number = Chunk(own), number + 1
         if chunk.doc_ids:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm._shared import small_batches, stash
-from filewright.llm.runs import runs
+from filewright.llm.pieces import pieces as encoder
 
 CAPACITY, END_ID = 1024, 0
 #: Open pieces that a shard holds on average; a shard wastes about one window.
@@ -46,30 +47,46 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     >>> difference([], 2), difference([5], 3)
     ([[], []], [[0], [], []])
     """
-    # a partial partition: its sums that are not zero in falling order, and the node of each window;
-    # node i < n is item i, later nodes join two earlier ones
+    # a partial partition: its sums that are not zero, falling as negative numbers, and the node of
+    # each window; node i < n is item i, later nodes join two earlier ones
     n, joins = len(sizes), []
-    partial = [(np.array([s], np.int64), np.array([i])) for i, s in enumerate(sizes)]
-    heap = [(-s if windows > 1 else 0, i) for i, s in enumerate(sizes)]
+    order = sorted(range(n), key=lambda i: -sizes[i])
+    # the largest piece stays the largest difference until it has been merged with the next ones into
+    # a partition without an empty window
+    first = order[:windows]
+    partial = [([-sizes[i] for i in first], list(first))] if first else []
+    partial += [([-sizes[i]], [i]) for i in order[windows:]]
+
+    def spread(sums: list[int]) -> int:
+        return sums[0] - (sums[-1] if len(sums) == windows else 0)  # not above zero: heaps give the least
+
+    heap = [(spread(x), i) for i, (x, _) in enumerate(partial)]
     heapify(heap)
     while len(heap) > 1:
-        (a, of_a), (b, of_b) = (partial[heappop(heap)[1]] for _ in range(2))
-        over = len(a) + len(b) - windows  # windows that both fill: the smallest of a with the smallest of b
+        a, b = (partial[heappop(heap)[1]] for _ in range(2))
+        (sums, nodes), (less, others) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+        over = len(sums) + len(less) - windows  # windows that both fill: the smallest of either, opposed
         if over > 0:
-            # largest of a meets smallest of b: a stays as it is before the first shared window
-            first = len(a) - over
-            sums = np.concatenate([a[:first], a[first:] + b[len(b) - over :][::-1], b[: len(b) - over]])
-            joined = np.arange(n + len(joins), n + len(joins) + over)
-            joins.extend(zip(of_a[first:].tolist(), of_b[len(b) - over :][::-1].tolist(), strict=True))
-            of = np.concatenate([of_a[:first], joined, of_b[: len(b) - over]])
+            kept, alone = len(sums) - over, len(less) - over
+            met = list(zip(nodes[kept:][::-1], others[alone:], strict=True))
+            added = [(x + y, n + len(joins) + i) for i, (x, y) in enumerate(zip(sums[kept:][::-1], less[alone:], strict=True))]
+            joins += met
+            sums, nodes = sums[:kept], nodes[:kept]
+            added += zip(less[:alone], others[:alone], strict=True)
+        else:
+            added = list(zip(less, others, strict=True))
+        if len(added) <= 8:
+            for x, node in added:
+                at = bisect_right(sums, x)
+                sums.insert(at, x)
+                nodes.insert(at, node)
         else:
-            sums, of = np.concatenate([a, b]), np.concatenate([of_a, of_b])
-        order = np.argsort(-sums, kind="stable")
-        sums, of = sums[order], of[order]
-        partial.append((sums, of))
-        heappush(heap, (int((sums[-1] if len(sums) == windows else 0) - sums[0]), len(partial) - 1))
+            merged = sorted([*zip(sums, nodes, strict=True), *added])
+            sums, nodes = [x for x, _ in merged], [node for _, node in merged]
+        partial.append((sums, nodes))
+        heappush(heap, (spread(sums), len(partial) - 1))
     out = []
-    for root in partial[-1][1].tolist() if partial else []:
+    for root in partial[-1][1] if partial else []:
         todo, items = [root], []
         while todo:
             node = todo.pop()
@@ -109,7 +126,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         return [{"start": at, "length": min(at + step, stop) - at, "crc": zlib.crc32(packed[4 * at : 4 * min(at + step, stop)])} for at in range(start, stop, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = runs(path)
+        own = encoder(path)
         for batch in batches:
             row, doc, text = batch.columns
             out: list[list] = [[], [], [], [], [], []]

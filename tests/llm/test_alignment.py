@@ -11,6 +11,7 @@ from filewright.llm import alignment, queries
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     None, "", " ", "a", "<|endoftext|> and <s> </s> <unk> <0x41>", "▁ low line", "tab\tand\nline  two   blanks ", "naïve Grüße 東京特許 🙂🙂 é", "\x00\x01\x85\xa0 ",
+    "a　  b　 c \n d\n  e\t f \xa0 g  ", "x\u2028 y", "  lead", "trail ", "  ", "\n", "it's a\xa0 b",
     "supercalifragilistic " * 40, "ab" * 3000, "🙂" * 50, "'s 're don't 12345 1,000.50", "مرحبا بالعالم हिन्दी",
 ]
 
@@ -70,7 +71,7 @@ def test_report_matches_offsets(spark, monkeypatch):
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, chunk int").repartition(3)
     want = brute(rows)
     for chunk, nodes, tokens in ((8 << 20, 10**6, 32), (300, 50, 3)):
-        monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(alignment, "CHUNK_CHARS", chunk)
         monkeypatch.setattr(alignment, "MEMO_NODES", nodes)
         monkeypatch.setattr(alignment, "MEMO_TOKENS", tokens)
         assert sorted(map(tuple, alignment.report(frame, BYTES, PIECES).collect()), key=str) == want

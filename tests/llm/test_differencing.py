@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from filewright.llm import differencing, queries, runs
+from filewright.llm import differencing, pieces, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -97,14 +97,14 @@ def test_empty_missing_and_repeated_rows(spark):
     assert differencing.pack(frame.limit(0), PATH).count() == 0
 
 
-def test_runs_match_the_library():
+def test_pieces_match_the_library():
     rng = random.Random(2)
     some = "ab '\n\t\r\x20\x85\xa0　.,1é東🙂\x00 "
-    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 50))) + rng.choice(["", "<|endoftext|>", " don't", "  "]) for _ in range(3000)]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 50))) + rng.choice(["", "", "<|endoftext|>", " don't", "  ", "東　🙂", "Ċ"]) for _ in range(3000)]
     for plain in (False, True):
         library = Tokenizer.from_file(PATH)
         library.encode_special_tokens = plain
-        got = [np.frombuffer(x, "<u4").tolist() for x in runs.runs(PATH, plain).encode(texts)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in pieces.pieces(PATH, plain).encode(texts)]
         assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
