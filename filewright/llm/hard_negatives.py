@@ -12,7 +12,9 @@ than the k that it has. Rows that the tree's bounds let through are told apart b
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import partial
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,7 +30,9 @@ SCALE, EVERY, POSITIVES, K = 256, 50, 5, 3
 #: A negative's score lies between LOW and HIGH hundredths of the positive's.
 LOW, HIGH = 50, 95
 #: Rows of a tree and anchors of an anchor block, on average, and rows of a leaf: they bound a task's memory.
-BLOCK_ROWS, ANCHOR_ROWS, LEAF_ROWS = 4096, 8192, 64
+BLOCK_ROWS, ANCHOR_ROWS, LEAF_ROWS = 4096, 8192, 256
+#: Anchors whose scores are multiplied at once.
+STRIP = 512
 #: Rows with a component of this size or more stand in no tree: they are compared with every anchor.
 WIDE = 1 << 22
 #: Scores are compared exactly up to this size; larger ones count as that.
@@ -78,46 +82,61 @@ class Tree:
 
 
 class Annulus:
-    """Whole scores from ``low`` to ``high`` (numerators over ``over``), None where there is no end."""
+    """Whole scores from ``low`` to ``high``, None where there is no end."""
 
-    def __init__(self, low: int | None = None, high: int | None = None, over: int = 1):
-        self.low, self.high, self.over = low, high, over
+    def __init__(self, low: int | None = None, high: int | None = None):
+        self.low, self.high = low, high
 
-    def holds(self, score: np.ndarray) -> np.ndarray:
-        inside = np.ones(len(score), bool)
-        if self.low is not None:
-            inside &= (self.over * score >= self.low).astype(bool)
-        if self.high is not None:
-            inside &= (self.over * score <= self.high).astype(bool)
-        return inside
+    @staticmethod
+    def within(score: int, low: int, high: int) -> Annulus:
+        """Scores of ``low`` to ``high`` hundredths of a score.
 
+        >>> x = Annulus.within(7, 50, 95)
+        >>> x.low, x.high
+        (4, 6)
+        """
+        return Annulus(-(-low * score // 100), high * score // 100)
 
-class Seeker:
-    """One anchor before a tree: its distances to all vantage points, shared by all its searches."""
+    def holds(self, score: int) -> bool:
+        return (self.low is None or score >= self.low) and (self.high is None or score <= self.high)
 
-    def __init__(self, tree: Tree, anchor: np.ndarray):
-        self.tree, self.anchor = tree, anchor.astype(np.float64)
-        self.both = float(self.anchor @ self.anchor) + tree.longest
-        self.visited = 0
-        self.distances: dict[int, float] = {}
-        self.slack = 1e-7 * math.sqrt(self.both + tree.longest) + 1e-6  # rounding never hides a row
 
-    def to_vantage(self, node: int) -> float:
-        found = self.distances.get(node)
+class Strip:
+    """Some anchors before a tree: the scores of all rows of a node are multiplied for all of them at once."""
+
+    def __init__(self, tree: Tree, anchors: np.ndarray):
+        self.tree, self.anchors = tree, anchors.astype(np.float64)
+        self.leaves: dict[int, np.ndarray] = {}
+        points = [v for v in tree.vantage if v >= 0]
+        self.to_points = dict(zip([n for n, v in enumerate(tree.vantage) if v >= 0], (self.anchors @ tree.floats[points].T).T, strict=True))
+
+    def scores(self, leaf: int) -> np.ndarray:
+        found = self.leaves.get(leaf)
         if found is None:
-            product = float(self.tree.floats[self.tree.vantage[node]] @ self.anchor)
-            found = self.distances[node] = math.sqrt(max(0.0, self.both - 2 * product))
+            low, high = self.tree.span[leaf]
+            found = self.leaves[leaf] = self.anchors @ self.tree.floats[self.tree.order[low:high]].T
         return found
 
+
+class Seeker:
+    """One anchor of a strip: its distances to all vantage points, shared by all its searches."""
+
+    def __init__(self, strip: Strip, at: int):
+        self.tree, self.strip, self.at = strip.tree, strip, at
+        own = strip.anchors[at]
+        self.both = float(own @ own) + self.tree.longest
+        self.visited = 0
+        self.slack = 1e-7 * math.sqrt(self.both + self.tree.longest) + 1e-6  # rounding never hides a row
+
     def distance(self, score: float) -> float:
         return math.sqrt(max(0.0, self.both - 2 * score))
 
     def first(self, k: int, annulus: Annulus, allowed: np.ndarray) -> tuple[list[int], list[int]]:
         """Rows and scores of the k highest scores in the annulus among ``allowed`` rows, ties by row."""
-        tree, best = self.tree, (np.empty(0, np.int64), np.empty(0, np.int64))
-        inner = 0.0 if annulus.high is None else self.distance(annulus.high / annulus.over) - self.slack
-        outer = math.inf if annulus.low is None else self.distance(annulus.low / annulus.over) + self.slack
-        limit = outer  # what is farther is out of the annulus or behind the k-th
+        tree, rows, scores = self.tree, np.empty(0, np.int64), np.empty(0)
+        inner = 0.0 if annulus.high is None else self.distance(annulus.high) - self.slack
+        limit = math.inf if annulus.low is None else self.distance(annulus.low) + self.slack
+        least_score = -math.inf if annulus.low is None else annulus.low  # of the annulus, then of the k-th
         heap = [(inner, 0)]
         while heap:
             least, node = heappop(heap)
@@ -126,23 +145,28 @@ class Seeker:
             if tree.vantage[node] < 0:
                 low, high = tree.span[node]
                 self.visited += high - low
-                at = tree.order[low:high]
-                score = (tree.floats[at] @ self.anchor).astype(np.int64)
-                good = allowed[at] & annulus.holds(score)
-                if good.any():
-                    row, score = np.concatenate([best[0], at[good]]), np.concatenate([best[1], score[good]])
-                    order = np.lexsort((row, -score))[:k]
-                    best = (row[order], score[order])
+                score = self.strip.scores(node)[self.at]
+                good = score >= least_score
+                if annulus.high is not None:
+                    good &= score <= annulus.high
+                found = np.flatnonzero(good)
+                if len(found):
+                    at = tree.order[low + found]
+                    may = allowed[at]
+                    rows, scores = np.concatenate([rows, at[may]]), np.concatenate([scores, score[found[may]]])
+                    order = np.lexsort((rows, -scores))[:k]
+                    rows, scores = rows[order], scores[order]
                     if len(order) == k:
-                        limit = min(outer, self.distance(float(best[1][-1])) + self.slack)
+                        least_score = float(scores[-1])
+                        limit = min(limit, self.distance(least_score) + self.slack)
                 continue
-            to = self.to_vantage(node)
+            to = self.distance(float(self.strip.to_points[node][self.at]))
             near_least, near_most, far_least, far_most = tree.bound[node]
             for child, nearest, farthest in ((tree.child[node][0], near_least, near_most), (tree.child[node][1], far_least, far_most)):
                 bound = max(least, to - farthest - self.slack, nearest - to - self.slack)
                 if bound <= limit and to + farthest + self.slack >= inner:
                     heappush(heap, (bound, child))
-        return best[0].tolist(), best[1].tolist()
+        return rows.tolist(), scores.astype(np.int64).tolist()
 
 
 class Block:
@@ -159,24 +183,27 @@ class Block:
         self.given, self.scale = given, scale
         self.uids, self.labels = rows["uid"].to_numpy(), rows["label"].to_numpy()
 
-    def seeker(self, anchor: np.ndarray):
-        """Searches for one anchor over all rows of the block."""
-        exact = big(anchor, self.scale)
-        plain = not len(exact) or max(abs(x) for x in exact) < WIDE
-        seek = Seeker(self.tree, exact.astype(np.int64)) if plain else None
-        # what no tree holds, or every row for a wide anchor
-        aside = {i: int(v @ exact) for i, v in self.wide.items()}
-        if not plain:
-            aside |= {int(i): int(big(self.given[i], self.scale) @ exact) for i in self.place}
-
-        def first(k: int, annulus: Annulus, allowed: np.ndarray) -> list[tuple[int, int]]:
-            found = [(i, s) for i, s in aside.items() if allowed[i] and annulus.holds(np.array([s], object))[0]]
-            if seek and len(self.place):
-                rows, scores = seek.first(k, annulus, allowed[self.place])
-                found += zip(self.place[rows].tolist(), scores, strict=True)
-            return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
-
-        return first
+    def searches(self, anchors: np.ndarray) -> Iterator[Callable[[int, Annulus, np.ndarray], list[tuple[int, int]]]]:
+        """For each anchor what finds its first rows of an annulus among all allowed rows of the block."""
+        exact = [big(x, self.scale) for x in anchors]
+        plain = np.array([not len(x) or max(abs(y) for y in x) < WIDE for x in exact], bool)
+        for start in range(0, len(anchors), STRIP):
+            some = [n for n in range(start, min(start + STRIP, len(anchors))) if plain[n]]
+            strip = Strip(self.tree, np.array([exact[n] for n in some], np.float64).reshape(len(some), self.given.shape[1]))
+            place = {n: i for i, n in enumerate(some)}
+            for n in range(start, min(start + STRIP, len(anchors))):
+                # what no tree holds, or every row for a wide anchor
+                aside = {i: int(v @ exact[n]) for i, v in self.wide.items()}
+                if not plain[n]:
+                    aside |= {int(i): int(big(self.given[i], self.scale) @ exact[n]) for i in self.place}
+                yield partial(self._first, Seeker(strip, place[n]) if plain[n] and len(self.place) else None, aside)
+
+    def _first(self, seek: Seeker | None, aside: dict[int, int], k: int, annulus: Annulus, allowed: np.ndarray) -> list[tuple[int, int]]:
+        found = [(i, s) for i, s in aside.items() if allowed[i] and annulus.holds(s)]
+        if seek:
+            rows, scores = seek.first(k, annulus, allowed[self.place] if self.wide else allowed)
+            found += zip(self.place[rows].tolist(), scores, strict=True)
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
 
 
 def _clamped(scores: list[int]) -> pa.Array:
@@ -194,10 +221,10 @@ def _in_block(anchors: pa.Table, rows: pa.Table, scale: int, k: int, within: tup
     block, out = Block(rows, scale), ([], [], [], [])
     asked = matrix(anchors["v"], np.float64)
     bounds = anchors["bounds"].to_pylist() if within else [None] * len(anchors)
-    for anchor, uid, label, spans in zip(asked, anchors["uid"].to_pylist(), anchors["label"].to_pylist(), bounds, strict=True):
-        first, same = block.seeker(anchor), block.labels == label
+    for first, uid, label, spans in zip(block.searches(asked), anchors["uid"].to_pylist(), anchors["label"].to_pylist(), bounds, strict=True):
+        same = block.labels == label
         if within:
-            searches = [(x["window"], Annulus(*(int(x["score"]) * part for part in within), 100), ~same) for x in spans]
+            searches = [(x["window"], Annulus.within(int(x["score"]), *within), ~same) for x in spans]
         else:
             searches = [(0, Annulus(), same & (block.uids != uid))]
         for window, annulus, allowed in searches:

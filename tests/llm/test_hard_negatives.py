@@ -39,6 +39,7 @@ def test_negatives_match_brute_force(spark, rows, monkeypatch, block):
     monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", block)
     monkeypatch.setattr(hard_negatives, "ANCHOR_ROWS", 3)
     monkeypatch.setattr(hard_negatives, "LEAF_ROWS", 8)
+    monkeypatch.setattr(hard_negatives, "STRIP", 4)
     got = [(a, p if p is not None else 10**9, r, n if n is not None else 10**9, s, t) for a, p, r, n, s, t in map(tuple, hard_negatives.mine(labelled(spark, rows)).collect())]
     want = brute(rows)
     assert len(want) > 50 and sorted(got) == want
@@ -54,13 +55,14 @@ def test_large_components_are_exact(spark):
     assert first[50, 51].negative_id == 52 and all(r.positive_score <= limit for r in got)
 
 
-def test_the_traversal_visits_near_rows_alone_and_misses_none():
+def test_the_traversal_visits_near_rows_alone_and_misses_none(monkeypatch):
     rng = np.random.default_rng(3)
     real = near_copies(rng, 4000, 400, 8)
     rows = np.floor(256 * real / np.linalg.norm(real, axis=1)[:, None]).astype(np.int64)
+    monkeypatch.setattr(hard_negatives, "LEAF_ROWS", 32)
     tree, allowed, visits = hard_negatives.Tree(rows), rng.random(4000) < 0.7, []
     for at in range(0, 4000, 400):
-        seeker, score = hard_negatives.Seeker(tree, rows[at]), rows @ rows[at]
+        seeker, score = hard_negatives.Seeker(hard_negatives.Strip(tree, rows[at : at + 1]), 0), rows @ rows[at]
         for low, high in ((None, None), (int(score[at] * 0.5), int(score[at] * 0.95)), (int(score.max()) + 1, None)):
             annulus, before = hard_negatives.Annulus(low, high), seeker.visited
             good = np.flatnonzero(allowed & (score >= (low if low is not None else score.min())) & (score <= (high if high is not None else score.max())))
