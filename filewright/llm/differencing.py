@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +31,9 @@ CAPACITY, END_ID = 1024, 0
 SHARD_PIECES = 4096
 #: More windows of a shard than there can be; makes numbers of windows.
 WINDOWS_MOST = 1 << 24
-#: The window count of a shard rises by one window in RISE at most; beyond that its longest pieces
-#: are cut at every CELLS-th part of a window, then shorter ones as well. Once no piece is longer
-#: than such a part, the count may rise freely.
+#: The window count of a shard rises by one window in RISE at most; beyond that its pieces are cut
+#: at every CELLS-th part of a window, and the count may rise freely.
 RISE, CELLS = 128, 4
-CELL = "struct<start:long,length:long,crc:long>"
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -65,6 +62,17 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     while len(heap) > 1:
         a, b = (partial[heappop(heap)[1]] for _ in range(2))
         (sums, nodes), (less, others) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+        if len(less) == 1:  # a single piece goes to the smallest window
+            x, node = less[0], others[0]
+            if len(sums) == windows:
+                joins.append((nodes.pop(), node))
+                x, node = x + sums.pop(), n + len(joins) - 1
+            at = bisect_right(sums, x)
+            sums.insert(at, x)
+            nodes.insert(at, node)
+            partial.append((sums, nodes))
+            heappush(heap, (spread(sums), len(partial) - 1))
+            continue
         over = len(sums) + len(less) - windows  # windows that both fill: the smallest of either, opposed
         if over > 0:
             kept, alone = len(sums) - over, len(less) - over
@@ -75,14 +83,8 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
             added += zip(less[:alone], others[:alone], strict=True)
         else:
             added = list(zip(less, others, strict=True))
-        if len(added) <= 8:
-            for x, node in added:
-                at = bisect_right(sums, x)
-                sums.insert(at, x)
-                nodes.insert(at, node)
-        else:
-            merged = sorted([*zip(sums, nodes, strict=True), *added])
-            sums, nodes = [x for x, _ in merged], [node for _, node in merged]
+        merged = sorted([*zip(sums, nodes, strict=True), *added])
+        sums, nodes = [x for x, _ in merged], [node for _, node in merged]
         partial.append((sums, nodes))
         heappush(heap, (spread(sums), len(partial) - 1))
     out = []
@@ -99,13 +101,18 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def windows_of(sizes: np.ndarray, capacity: int, most: int | None) -> list[list[int]] | None:
-    """Windows of at most ``capacity``: their number starts at the least and rises until all fit, up to ``most``."""
-    count, step, listed = max(1, math.ceil(int(sizes.sum()) / capacity)), 1, sizes.tolist()
+    """Windows of at most ``capacity``: their number starts at the least and rises until all fit, up to ``most``.
+
+    What the fullest window has above the mean says how far it has to rise, by one window in RISE at once.
+    """
+    total, listed = int(sizes.sum()), sizes.tolist()
+    count = max(1, math.ceil(total / capacity))
     while most is None or count <= most:
         made = difference(listed, count)
-        if max(sum(map(listed.__getitem__, w)) for w in made) <= capacity:
+        above = max(sum(map(listed.__getitem__, w)) for w in made) - total / count
+        if total / count + above <= capacity:
             return made
-        count, step = count + step, min(2 * step, max(1, count // RISE))
+        count += min(max(1, math.ceil(total / max(1, capacity - above)) - count), max(1, count // RISE))
     return None
 
 
@@ -113,17 +120,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``(row, doc_id, doc_tokens, start, length, crc, cells)`` of every document.
 
     A document is its ids and one end id; null counts as empty and is the end id alone. It is cut at
-    every ``capacity`` ids. crc is the CRC-32 of a piece's little-endian ids; cells holds the start,
-    length and CRC of the parts at which a shorter piece may be cut further. row tells repeated rows
+    every ``capacity`` ids. crc is the CRC-32 of a piece's little-endian ids; cells holds that of each
+    CELLS-th part of a window of a shorter piece, where it may be cut further. row tells repeated rows
     apart.
     """
     small_batches(docs.sparkSession)
-    end, cell = np.array([END_ID], "<u4").tobytes(), max(1, capacity // CELLS)
+    end, step, cell = np.array([END_ID], "<u4").tobytes(), 4 * capacity, 4 * max(1, capacity // CELLS)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    told = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
-
-    def cut(packed: bytes, start: int, stop: int, step: int) -> list[dict]:
-        return [{"start": at, "length": min(at + step, stop) - at, "crc": zlib.crc32(packed[4 * at : 4 * min(at + step, stop)])} for at in range(start, stop, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -132,40 +135,41 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             out: list[list] = [[], [], [], [], [], []]
             for n, ids in enumerate(own.encode([x or "" for x in text.to_pylist()])):
                 packed = ids + end
-                whole = len(packed) // 4
-                for piece in cut(packed, 0, whole, capacity):
-                    open_ = piece["length"] < capacity
-                    cells = cut(packed, piece["start"], piece["start"] + piece["length"], cell) if open_ else None
-                    for column, value in zip(out, (n, whole, piece["start"], piece["length"], piece["crc"], cells), strict=True):
+                for at in range(0, len(packed), step):
+                    piece = packed[at : at + step]
+                    cells = [zlib.crc32(piece[i : i + cell]) for i in range(0, len(piece), cell)] if len(piece) < step else None
+                    for column, value in zip(out, (n, len(packed) // 4, at // 4, len(piece) // 4, zlib.crc32(piece), cells), strict=True):
                         column.append(value)
             at = pa.array(out[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([row.take(at), doc.take(at), *(pa.array(x, pa.int64()) for x in out[1:5]), pa.array(out[5], pa.list_(told))], ["row", "doc_id", "doc_tokens", "start", "length", "crc", "cells"])
+            yield pa.RecordBatch.from_arrays([row.take(at), doc.take(at), *(pa.array(x, pa.int64()) for x in out[1:5]), pa.array(out[5], pa.list_(pa.int64()))], ["row", "doc_id", "doc_tokens", "start", "length", "crc", "cells"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return numbered.mapInArrow(run, f"row long, doc_id {doc_id}, doc_tokens long, start long, length long, crc long, cells array<{CELL}>")
+    return numbered.mapInArrow(run, f"row long, doc_id {doc_id}, doc_tokens long, start long, length long, crc long, cells array<long>")
 
 
-def _shard(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _shard(group: pa.Table, capacity: int) -> pa.Table:
     """The pieces of one shard in windows, in order of row and start within a window."""
-    group = group.sort_values(["row", "start"], ignore_index=True)
-    least = math.ceil(int(group["length"].sum()) / capacity)
-    made = windows_of(group["length"].to_numpy(), capacity, least + max(1, least // RISE))
-    for cells in range(CELLS - 1, 0, -1):
-        if made is not None:
-            break
-        long = group["cells"].str.len() > cells
-        cut = group[long].explode("cells", ignore_index=True)
-        for name in ("start", "length", "crc"):
-            cut[name] = np.array([x[name] for x in cut["cells"]], np.int64)
-        cut["cells"] = [[x] for x in cut["cells"]]
-        group = pd.concat([group[~long], cut]).sort_values(["row", "start"], ignore_index=True)
-        made = windows_of(group["length"].to_numpy(), capacity, least + max(1, least // RISE) if cells > 1 else None)
-    of = np.empty(len(group), np.int64)
-    for n, items in enumerate(made):
-        of[items] = n
-    group["sequence_id"] = group["shard"] * WINDOWS_MOST + of
-    group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-    return group[["doc_id", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"]]
+    group = group.sort_by([("row", "ascending"), ("start", "ascending")])
+    start, length, crc, shard = (group[c].to_numpy() for c in ("start", "length", "crc", "shard"))
+    least, source = math.ceil(int(length.sum()) / capacity), np.arange(len(group))
+    made = windows_of(length, capacity, least + max(1, least // RISE))
+    if made is None:
+        cell = max(1, capacity // CELLS)
+        parts = -(-length // cell)
+        source = np.repeat(source, parts)
+        inside = cell * (np.arange(len(source)) - np.repeat(np.cumsum(parts) - parts, parts))
+        start, length = start[source] + inside, np.minimum(cell, length[source] - inside)
+        crc = group["cells"].combine_chunks().flatten().to_numpy()
+        made = windows_of(length, capacity, None)
+    order = np.concatenate([np.sort(w) for w in made if w]).astype(np.int64)
+    held = np.array([len(w) for w in made if w])
+    of = np.repeat(np.arange(len(held)), held)
+    ends = np.cumsum(length[order])
+    offset = ends - length[order]
+    offset -= np.repeat(offset[np.cumsum(held) - held], held)
+    source = source[order]
+    told = [pa.array(x, pa.int64()) for x in (start[order], length[order], crc[order], group["doc_tokens"].to_numpy()[source], shard[0] * WINDOWS_MOST + of, offset)]
+    return pa.table([group["doc_id"].take(pa.array(source)), *told], ["doc_id", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -182,10 +186,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int
     shards = max(1, math.ceil(open_pieces.count() / shard_pieces))
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         return _shard(group, capacity)
 
     dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards))).drop("number")
-    packed = dealt.groupBy("shard").applyInPandas(run, f"doc_id {doc_id}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long")
+    packed = dealt.groupBy("shard").applyInArrow(run, f"doc_id {doc_id}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long")
     full = cut.where(F.col("length") >= capacity).select("doc_id", "start", "length", "crc", "doc_tokens", (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full).withColumnRenamed("crc", "ids_crc32")

@@ -47,9 +47,11 @@ def test_window_count_rises_until_all_fit():
     assert len(differencing.windows_of(np.array([512] * 10), 1024, 5)) == 5
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def encoded(text):
-    own = Tokenizer.from_file(PATH)
-    return [*own.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, got, capacity=1024):
