@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filewright.functions import untitled
 from filewright.operators import admission, facts, identity, learned
-from filewright.queries import query
+from filewright.queries import ORACLES, QUERIES, query
 from filewright.session import shared_path, table
 from filewright.streaming import intake, sink
 
+__all__ = ["ORACLES", "QUERIES"]
+
 # Each user's events are read as the commands of an owner; the SQL steps through them one by one.
 
 _FACTS = """WITH RECURSIVE c AS (
@@ -227,3 +230,31 @@ def crash_recovery(spark, sf):
     found = journal.select("item_id").distinct().select("item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).where((item + side) % 5 > 0)
     mark = F.when((item + side) % 6 > 1, F.concat(F.lit("m"), (item * (side + 1) % 4).cast("string")))
     return sink.recovered(journal, found.select("item_id", F.when(side == 0, "origin").otherwise("quarantine").alias("place"), mark.alias("mark")))
+
+
+#: Names that hold a number, and what each is by the rules, worked out by hand.
+_NAMED = (
+    ("IMG_#.jpg", "untitled", "camera"), ("IMG_#_night.jpg", "named", "named"), ("PXL_#_141203123.PORTRAIT-01.COVER.jpg", "untitled", "camera"), ("DSC#.ARW", "untitled", "camera"),
+    ("Untitled.pages", "generic", "extension is a word"), ("Untitled-%.ai", "generic", "extension is a word"), ("Untitled.Algebra", "named", "named"), ("未命名 %.docx", "untitled", "untitled word"),
+    ("Untitled.pdf.crdownload", "untitled", "untitled word"), ("無題.txt", "generic", "general words"), ("無題 %.odt", "untitled", "untitled word"), ("新增 Microsoft Word 文件 (%).docx", "untitled", "windows new"),
+    ("Document%.docx", "untitled", "office"), ("Document (%).pdf", "untitled", "office"), ("Document %.pdf", "named", "named"), ("Book%.xlsx", "untitled", "office"), ("book.epub", "generic", "general words"),
+    ("Screenshot_#-141203_Chrome.jpg", "untitled", "screenshot"), ("Screenshot_#-141203_midterm.jpg", "named", "named"), ("Screenshot_#-141203_com.android.chrome.png", "untitled", "screenshot"),
+    ("Screenshot_#-141203_com.new.final.png", "named", "named"), ("Screenshot 2026-09-19 at 2.12.03 PM (%).png", "untitled", "screenshot"), ("Screenshot at.png", "named", "named"), ("Screenshot from # 141203.png", "untitled", "screenshot"),
+    ("截圖 % 上午 # .png", "untitled", "screenshot"), ("Scan %.jpeg", "untitled", "scan"), ("Adobe Scan Sep %, 2026.pdf", "untitled", "scan"), ("Scan May %.pdf", "named", "named"), ("photo_#_14-12-03.jpg", "untitled", "messenger"),
+    ("photo_%.jpg", "named", "named"), ("IMG-#-WA0003.jpg", "untitled", "messenger"), ("S__#.jpg", "untitled", "line"), ("LINE_ALBUM_畢業旅行_%.jpg", "named", "named"), ("New Recording %.m4a", "untitled", "recording"),
+    ("download (%).pdf", "untitled", "browser"), ("image.png - Copy (%)", "named", "named"), ("# (%).pdf", "untitled", "digits"), ("0123456789abcdef#.zip", "untitled", "hash"), ("0123456789abcdef#.bin", "named", "named"), ("deadbeef-#-4a4a-8b8b.txt", "named", "named"),
+    ("報告最終版v%.docx", "named", "named"), ("報告最終版 v%.docx", "generic", "general words"), ("講義第二版 (%).pdf", "generic", "general words"), ("final_report-v2.%.docx", "generic", "general words"), ("lecture %.pdf", "named", "named"),
+    ("Copy of Copy of notes (%).txt", "generic", "general words"), ("😀😀 (%).png", "generic", "emoji"), ("____ (%).txt", "untitled", "digits"), ("____.txt", "untitled", "symbols"), (".pdf", "untitled", "empty"), (".bashrc%", "named", "named"), ("~$報告%.docx", "named", "temporary"),
+    ("/home/u/x\\ＩＭＧ＿#.jpg", "untitled", "camera"), ("期中考範圍 %.docx", "named", "named"), ("- 複製.txt", "generic", "general words"), ("myreportfinal%.doc", "named", "named"), ("myreportfinal (%).doc", "generic", "general words"),
+)
+_NAMED_SQL = ", ".join(f"({n}, '{name}', '{state}', '{reason}')" for n, (name, state, reason) in enumerate(_NAMED))
+
+
+@query(f"WITH t(n, name, state, reason) AS (VALUES {_NAMED_SQL}) SELECT doc_id, replace(replace(name, '#', lpad(CAST(doc_id AS VARCHAR), 8, '0')), '%', CAST(doc_id % 90 + 1 AS VARCHAR)) AS name, state, reason FROM documents JOIN t ON n = doc_id % {len(_NAMED)}")
+def name_classes(spark, sf):
+    """Documents named after the kinds of names that users and programs give."""
+    doc = F.col("doc_id")
+    kind = F.element_at(F.lit([name for name, *_ in _NAMED]), (doc % len(_NAMED) + 1).cast("int"))
+    name = F.replace(F.replace(kind, F.lit("#"), F.lpad(doc.cast("string"), 8, "0")), F.lit("%"), (doc % 90 + 1).cast("string"))
+    named = table(spark, sf, "documents").select("doc_id", name.alias("name"))
+    return named.select("doc_id", "name", untitled.name_class(F.col("name")).alias("c")).select("doc_id", "name", "c.state", "c.reason")

@@ -1,6 +1,6 @@
 import pytest
 
-from filewright import queries
+from filewright import histories as queries
 from tests.oracle import connect, differences
 
 SF = "/root/testdata/sf0.01"
