@@ -7,9 +7,11 @@ or several in a row) fold into a repeated group, and texts that differ become a
 constant over different pages is template.
 
 The wrapper decides what a page's text is. It knows how much text its slots hold over all pages of
-the host and how much of that stands in links: the main region is where most of it is, and template,
-menus and what lies outside the region is left out. Names in the markup only break ties, between
-the elements around that region and for small parts inside it.
+the host and how much of that stands in links: the main region is where most of it is, and what lies
+outside the region is left out. Inside it headings, paragraphs, lists, quotes and tables are never
+template, however many pages have them, and links that follow text are no menu; what is left out there
+are small parts whose whole name says what they are, menus before the text, and constant text in bare
+containers, unless pages are so alike that most of the region is constant.
 
 Partitions fold their pages into partial wrappers, which are merged per host, salted first, so a
 host may hold any share of the pages. Alignment is over siblings told apart by their names and
@@ -70,9 +72,14 @@ GROUP, WIDTH = 4, 200
 #: A region goes on into the element that holds this share of its text; a list or container is a
 #: menu when this share of its text stands in links; a name is believed of parts below this share.
 INTO, MENU, BELIEVED = 0.6, 0.7, 0.5
+#: Pages of which more than this share is constant are near copies, whose constant text says nothing.
+ALIKE = 0.7
 CONTAINERS = frozenset("details div dl fieldset li menu ol section table tbody td tr ul".split())
 TEXTUAL = frozenset("blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+#: Elements that are text whatever their names say, and words that say nothing of what a name is for.
+PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption caption".split())
+NEUTRAL = frozenset("area bar block bottom box col column container global group inner item items left links list main outer page panel posts primary right row secondary section site top unit wrap wrapper".split())
 
 
 class Node:
@@ -87,11 +94,11 @@ class Node:
             self._read(attributes)
 
     def _read(self, attributes: str) -> None:
-        names: list[str] = []
+        names: list[list[str]] = []  # the words of each class and id
         for name, value in NAMED.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                names += [x for x in re.split(r"[^a-z0-9]+", value) if x]
+                names += [found for x in (value.split() if name == "class" else [value]) if (found := [y for y in re.split(r"[^a-z0-9]+", x) if y])]
                 self.key += "." + re.sub("[0-9]+", "0", value)
             elif name == "role":
                 self.noise |= value in NOISE_ROLES
@@ -100,9 +107,10 @@ class Node:
                 self.main |= value == "articlebody"
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 self.dropped = True
-        self.noise |= self.tag not in ("article", "main", "body", "html") and any(x in NOISE for x in names)
-        self.noise |= self.tag == "article" and any(x in COMMENTS for x in names)
-        self.main |= any(x in ARTICLES for x in names) and self.tag in ("div", "section", "td")
+        if self.tag not in PLAIN and self.tag not in ("main", "body", "html"):
+            words = COMMENTS if self.tag == "article" else NOISE
+            self.noise |= any(any(y in words for y in x) and all(y in NOISE or y in NEUTRAL or y.isdigit() for y in x) for x in names)
+        self.main |= any(y in ARTICLES for x in names for y in x) and self.tag in ("div", "section", "td")
         self.main &= not (self.noise or self.dropped)
 
 
@@ -152,11 +160,11 @@ class Part:
     hashes of different pages that have the text; chars and links sum the text of all pages.
     """
 
-    __slots__ = ("chars", "dropped", "key", "kids", "links", "main", "mass", "members", "noise", "optional", "repeated", "support", "tag", "template", "text")
+    __slots__ = ("chars", "dropped", "key", "kids", "links", "main", "mass", "members", "menu", "noise", "optional", "repeated", "shown", "support", "tag", "template", "text")
 
     def __init__(self, key: str, tag: str):
         self.key, self.tag, self.kids, self.members = key, tag, [], []
-        self.repeated = self.optional = self.dropped = self.noise = self.main = self.template = False
+        self.repeated = self.optional = self.dropped = self.noise = self.main = self.template = self.menu = self.shown = False
         self.text, self.support, self.chars, self.links, self.mass = "", [], 0, 0, 0
 
 
@@ -274,6 +282,11 @@ Pending = list[tuple[Part, Part, bool]]
 ONE, TWO, EITHER = range(3)
 
 
+def _wide(part: Part) -> str:
+    """The key of one of very many siblings; what is noise, dropped or main stays apart from the rest."""
+    return f"{part.tag}.*{part.noise:d}{part.dropped:d}{part.main:d}" if ".*" not in part.key else part.key
+
+
 def _folded(kids: list[Part], fresh: dict[int, int], pending: Pending) -> list[Part]:
     """Neighbours that come again, with a ``fresh`` one among them, as one repeated element or group.
 
@@ -304,10 +317,10 @@ def _folded(kids: list[Part], fresh: dict[int, int], pending: Pending) -> list[P
             out.append(first[0])
             i = end
         kids = out
-    if len(kids) > WIDTH:  # by their tags alone
+    if len(kids) > WIDTH:  # by their tags and by what their names have said
         named: dict[str, Part] = {}
         for part in kids:
-            part.key = f"{part.tag}.*"
+            part.key = _wide(part)
             if part.key in named:
                 named[part.key].repeated = True
                 pending.append((named[part.key], part, True))
@@ -423,13 +436,16 @@ def weigh(root: Part) -> Part:
             chars[id(x)] = own + sum(chars[id(k)] for k in x.kids)
             links[id(x)] = min(own, x.links) + sum(links[id(k)] for k in x.kids)
 
-    for x in order:
-        x.template = x.template or (bool(x.text) and len(x.support) >= TEMPLATE_PAGES)
+    constant = [x for x in order if x.text and len(x.support) >= TEMPLATE_PAGES]
+    if sum(x.chars for x in constant) <= ALIKE * sum(x.chars for x in order):
+        for x in constant:
+            x.template = True
     up()
     whole = chars[id(root)]
     for x in order[1:]:
         x.dropped |= x.noise and chars[id(x)] <= BELIEVED * whole
-        x.dropped |= x.tag in CONTAINERS and 0 < chars[id(x)] <= BELIEVED * whole and links[id(x)] >= MENU * chars[id(x)]
+        x.menu = not x.dropped and x.tag in CONTAINERS and 0 < chars[id(x)] <= BELIEVED * whole and links[id(x)] >= MENU * chars[id(x)]
+        x.dropped |= x.menu
     for x in reversed(order):
         own = 0 if x.template else max(0, x.chars - x.links)
         x.mass = 0 if x.dropped else own + sum(k.mass for k in x.kids)
@@ -471,7 +487,7 @@ def trace(root: Part, own: Part) -> None:
         again = {k.key: k for k in a if k.repeated}
         near = None
         for n, kid in enumerate(b):  # one more of a repeated part: of the one before it, or of any
-            found = of.get(n) or (near if near is not None and near.repeated and near.key == kid.key else again.get(kid.key) or again.get(f"{kid.tag}.*"))
+            found = of.get(n) or (near if near is not None and near.repeated and near.key == kid.key else again.get(kid.key) or again.get(_wide(kid)))
             if found is not None:
                 stack.append((found, kid))
                 near = found
@@ -505,7 +521,7 @@ def _text_of(tops: list[Node]) -> str:
             if child is None:
                 edge(cell)
             elif isinstance(child, str):
-                if not (node.part and node.part.template):
+                if not (node.part and node.part.template and not node.part.shown):
                     blocks[-1].append(child)
             else:
                 inner = cell or child.tag in ("td", "th")
@@ -516,11 +532,33 @@ def _text_of(tops: list[Node]) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def reveal(chosen: Part) -> None:
+    """Show what is article inside a region: elements of text though they are constant, and links after text."""
+    stack, begun, constant, whole = [chosen], False, [], 0
+    while stack:
+        x = stack.pop()
+        if x.menu and begun:
+            x.menu = x.dropped = False
+        if x.dropped:
+            continue
+        whole += x.chars
+        x.shown = x.tag in TEXTUAL
+        if x.template and not x.shown:
+            constant.append(x)
+        begun |= x.chars > x.links
+        stack += reversed(x.kids)
+    if sum(x.chars for x in constant) > BELIEVED * whole:
+        for x in constant:
+            x.shown = True
+
+
 @lru_cache(maxsize=256)
 def prepared(made: str) -> tuple[Part, Part]:
     """A host's wrapper, weighed, and its main region."""
     root = weigh(loads(made))
-    return root, region(root)
+    chosen = region(root)
+    reveal(chosen)
+    return root, chosen
 
 
 def main_text(page: str, made: str | None) -> str:
@@ -537,10 +575,16 @@ def main_text(page: str, made: str | None) -> str:
         x.template, x.support = bool(of and of.template), []
         x.dropped |= bool(of and of.dropped)
     weigh(own)
+    for x in order:  # what the host's wrapper does not know is judged by the page alone
+        for node in x.members:
+            node.part = node.part or x
     inside = [x for x in order if x.members and x.members[0].part is chosen]
     # a page without the region of its host, or with its text elsewhere, is read by its own masses
     if sum(x.mass for x in inside) < 0.3 * own.mass:
         inside = [region(own)]
+        for node in (node for x in _preorder(inside[0], _kids) for node in x.members):
+            if node.part is not None and node.part.tag in TEXTUAL and not node.part.dropped:
+                node.part = None  # nothing that the host says of its template holds for this page's text
     tops = [node for x in inside for node in x.members] if inside and inside[0].tag != "(" else [tree]
     return _text_of(tops)
 

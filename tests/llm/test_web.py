@@ -153,6 +153,69 @@ def test_wrappers_rule_where_markup_names_an_article():
     assert text(teaser[2], made_of(teaser)) == "Story 2 is long and says 6 things"
 
 
+def article(body, n=0):
+    return f"<html><body><header>My site</header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=content><h1>Title {n}</h1>{body}</div><footer>All rights {n}</footer></body></html>"
+
+
+def test_near_copies_of_a_host_keep_their_text():
+    body = "<p>The first paragraph of all these pages.</p><p>Updated {}</p><ul><li>one of it</li><li>two of it</li></ul><blockquote>As it was said</blockquote><h2>Conclusion</h2>"
+    for names in (True, False):
+        pages = [article(body.format(n)) for n in range(5)]
+        if not names:
+            pages = [x.replace(" class=content", "") for x in pages]
+        made = made_of(pages)
+        for n, x in enumerate(pages):
+            assert text(x, made) == f"Title 0\nThe first paragraph of all these pages.\nUpdated {n}\none of it\ntwo of it\nAs it was said\nConclusion"
+    bare = [f"<body><div>Long constant text of copies that is the same</div><div>and more of it, all of it the same text</div><div>Day {n}</div></body>" for n in range(5)]
+    assert text(bare[1], made_of(bare)).startswith("Long constant text")
+
+
+def test_recurring_headings_and_items_stay():
+    pages = [article(f"<p>Recipe {n} is about {n * 3} cooks and their long days.</p><h2>Ingredients</h2><ul><li>Salt</li><li>{n} eggs</li></ul><h2>Method</h2><p>Stir {n} times</p><h2>Conclusion</h2>", n) for n in range(6)]
+    made = made_of(pages)
+    assert text(pages[3], made) == "Title 3\nRecipe 3 is about 9 cooks and their long days.\nIngredients\nSalt\n3 eggs\nMethod\nStir 3 times\nConclusion"
+
+
+@pytest.mark.parametrize("n", [60, 260, 3000])
+def test_many_named_siblings_after_an_advert(n):
+    wide = "<body><article><div class=advert>Buy it</div>" + "".join(f"<div id=s{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>Section {k}</div>" for k in range(n)) + "</article></body>"
+    assert text(wide) == "\n".join(f"Section {k}" for k in range(n))
+    assert text(wide, made_of([wide, wide.replace("Section", "Part")])) == text(wide)
+
+
+def test_names_count_as_a_whole_and_never_for_text():
+    body = "<h2 id=privacy-and-related-work>Privacy and related work</h2><p class=share-price>Shares rose</p><div class=share-price>Again</div><p class=notice>A notice in words</p><div class='cookie-notice box'>Cookies!</div><section id=site-footer-2>Foot</section>"
+    assert text(article("<p>The text of the page, which is long.</p>" + body)) == "Title 0\nThe text of the page, which is long.\nPrivacy and related work\nShares rose\nAgain\nA notice in words"
+
+
+def test_link_lists_after_text_stay_and_menus_before_it_go():
+    links = "".join(f"<li><a href=/{k}>Source number {k}</a></li>" for k in range(4))
+    body = f"<p>The text of the page, which is long enough to be its main text, and goes on for some time.</p><h2>References</h2><ol>{links}</ol>"
+    assert text(article(body)).endswith("References\nSource number 0\nSource number 1\nSource number 2\nSource number 3")
+    menu = f"<body><div class=content><ul>{links}</ul><h1>T</h1>{body}</div></body>"
+    assert text(menu).startswith("T\nThe text") and text(menu).endswith("Source number 3")
+
+
+def naive(tree):
+    """The text of an article element without what its tags leave out, block by block."""
+    found = re.search(r"<article>(.*)</article>", tree, re.DOTALL)[1]
+    found = re.sub(r"<(aside|nav|form|script)\b.*?</\1>", "\n", found, flags=re.DOTALL)
+    lines = re.sub(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|table|tr|section)\b[^>]*>", "\n", re.sub(r"</?(?:b|a)\b[^>]*>", "", found)).split("\n")
+    return "\n".join(" ".join(x.split()) for x in lines if x.strip())
+
+
+def test_small_hosts_match_a_naive_extractor():
+    rng = random.Random(6)
+    for _ in range(40):
+        pages, shared = [], [f"<{t}>{' '.join(rng.choices('abcdefg', k=9))}</{t}>" for t in rng.choices(["p", "h2", "blockquote"], k=4)]
+        for n in range(rng.randint(1, 6)):
+            kinds = ["<p>one <b>two</b> three {} {}</p>", "<h3>head {}</h3>", "<ul><li>x {}</li><li>y</li></ul>", "<aside>buy {}</aside>", "<form>q</form>", "<script>x=1</script>", *shared]
+            body = "".join(rng.choice(kinds).format(rng.randint(0, 10**6), rng.randint(0, 10**6)) for _ in range(rng.randint(3, 12)))
+            pages.append(f"<body><nav>menu {n}</nav><article><h1>The title of page {n} says much</h1><p>Some words that are its own {rng.random()}</p>{body}</article><footer>f</footer></body>")
+        made = made_of(pages)
+        assert [text(x, made) for x in pages] == [naive(x) for x in pages]
+
+
 def test_extract_over_odd_rows(spark, tmp_path, monkeypatch):
     rows = [(n, f"http://h{n % 2}.example/{n}", page(n), "t") for n in range(12)] + [(20, None, None, "t"), (21, "nonsense", "", "t"), (22, "http://h0.example/", page(1), "t"), (22, "http://h0.example/", page(1), "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
