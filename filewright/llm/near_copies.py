@@ -27,7 +27,7 @@ ORDER_TEXTS, COMMON = 5000, 20_000
 CHUNK = 1 << 16
 #: Closest partners of a text that are compared first, and texts of a bucket that then meet its
 #: others, before all that are still apart are compared. Neither bounds what is found.
-STARS, MORE_STARS = 6, 32
+STARS, MORE_STARS = 3, 32
 #: Rows to compare are broadcast up to this many, one number each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -176,8 +176,8 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
 
     prefixes = stash(own.where("n > 0").select("uid", "n", ahead_of(F.col("text").cast("binary")).alias("first")), "near-prefixes")
     prefixes = prefixes.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    # both sides of the join below read all columns of one exchange
-    looked = prefixes.select("uid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "hash")).repartition("hash")
+    # buckets are aggregated before they move, and a join can split the partition of a common shingle
+    looked = prefixes.select("uid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "hash"))
     buckets = looked.groupBy("hash").agg(F.min(F.struct("uid", "n", "pos")).alias("star"), F.count("*").alias("rows")).where("rows > 1")
     shared = looked.join(buckets.select("hash", *(F.col(f"star.{x}").alias(f"{x}_s") for x in ("uid", "n", "pos"))), "hash")
     shared = stash(shared.selectExpr("hash", *(f"{x} as {x}_a" for x in ("uid", "n", "pos")), "uid_s", "n_s", "pos_s"), "near-shared")
