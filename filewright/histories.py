@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filewright.functions import untitled
-from filewright.operators import admission, facts, identity, learned
+from filewright.operators import admission, facts, groups, health, identity, learned, validation
 from filewright.queries import ORACLES, QUERIES, query
 from filewright.session import shared_path, table
 from filewright.streaming import intake, sink
@@ -258,3 +258,92 @@ def name_classes(spark, sf):
     name = F.replace(F.replace(kind, F.lit("#"), F.lpad(doc.cast("string"), 8, "0")), F.lit("%"), (doc % 90 + 1).cast("string"))
     named = table(spark, sf, "documents").select("doc_id", name.alias("name"))
     return named.select("doc_id", "name", untitled.name_class(F.col("name")).alias("c")).select("doc_id", "name", "c.state", "c.reason")
+
+
+# --- validation, groups and health ---
+
+_REGISTRY = (
+    ("profile.birthday", "date", None, False, "normal"), ("profile.since", "month", None, False, "normal"), ("contact.phone", "tel", None, False, "personal"),
+    ("contact.email", "email", None, False, "personal"), ("skills[].level", "enum", ["B1", "Level 2", "可遠端"], True, "normal"), ("score", "number", None, False, "normal"),
+    ("consent", "boolean", None, False, "normal"), ("pin", "string", None, False, "secret"), ("site", "url", None, False, "normal"), ("note", "text", None, False, "normal"),
+    ("extra[]", "string", None, False, "normal"),
+)
+#: Keys and written values with a number in each, and what they are by the rules: the normal value or the problems.
+_WRITTEN = (
+    ("profile.birthday", " ２０２４/1/# ", "2024-01-~", ""), ("profile.birthday", "# soon", "", "not of type date"), ("profile.since", "2024-01-~", "2024-01", ""), ("contact.phone", "09#2-345-678", "+8869#2345678", ""),
+    ("contact.email", "Ａ#＠Example．com", "a#@example.com", ""), ("contact.email", "a# @x", "", "not of type email"), ("skills[#].level", "Ｌｅｖｅｌ　2", "Level 2", ""), ("skills.level", "B1", "", "unknown key"),
+    ("skills[].level", "B1", "", "needs an index"), ("score", "１#.50", "1#.5", ""), ("score", "#e400", "", "not of type number"), ("score[#]", "#", "", "unknown key"), ("extra[#]", "#", "", "takes no index"), ("consent", "no #", "true", ""), ("pin", "#", "", "secret"),
+    ("pin", "", "", "secret,empty"), ("site", "HTTPS://Example.com?q=#", "https://example.com/?q=#", ""), ("site", "example #", "", "not of type url"), ("note", " two\nlines ＃# ", "two\nlines ＃#", ""), ("what#", "", "", "unknown key"), ("note", None, "", "empty"),
+)
+
+
+def _spelled(x):
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_VETTED = f"""WITH t(n, key, value, normal, problems) AS (VALUES {', '.join(f'({n}, {", ".join(map(_spelled, row))})' for n, row in enumerate(_WRITTEN))}),
+e AS (SELECT event_id, CAST(event_id % 9 + 1 AS VARCHAR) AS d, event_id % {len(_WRITTEN)} AS kind FROM events)
+SELECT event_id, replace(key, '#', d) AS key, replace(replace(value, '#', d), '~', lpad(d, 2, '0')) AS value, CASE WHEN problems = '' THEN replace(replace(normal, '#', d), '~', lpad(d, 2, '0')) END AS normal, problems FROM e JOIN t ON n = kind"""
+
+
+@query(_VETTED)
+def vetted_values(spark, sf):
+    registry = spark.createDataFrame(list(_REGISTRY), "key string, type string, allowed array<string>, repeatable boolean, sensitivity string")
+    kinds = F.lit([list(map(lambda x: x or "", row[:2])) for row in _WRITTEN])
+    digit, kind = (F.col("event_id") % 9 + 1).cast("string"), (F.col("event_id") % len(_WRITTEN) + 1).cast("int")
+    row = F.element_at(kinds, kind)
+    value = F.when(kind != len(_WRITTEN), F.replace(F.replace(F.element_at(row, 2), F.lit("~"), F.lpad(digit, 2, "0")), F.lit("#"), digit))
+    told = table(spark, sf, "events").select("event_id", F.replace(F.element_at(row, 1), F.lit("#"), digit).alias("key"), value.alias("value"))
+    return validation.vetted(told, registry).select("event_id", "key", "value", "normal", F.array_join("problems", ",").alias("problems"))
+
+
+_OLD = "o AS (SELECT event_id AS item, 'g' || user_id % 50 AS group_id, user_id % 50 AS keeper, CASE WHEN event_id % 3 = 0 THEN 'same' ELSE 'similar' END AS level FROM events WHERE event_id % 4 > 0 OR event_id < 50)"
+_NEW = "n AS (SELECT event_id AS item, 'g' || (user_id + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 50 AS group_id, (user_id + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 50 AS keeper, CASE WHEN event_id % 3 = 0 THEN 'same' ELSE 'similar' END AS level FROM events WHERE event_id % 5 > 0 OR event_id < 50)"
+
+
+def _versions(spark, sf):
+    n, level = F.col("event_id"), F.when(F.col("event_id") % 3 == 0, "same").otherwise("similar")
+    moved = (F.col("user_id") + F.when(n % 11 == 0, 1).otherwise(0)) % 50
+    events = table(spark, sf, "events")
+
+    def version(group, rest):
+        return events.where((n % rest > 0) | (n < 50)).select(n.alias("item"), F.concat(F.lit("g"), group.cast("string")).alias("group_id"), group.cast("long").alias("keeper"), level.alias("level"))
+
+    return version(F.col("user_id") % 50, 4), version(moved, 5), events
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT coalesce(n.item, o.item) AS item, CASE WHEN n.item IS NULL THEN 'removed' WHEN e.event_id % 13 = 0 THEN 'stale' WHEN o.item IS NULL THEN 'added' ELSE 'changed' END AS change, coalesce(n.group_id, o.group_id) AS group_id, coalesce(n.keeper, o.keeper) AS keeper, coalesce(n.level, o.level) AS level FROM o FULL JOIN n ON o.item = n.item JOIN events e ON e.event_id = coalesce(n.item, o.item) WHERE e.event_id % 7 > 0 AND (o.item IS NULL OR n.item IS NULL OR o.group_id <> n.group_id)")
+def group_changes(spark, sf):
+    old, new, events = _versions(spark, sf)
+    scope = events.where("event_id % 7 > 0").select(F.col("event_id").alias("item"), (F.col("event_id") % 13 > 0).alias("fresh"))
+    return groups.changes(old, new, scope)
+
+
+@query(f"""WITH {_NEW}, r AS (SELECT n.*, 'f' || item AS name, item % 977 AS bytes, ts AS mtime, item = keeper AS is_keeper FROM n JOIN events ON event_id = item WHERE event_type <> 'error'),
+w AS (SELECT group_id, any_value(CASE WHEN is_keeper THEN mtime END) AS at_, any_value(CASE WHEN is_keeper THEN level END) AS level, count(*) FILTER (WHERE NOT is_keeper) AS n, CAST(round((epoch_us(max(mtime)) - epoch_us(min(mtime))) / 1000000) AS BIGINT) AS span_seconds FROM r GROUP BY group_id HAVING bool_or(is_keeper) AND count(*) > 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY mtime DESC, item) AS nth FROM r WHERE NOT is_keeper)
+SELECT p.group_id, CAST((nth - 1) // 100 AS INTEGER) AS page, any_value(keeper) AS keeper, any_value(at_) AS "at", any_value(w.level) AS level, any_value(n) AS n, any_value(span_seconds) AS span_seconds, string_agg(item || ':' || name || ':' || bytes || ':' || p.level, ',' ORDER BY nth) AS members FROM p JOIN w ON w.group_id = p.group_id GROUP BY p.group_id, (nth - 1) // 100""")
+def group_view(spark, sf):
+    _, new, events = _versions(spark, sf)
+    n = F.col("event_id")
+    items = events.select(n.alias("item"), F.concat(F.lit("f"), n.cast("string")).alias("name"), (n % 977).alias("bytes"), F.col("ts").alias("mtime"), "event_type")
+    view = groups.nested(new, items, F.col("event_type") != "error", 100)
+    return view.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat_ws(":", *(m[c].cast("string") for c in ("item", "name", "bytes", "level")))), ","))
+
+
+@query(f"""WITH {_JOURNAL}, d AS (SELECT event_id AS seq, CASE WHEN event_id % 401 > 0 THEN ts END AS completed_at, event_id % 977 AS bytes, ts - INTERVAL 1 HOUR * CAST(event_id % 100 AS INTEGER) AS mtime FROM events),
+q AS (SELECT d.*, EXISTS (SELECT 1 FROM j r WHERE r.plan_id = j.plan_id AND r.item_id = j.item_id AND r.op = 'restore' AND r.status = 'started') AS restoring FROM j JOIN d ON d.seq = j.seq
+  WHERE op = 'quarantine' AND status = 'done' AND j.seq % 17 > 0 AND NOT EXISTS (SELECT 1 FROM j r WHERE r.plan_id = j.plan_id AND r.item_id = j.item_id AND r.op = 'restore' AND r.status = 'done')),
+o AS (SELECT count(*) AS items, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, min(mtime) AS oldest_mtime, min(completed_at) FILTER (WHERE NOT restoring) + INTERVAL 7 DAY AS can_empty_at, greatest(0, (SELECT count(*) FROM events) // 3 - count(*)) AS orphans, count(*) FILTER (WHERE NOT restoring AND completed_at IS NULL) > 0 AS truncated FROM q)
+SELECT *, items > 0 AND NOT truncated AND can_empty_at <= TIMESTAMP '2024-06-01' AS can_empty_now, CASE WHEN truncated THEN 'worried' WHEN items > 0 THEN 'found' ELSE 'idle' END AS state FROM o""")
+def quarantine_health(spark, sf):
+    events = table(spark, sf, "events")
+    n, kind = F.col("event_id"), F.col("event_type")
+    op = F.when(kind.isin("view", "error"), "quarantine").when(kind == "click", "restore").otherwise("skip")
+    journal = events.select(n.alias("seq"), (F.col("user_id") % 10).alias("plan_id"), (n % 2000).alias("item_id"), op.alias("op"), F.when(n % 3 == 0, "started").otherwise("done").alias("status"))
+    details = events.select(n.alias("seq"), F.when(n % 401 > 0, F.col("ts")).alias("completed_at"), (n % 977).alias("bytes"), F.timestamp_add("HOUR", -(n % 100).cast("int"), "ts").alias("mtime"))
+    purges = events.where("event_id % 17 = 0").select(n.alias("seq"), F.lit("done").alias("status"))
+    row = health.quarantine(journal, details, purges, F.lit(events.count() // 3))
+    told = health.can_empty(row, F.lit("2024-06-01").cast("timestamp_ntz"))
+    whole = told.select("*", F.lit(True).alias("healthy"), F.col("truncated").alias("has_error"), F.lit(0).alias("roots_missing"), F.lit(0).alias("problems"), F.lit(0).alias("proposed_plans"), F.col("items").alias("ready"), F.lit(False).alias("watching"))
+    return health.state(whole).select(*told.columns, "state")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright.functions import untitled
-from filewright.operators import admission, facts, identity, learned, sequences
+from filewright.operators import admission, facts, groups, health, identity, learned, sequences, validation
 from filewright.streaming import intake, sink
 
 COMMANDS = "owner string, seq long, op string, fact_id long, key string, value string, n int, kind string, k string, v string, status string"
@@ -286,3 +286,59 @@ def test_name_classes_by_hand(spark):
     frame = spark.createDataFrame([(n,) for n in cases], "name string")
     got = {r["name"]: r.c and tuple(r.c) for r in frame.select("name", untitled.name_class(F.col("name")).alias("c")).collect()}
     assert got == cases
+
+
+# --- validation, groups and health ---
+
+REGISTRY = "key string, type string, allowed array<string>, repeatable boolean, sensitivity string"
+
+
+def test_a_registry_with_a_key_twice_fails_the_plan(spark):
+    keys = spark.createDataFrame([("a", "string", None, False, "normal"), ("a", "date", None, False, "normal"), ("b", "text", None, False, "normal")], REGISTRY)
+    rows = spark.createDataFrame([("b", "x")], "key string, value string")
+    with pytest.raises(Exception, match="more than once"):
+        validation.vetted(rows, keys).collect()
+    one = validation.vetted(rows, keys.where("key = 'b'")).collect()
+    assert [(r.normal, r.problems) for r in one] == [("x", [])]
+    assert validation.vetted(rows.limit(0), keys.limit(0)).count() == 0
+    index = validation.alias_index(spark.createDataFrame([("k1", 2, ["Name:", "Ｎame"]), ("k2", 1, ["name", " "])], "key string, ord int, aliases array<string>"), "aliases", "key", "ord")
+    assert [tuple(r) for r in index.collect()] == [("name", "k2")]
+
+
+def test_numbers_and_addresses(spark):
+    cases = {"１２": 12.0, " 1e3 ": 1000.0, "1,5": None, "": None, "0x1f": None, "-.5": -0.5, "1e999": None, None: None}
+    got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", validation.number(F.col("x")).alias("n"), validation.number_for_field(F.col("x")).alias("f")).collect()
+    assert {r.x: r.n for r in got} == cases and {r.x: r.f for r in got}["1,5"] == "15"
+    fields = spark.createDataFrame([("NT$ 1,200 元",), ("about",), ("1 2-3",)], "x string").select(validation.number_for_field(F.col("x")).alias("f")).collect()
+    assert [r.f for r in fields] == ["1200", None, None]
+
+
+def test_changes_and_views_of_groups(spark):
+    schema = "item long, group_id string, keeper long, level string"
+    old = spark.createDataFrame([(1, "a", 1, "same"), (2, "a", 1, "same"), (3, "a", 1, "similar"), (4, "b", 4, "same"), (9, "z", 9, "same")], schema)
+    new = spark.createDataFrame([(1, "a", 1, "same"), (2, "c", 2, "same"), (3, "a", 1, "same"), (5, "c", 2, None), (6, "c", 2, "same")], schema)
+    scope = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (5, True), (6, None)], "item long, fresh boolean")
+    assert sorted((r.item, r.change) for r in groups.changes(old, new, scope).collect()) == [(2, "changed"), (3, "stale"), (4, "removed"), (5, "added"), (6, "stale")]
+    assert groups.changes(old.limit(0), new.limit(0), scope).count() == 0
+    assert sorted(r.group_id for r in groups.new_groups(new, old).collect()) == ["c"]
+    times = [(i, f"n{i}", i * 10, START + timedelta(seconds=i), i != 6) for i in range(1, 10)]
+    items = spark.createDataFrame(times, "item long, name string, bytes long, mtime timestamp, live boolean")
+    view = {(r.group_id, r.page): r for r in groups.nested(new, items, F.col("live"), 1).collect()}
+    assert set(view) == {("a", 0), ("c", 0)}  # one other live member each
+    assert [m.item for m in view["a", 0].members] == [3] and view["c", 0].n == 1 and view["c", 0].span_seconds == 3 and view["c", 0].level == "same"
+    assert groups.nested(new, items.where("item <> 1"), F.col("live")).where("group_id = 'a'").count() == 0
+
+
+def test_health_of_an_empty_and_a_mixed_quarantine(spark):
+    journal = spark.createDataFrame([(1, 1, 1, "quarantine", "done"), (2, 1, 2, "quarantine", "done"), (3, 1, 2, "restore", "started"), (4, 1, 3, "quarantine", "done"), (5, 1, 3, "restore", "done"), (6, 1, 4, "quarantine", "failed")], "seq long, plan_id long, item_id long, op string, status string")
+    details = spark.createDataFrame([(n, START + timedelta(days=n), 10 * n, START) for n in range(1, 7)], "seq long, completed_at timestamp, bytes long, mtime timestamp")
+    purges = spark.createDataFrame([(9, "done"), (1, "started")], "seq long, status string")
+    row = health.can_empty(health.quarantine(journal, details, purges, 5, 1), F.lit("2024-01-09").cast("timestamp")).first()
+    assert (row["items"], row.bytes, row.orphans, row.truncated, row.can_empty_now) == (2, 30, 2, False, True)
+    none = health.can_empty(health.quarantine(journal.limit(0), details, purges, -1), F.lit("2024-01-09").cast("timestamp")).first()
+    assert (none["items"], none.bytes, none.orphans, none.truncated, none.can_empty_now) == (0, 0, 0, True, False)
+    fields = "healthy boolean, has_error boolean, roots_missing int, problems int, proposed_plans int, ready int, watching boolean"
+    rows = [(True, False, 0, 0, 1, 5, True), (True, None, None, None, None, 5, True), (True, False, 0, 0, 0, 0, True), (True, False, 0, 0, 0, 0, None), (True, False, 1, 0, 1, 1, True), (None, False, 0, 0, 0, 0, True)]
+    assert [r.state for r in health.state(spark.createDataFrame(rows, fields)).collect()] == ["waiting", "found", "watching", "idle", "worried", "worried"]
+    counted, seen = health.counted(journal, "pass", rows=F.count("*"), failed=F.count_if(F.col("status") == "failed"))
+    assert counted.where("op = 'restore'").count() == 2 and seen.get == {"rows": 6, "failed": 1}
