@@ -53,9 +53,13 @@ def free_name(stem: Column, ext: Column, taken: Column) -> Column:
     return F.get(F.filter(options, lambda x: ~F.array_contains(taken, F.lower(x))), 0)
 
 
-def restore_target(path: Column, taken: Column, most: int = 100) -> Column:
-    """The first of path, path.restored, path.restored.2 ... that is free; else null."""
-    rest = F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.concat(path, F.lit(".restored."), n.cast("string")))
+def restore_target(path: Column, taken: Column, most: int = 10_000) -> Column:
+    """The first of path, path.restored, path.restored.2 ... ``most`` that ``taken`` does not hold; else null.
+
+    One of as many names as are taken, and one more, is free.
+    """
+    last = F.greatest(F.lit(2), F.least(F.lit(most), F.size(taken) + 1))
+    rest = F.transform(F.sequence(F.lit(2), last), lambda n: F.concat(path, F.lit(".restored."), n.cast("string")))
     options = F.concat(F.array(path, F.concat(path, F.lit(".restored"))), rest)
     return F.get(F.filter(options, lambda x: ~F.array_contains(taken, x)), 0)
 

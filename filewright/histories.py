@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filewright.functions import untitled
-from filewright.operators import admission, facts, groups, health, identity, learned, validation
+from filewright.functions import secrets, untitled
+from filewright.operators import admission, facts, groups, health, identity, learned, lookups, validation
 from filewright.queries import ORACLES, QUERIES, query
 from filewright.session import shared_path, table
 from filewright.streaming import intake, sink
@@ -347,3 +347,71 @@ def quarantine_health(spark, sf):
     told = health.can_empty(row, F.lit("2024-06-01").cast("timestamp_ntz"))
     whole = told.select("*", F.lit(True).alias("healthy"), F.col("truncated").alias("has_error"), F.lit(0).alias("roots_missing"), F.lit(0).alias("problems"), F.lit(0).alias("proposed_plans"), F.col("items").alias("ready"), F.lit(False).alias("watching"))
     return health.state(whole).select(*told.columns, "state")
+
+
+# --- fields, names that are free, proposals that are old, names of secrets ---
+
+#: key, order, aliases, autocomplete token, sensitivity.
+_KEYS = (
+    ("ring", 0, ["Ring", "red ring"], "name", "normal"), ("bolt", 1, ["bolt", "fastener"], "tel", "normal"), ("small", 2, ["small", "size"], None, "sensitive"),
+    ("blue", 3, ["blue", "b"], "email", "sensitive"), ("red", 4, ["red", "color"], "url", "normal"), ("widget", 5, ["widget", "large widget"], None, "secret"),
+)
+_TOKENS = ["section-a name", "tel", "off email", "nope", "", "url shipping"]
+_ALIASES_SQL = ", ".join(f"('{key}', {n}, '{alias.lower().replace(' ', '')}')" for key, n, aliases, *_ in _KEYS for alias in aliases)
+_KEYS_SQL = ", ".join(f"('{key}', {n}, {_spelled(token)}, {str(kind != 'normal').lower()})" for key, n, _, token, kind in _KEYS)
+
+
+@query(f"""WITH a(key, ord, alias) AS (VALUES {_ALIASES_SQL}), r(key, ord, token, sensitive) AS (VALUES {_KEYS_SQL}),
+f AS (SELECT p_partkey AS field, unnest([CASE WHEN p_size % 3 = 0 THEN '' ELSE substr(p_name, 1, 3) END, upper(p_name) || ' (' || p_brand || ')', 'color: ' || p_brand]) AS via, unnest([0, 1, 2]) AS place FROM part WHERE p_partkey % 7 > 0),
+h AS (SELECT f.field, f.place, f.via, a.key, a.alias, row_number() OVER (PARTITION BY f.field, f.place ORDER BY (a.alias <> norm), CASE WHEN a.alias = norm THEN 0 ELSE -length(a.alias) END, a.ord) AS best
+  FROM (SELECT *, regexp_replace(lower(via), '[ :()#_]', '', 'g') AS norm FROM f) f JOIN a ON norm <> '' AND (a.alias = norm OR (contains(norm, a.alias) AND length(a.alias) >= 2))),
+l AS (SELECT field, arg_min(key, place) AS key, arg_min(via, place) AS via FROM h WHERE best = 1 GROUP BY field),
+t AS (SELECT p_partkey AS field, ({_TOKENS!r})[p_partkey % 6 + 1] AS autocomplete, p_size % 10 = 0 AS masked, CASE p_partkey % 6 WHEN 0 THEN 'ring' WHEN 1 THEN 'bolt' WHEN 2 THEN 'blue' WHEN 5 THEN 'red' END AS auto FROM part),
+b AS (SELECT t.*, l.key AS lkey, l.via AS lvia, coalesce(l.key, t.auto) AS k, CASE WHEN l.key IS NOT NULL AND t.auto <> l.key THEN t.auto END AS conflict FROM t LEFT JOIN l ON l.field = t.field),
+w AS (SELECT b.field, b.lkey, regexp_replace(lower(regexp_replace(b.lvia, '[(].*?[)]', ' ', 'g')), '[ :()#_]', '', 'g') AS norm FROM b WHERE lkey IS NOT NULL),
+c AS (SELECT w.field, w.lkey, replace(any_value(norm), arg_max(alias, length(alias)), '~') AS rest FROM w JOIN a ON a.key = w.lkey AND contains(norm, alias) AND length(alias) >= 2 GROUP BY w.field, w.lkey),
+o AS (SELECT c.field, string_agg(DISTINCT a.key, ',' ORDER BY a.key) AS other FROM c JOIN a ON a.key <> c.lkey AND contains(rest, a.alias) AND length(a.alias) >= 2 GROUP BY c.field),
+d AS (SELECT b.*, coalesce(r.sensitive, false) AS sensitive, CASE WHEN r.sensitive AND masked THEN 'hidden words' WHEN r.sensitive AND o.other IS NOT NULL THEN 'also like ' || o.other WHEN r.sensitive AND conflict IS NOT NULL THEN 'autocomplete says ' || conflict END AS dropped FROM b LEFT JOIN r ON r.key = b.k LEFT JOIN o ON o.field = b.field)
+SELECT field, CASE WHEN dropped IS NULL THEN k END AS key, CASE WHEN lkey IS NOT NULL THEN 2 WHEN auto IS NOT NULL THEN 1 ELSE 0 END AS layer, CASE WHEN lkey IS NOT NULL THEN lvia WHEN auto IS NOT NULL THEN autocomplete END AS via, conflict, NOT sensitive AND conflict IS NOT NULL AS needs_click, dropped FROM d""")
+def matched_fields(spark, sf):
+    registry = spark.createDataFrame(list(_KEYS), "key string, ord int, aliases array<string>, autocomplete string, sensitivity string")
+    n, size, name, brand = (F.col(f"p_{x}") for x in ("partkey", "size", "name", "brand"))
+    labels = F.array(F.when(size % 3 == 0, "").otherwise(F.substring(name, 1, 3)), F.concat(F.upper(name), F.lit(" ("), brand, F.lit(")")), F.concat(F.lit("color: "), brand))
+    fields = table(spark, sf, "part").select(n.alias("field"), F.when(n % 7 > 0, labels).alias("labels"), F.element_at(F.lit(_TOKENS), (n % 6 + 1).cast("int")).alias("autocomplete"), (size % 10 == 0).alias("masked"))
+    return lookups.match_fields(fields, registry)
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, '/q/' || o_custkey % 400 AS path FROM orders WHERE o_orderkey % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS nth FROM m),
+t AS (SELECT DISTINCT '/q/' || o_custkey % 400 AS path, CAST(o_orderkey * 31 % 60 AS INTEGER) AS n FROM orders WHERE o_orderkey % 3 = 1),
+f AS (SELECT p.path, list_filter(range(0, 10001), lambda i: NOT list_contains(coalesce(h.taken, []), i)) AS free FROM (SELECT DISTINCT path FROM m) p LEFT JOIN (SELECT path, list(n) AS taken FROM t GROUP BY path) h ON h.path = p.path)
+SELECT id, k.path, k.path || CASE free[nth] WHEN 0 THEN '' WHEN 1 THEN '.restored' ELSE '.restored.' || free[nth] END AS target FROM k JOIN f ON f.path = k.path""")
+def free_restores(spark, sf):
+    orders, n = table(spark, sf, "orders"), F.col("o_orderkey")
+    path = F.concat(F.lit("/q/"), (F.col("o_custkey") % 400).cast("string"))
+    held = n * 31 % 60
+    taken = orders.where(n % 3 == 1).select(F.concat(path, F.when(held == 0, "").when(held == 1, ".restored").otherwise(F.concat(F.lit(".restored."), held.cast("string")))).alias("path"))
+    return lookups.free_targets(orders.where(n % 3 == 0).select(n.alias("id"), path.alias("path")), taken)
+
+
+@query("SELECT o_orderkey AS plan FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey <> 7 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def stale_plans(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "proposed").otherwise("applied")
+    plans = table(spark, sf, "orders").select(F.col("o_orderkey").alias("plan"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+    begun = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("plan"))
+    return lookups.stale_proposals(plans, begun, F.lit("1996-01-01").cast("timestamp_ntz"), 7).select("plan")
+
+
+#: Names with a number, and why each marks a secret.
+_SECRET_NAMES = (
+    ("id_rsa", "the file is named id_rsa"), (".env", "the file is named .env"), ("prod#.env", "the file is an environment file (.env)"), (".env.local#", "the file is an environment file (.env)"), ("Server#.PEM", "the extension is .pem"),
+    ("key#.kdbx", "the extension is .kdbx"), ("my password #.txt", "the name contains “password”"), ("password rules #.pdf", None), ("seed-phrase #.pdf", "the name contains “seed-phrase”"), ("密碼#.xlsx", "the name contains “密碼”"), ("密碼#.docx", None),
+    ("ＴＯＫＥＮ#.csv", "the name contains “token”"), ("holiday #.jpg", None), ("monkey#.txt", None), ("keychain#.zip", "the name contains “keychain”"), ("api-key #.doc", "the name contains “api-key”"),
+)
+
+
+@query(f"WITH t(n, name, reason) AS (VALUES {', '.join(f'({n}, {_spelled(name)}, {_spelled(reason)})' for n, (name, reason) in enumerate(_SECRET_NAMES))}) SELECT doc_id, replace(name, '#', CAST(doc_id AS VARCHAR)) AS name, reason FROM documents JOIN t ON n = doc_id % {len(_SECRET_NAMES)}")
+def secret_names(spark, sf):
+    doc = F.col("doc_id")
+    kind = F.element_at(F.lit([name for name, _ in _SECRET_NAMES]), (doc % len(_SECRET_NAMES) + 1).cast("int"))
+    named = table(spark, sf, "documents").select("doc_id", F.replace(kind, F.lit("#"), doc.cast("string")).alias("name"))
+    return named.select("doc_id", "name", secrets.by_name(F.col("name")).alias("reason"))

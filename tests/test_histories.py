@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright.functions import untitled
-from filewright.operators import admission, facts, groups, health, identity, learned, sequences, validation
+from filewright.operators import admission, facts, groups, health, identity, learned, lookups, sequences, validation
 from filewright.streaming import intake, sink
 
 COMMANDS = "owner string, seq long, op string, fact_id long, key string, value string, n int, kind string, k string, v string, status string"
@@ -342,3 +342,39 @@ def test_health_of_an_empty_and_a_mixed_quarantine(spark):
     assert [r.state for r in health.state(spark.createDataFrame(rows, fields)).collect()] == ["waiting", "found", "watching", "idle", "worried", "worried"]
     counted, seen = health.counted(journal, "pass", rows=F.count("*"), failed=F.count_if(F.col("status") == "failed"))
     assert counted.where("op = 'restore'").count() == 2 and seen.get == {"rows": 6, "failed": 1}
+
+
+# --- fields, free names, old proposals ---
+
+
+def test_fields_by_labels_and_tokens(spark):
+    registry = spark.createDataFrame([("name", 0, ["Name", "full name"], "name", "normal"), ("phone", 1, ["phone", "tel"], "tel", "normal"), ("id", 2, ["ID", "id number"], None, "sensitive"), ("pin", 3, ["pin code"], "pin", "secret"), ("x", 4, ["x"], None, "normal")], "key string, ord int, aliases array<string>, autocomplete string, sensitivity string")
+    rows = [
+        (1, ["", "Ｆｕｌｌ Name*"], "tel", False), (2, ["Your phone"], None, None), (3, None, "section name tel", False), (4, ["nothing"], "other", False), (5, ["ID number"], None, True),
+        (6, ["ID number and phone"], None, False), (7, ["ID number (phone)"], None, False), (8, ["ID number"], "name", False), (9, ["x"], None, False), (10, ["xy"], None, False), (11, [None, "tel"], "tel", False), (12, [], "", False),
+    ]
+    got = {r.field: tuple(r)[1:] for r in lookups.match_fields(spark.createDataFrame([(*r, "k") for r in rows], "field long, labels array<string>, autocomplete string, masked boolean, key string"), registry).collect()}
+    assert got[1] == ("name", 2, "Ｆｕｌｌ Name*", "phone", True, None) and got[2][:2] == ("phone", 2) and got[3] == ("phone", 1, "section name tel", None, False, None)
+    assert got[4] == got[12] == (None, 0, None, None, False, None) and got[5][0] is None and got[5][-1] == "hidden words" and got[6][-1] == "also like phone"
+    assert got[7][0] == "id" and got[8][-1] == "autocomplete says name" and got[9][0] == "x" and got[10][1] == 0 and got[11][:2] == ("phone", 2)
+    assert len(got) == len(rows) and lookups.match_fields(spark.createDataFrame([], "field long, labels array<string>, autocomplete string, masked boolean"), registry).count() == 0
+
+
+def test_restored_files_get_the_first_free_names(spark):
+    rng = random.Random(3)
+    taken = {f"/a{s}" for s in ["", ".restored", ".restored.3", ".restored.1", ".restored.x", ".restored.04"]} | {f"/b{'.restored' if n == 1 else f'.restored.{n}' if n else ''}" for n in range(12)} | {"/c.restored"}
+    moves = [(n, rng.choice(["/a", "/b", "/c", "/d"])) for n in range(60)]
+    frame = spark.createDataFrame([(*m, "t") for m in moves], "id long, path string, target string")
+    got = {r.id: r.target for r in lookups.free_targets(frame, spark.createDataFrame([(p,) for p in taken] * 2, "path string"), 16).collect()}
+    for n, path in sorted(moves):
+        options = [path, f"{path}.restored", *(f"{path}.restored.{k}" for k in range(2, 17))]
+        free = next((o for o in options if o not in taken), None)
+        assert got[n] == free
+        taken.add(free)
+    assert None in got.values() and lookups.free_targets(frame.limit(0), frame.select("path")).count() == 0
+
+
+def test_old_proposals_that_never_began(spark):
+    plans = spark.createDataFrame([(1, "proposed", START), (2, "proposed", None), (3, "applied", START), (4, "proposed", START), (5, "proposed", START + timedelta(days=9)), (6, "proposed", START)], "plan long, status string, created_at timestamp")
+    got = lookups.stale_proposals(plans, spark.createDataFrame([(4,), (4,)], "plan long"), F.lit("2024-01-05").cast("timestamp"), 6)
+    assert [r.plan for r in got.collect()] == [1]
