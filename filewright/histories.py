@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filewright.functions import secrets, untitled
-from filewright.operators import admission, facts, groups, health, identity, learned, lookups, validation
+from filewright.operators import admission, facts, filing, groups, health, identity, learned, lookups, validation
 from filewright.queries import ORACLES, QUERIES, query
 from filewright.session import shared_path, table
 from filewright.streaming import intake, sink
@@ -415,3 +415,52 @@ def secret_names(spark, sf):
     kind = F.element_at(F.lit([name for name, _ in _SECRET_NAMES]), (doc % len(_SECRET_NAMES) + 1).cast("int"))
     named = table(spark, sf, "documents").select("doc_id", F.replace(kind, F.lit("#"), doc.cast("string")).alias("name"))
     return named.select("doc_id", "name", secrets.by_name(F.col("name")).alias("reason"))
+
+
+# --- filing ---
+
+_KINDS = ["Lecture", "Homework", "Exam"]
+_STORE_SQL = """st AS (SELECT c_custkey % 20 AS owner, 'course' AS kind, 'course' || c_custkey % 30 AS k, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE 'Kurs ' || c_custkey % 7 END AS v FROM customer WHERE c_custkey <= 60
+  UNION ALL SELECT c_custkey % 20, 'file_kind', 'course' || c_custkey % 30 || chr(10) || 'Other', CASE WHEN c_custkey % 2 = 0 THEN 'Exam' ELSE 'Odd' END FROM customer WHERE c_custkey <= 60
+  UNION ALL SELECT c_custkey % 20, 'rejected', c_custkey * 3 || chr(10) || 'Courses/Kurs ' || c_custkey % 7 || '/Exam', '' FROM customer)"""
+
+
+@query(f"""WITH {_STORE_SQL},
+m AS (SELECT o_orderkey AS item, o_custkey % 20 AS owner, CASE WHEN o_orderkey % 5 > 0 THEN 'COURSE ' || o_orderkey % 40 ELSE '' END AS model, 'course' || o_orderkey % 40 AS model_key, CASE WHEN o_orderkey % 4 < 3 THEN ['Lecture', 'Homework', 'Exam'][o_orderkey % 4 + 1] ELSE 'Other' END AS mkind, 'a phrase ' || o_orderkey % 6 AS phrase FROM orders),
+k AS (SELECT lower(replace(name, ' ', '')) AS key, min(name) AS spelled FROM (SELECT 'Course ' || p_size AS name FROM part UNION SELECT 'cOURSE ' || p_size FROM part WHERE p_size % 2 = 0 UNION SELECT 'KURS ' || p_size FROM part WHERE p_size % 2 = 1) GROUP BY 1),
+g(phrase, folder) AS (VALUES ('a phrase 0', 'Zero things'), ('a phrase 1', 'courses'), ('a phrase 2', '')),
+j AS (SELECT m.*, c.v AS pref, f.v AS kpref, g.folder AS gfolder, model <> '' AND trim(c.v) <> '' AND lower(replace(c.v, ' ', '')) <> model_key AS taught FROM m LEFT JOIN st c ON c.owner = m.owner AND c.kind = 'course' AND c.k = model_key AND model <> '' LEFT JOIN st f ON f.owner = m.owner AND f.kind = 'file_kind' AND f.k = model_key || chr(10) || mkind AND model <> '' LEFT JOIN g ON g.phrase = m.phrase),
+w AS (SELECT j.*, CASE WHEN coalesce(taught, false) THEN pref ELSE model END AS want, CASE WHEN kpref = 'Exam' THEN 'Exam' WHEN kpref IS NOT NULL THEN 'Other' ELSE mkind END AS kind2 FROM j),
+o AS (SELECT w.item, w.owner, CASE WHEN model = '' THEN '' ELSE coalesce(a.spelled, want) END AS course, kind2 AS kind, coalesce(taught, false) AS learned_course, kind2 <> mkind AS learned_kind, CASE WHEN taught THEN b.spelled END AS old, w.gfolder, w.model FROM w LEFT JOIN k a ON a.key = lower(replace(want, ' ', '')) LEFT JOIN k b ON b.key = model_key),
+z AS (SELECT item, owner, course, kind, CASE WHEN model <> '' THEN 'Courses/' || course || '/' || kind WHEN gfolder <> '' AND lower(gfolder) <> 'courses' THEN gfolder END AS folder, learned_course, learned_kind, old AS also_known_as FROM o)
+SELECT z.*, EXISTS (SELECT 1 FROM st WHERE st.owner = z.owner AND st.kind = 'rejected' AND st.k = z.item || chr(10) || z.folder) AS was_rejected FROM z""")
+def filing_offers(spark, sf):
+    n, c = F.col("o_orderkey"), F.col("c_custkey")
+
+    def number(x):
+        return x.cast("string")
+
+    customers = table(spark, sf, "customer")
+    owner, taught = (c % 20).alias("owner"), customers.where("c_custkey <= 60")
+    key = F.concat(F.lit("course"), number(c % 30))
+    kurs = F.concat(F.lit("Kurs "), number(c % 7))
+    store = taught.select(owner, F.lit("course").alias("kind"), key.alias("k"), F.when(c % 4 == 0, " ").otherwise(kurs).alias("v"))
+    store = store.unionByName(taught.select(owner, F.lit("file_kind").alias("kind"), F.concat_ws("\n", key, F.lit("Other")).alias("k"), F.when(c % 2 == 0, "Exam").otherwise("Odd").alias("v")))
+    store = store.unionByName(customers.select(owner, F.lit("rejected").alias("kind"), F.concat_ws("\n", number(c * 3), F.concat(F.lit("Courses/"), kurs, F.lit("/Exam"))).alias("k"), F.lit("").alias("v")))
+    size = F.col("p_size")
+    spelled = F.array(F.concat(F.lit("Course "), number(size)), F.when(size % 2 == 0, F.concat(F.lit("cOURSE "), number(size))).otherwise(F.concat(F.lit("KURS "), number(size))))
+    folders = table(spark, sf, "part").select(F.explode(spelled).alias("name")).distinct()
+    groups_ = spark.createDataFrame([("a phrase 0", "Zero things"), ("A  Phrase 1", "courses"), ("a phrase 2", "")], "phrase string, folder string")
+    kind = F.element_at(F.lit([*_KINDS, "what"]), (n % 4 + 1).cast("int"))
+    opinions = table(spark, sf, "orders").select(n.alias("item"), (F.col("o_custkey") % 20).alias("owner"), F.when(n % 5 > 0, F.concat(F.lit("COURSE "), number(n % 40))).alias("course"), kind.alias("kind"), F.concat(F.lit("a phrase "), number(n % 6)).alias("phrase"))
+    return filing.offered(opinions, store, folders, groups_, _KINDS)
+
+
+@query("SELECT o_orderkey AS id FROM orders o WHERE o_orderstatus <> 'P' AND o_orderkey % 9 > 0 AND (o_orderkey % 10 = 0 OR (o_custkey % 3 > 0 AND EXISTS (SELECT 1 FROM orders v WHERE v.o_orderkey % 10 = 0 AND v.o_custkey = o.o_custkey)))")
+def filable_files(spark, sf):
+    n, who = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "missing").otherwise("candidate")
+    items = orders.select(n.alias("id"), F.when(who % 3 > 0, F.concat(F.lit("sha"), who.cast("string"))).alias("sha256"), status.alias("status"), F.when(n % 9 == 0, "unreadable").alias("error"))
+    views = orders.where(n % 10 == 0).select(n.alias("item"))
+    return filing.filable(items, views.unionByName(views)).select("id")

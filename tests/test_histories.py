@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright.functions import untitled
-from filewright.operators import admission, facts, groups, health, identity, learned, lookups, sequences, validation
+from filewright.operators import admission, facts, filing, groups, health, identity, learned, lookups, sequences, validation
 from filewright.streaming import intake, sink
 
 COMMANDS = "owner string, seq long, op string, fact_id long, key string, value string, n int, kind string, k string, v string, status string"
@@ -378,3 +378,30 @@ def test_old_proposals_that_never_began(spark):
     plans = spark.createDataFrame([(1, "proposed", START), (2, "proposed", None), (3, "applied", START), (4, "proposed", START), (5, "proposed", START + timedelta(days=9)), (6, "proposed", START)], "plan long, status string, created_at timestamp")
     got = lookups.stale_proposals(plans, spark.createDataFrame([(4,), (4,)], "plan long"), F.lit("2024-01-05").cast("timestamp"), 6)
     assert [r.plan for r in got.collect()] == [1]
+
+
+# --- filing ---
+
+
+def test_offers_follow_what_is_taught_and_what_is_there(spark):
+    opinions = [(1, "a", "OS", "Exam", "x"), (2, "a", " ＯＳ ", "what", None), (3, "b", "OS", "Exam", "x"), (4, "a", "", "Exam", "My  Phrase"), (5, "a", None, None, None), (6, "a", "Math", "Exam", "x"), (7, None, "OS", "Exam", "x")]
+    store = [("a", "course", "os", "Operating Systems"), ("a", "file_kind", "os\nOther", "Lecture"), ("a", "rejected", "1\nCourses/operating systems/Exam", ""), ("a", "course", "math", "MATH"), ("b", "course", "os", "  ")]
+    frame = spark.createDataFrame([(*o, "clash") for o in opinions], "item long, owner string, course string, kind string, phrase string, folder string")
+    kept = spark.createDataFrame(store, "owner string, kind string, k string, v string")
+    folders = spark.createDataFrame([("os",), ("OS",), ("operating systems",)], "name string")
+    mapped = spark.createDataFrame([("my phrase", "Mine")], "phrase string, folder string")
+    got = {r["item"]: r for r in filing.offered(frame, kept, folders, mapped, ["Exam", "Lecture"]).collect()}
+    assert (got[1].folder, got[1].also_known_as, got[1].was_rejected, got[1].learned_course) == ("Courses/operating systems/Exam", "OS", True, True)
+    assert (got[2].folder, got[2].learned_kind, got[2].was_rejected) == ("Courses/operating systems/Lecture", True, False)
+    assert got[3].folder == got[7].folder == "Courses/OS/Exam" and not got[3].learned_course
+    assert (got[4].folder, got[4].course) == ("Mine", "") and got[5].folder is None and got[6].folder == "Courses/Math/Exam"
+    assert filing.offered(frame.limit(0), kept, folders, mapped, []).count() == 0
+    typed = [("OS", "OS_ch1.pdf", "BS_ch1.pdf", "BS"), ("OS", "OS_ch1.pdf", "ＯＳ_ch1.pdf", None), ("OS", "OS_ch1.pdf", "OS_ch2.pdf", None), ("OS", "OS", "BS", None), ("OS", "OS_a", "_a", None), (None, "x", "y", None)]
+    rows = spark.createDataFrame(typed, "c string, n string, a string, want string").select("want", filing.taught_course(F.col("c"), F.col("n"), F.col("a")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_copies_of_a_file_with_a_view_are_filable(spark):
+    items = spark.createDataFrame([(1, "s", "kept", None), (2, "s", "candidate", None), (3, None, "kept", None), (4, "t", "kept", None), (5, "s", "missing", None), (6, "s", "kept", "bad")], "id long, sha256 string, status string, error string")
+    got = filing.filable(items, spark.createDataFrame([(1,), (1,), (3,)], "item long"))
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3] and got.columns == items.columns
