@@ -57,3 +57,23 @@ def test_run_returns_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert np.all(got.length > 0)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null, empty and blank texts, null and repeated ids, other columns with clashing names, and no rows."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    some = source.where("doc_id < 60")
+    odd = [(None, None), (900, None), (901, ""), (902, " \n "), (903, "mail me at jane@host.example or +1 (555) 123-4567 today, it is fine"), (903, "another text of the same number that says other things than the first of them"), (None, "a text without a number, which is kept apart from all the others")]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t)) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = some.select("doc_id", "text", "lang", "source", "n_chars").unionByName(rows).selectExpr("*", "'mine' as score", "7 as uid", "'x' as digest", "1 as component", "true as row", "2 as piece", "'k' as key")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, left = left, spark.createDataFrame(stage(spark, left, str(tmp_path)).collect(), docs.schema)
+        assert left.columns == docs.columns and left.count() <= before.count() and left.where("score <> 'mine' or uid <> 7 or digest <> 'x' or piece <> 2 or key <> 'k'").count() == 0
+    assert left.where("text is null and n_chars <> 0").count() == 0 and left.where("n_chars is null").count() == 0
+    assert left.where("text is null or trim(text) = ''").count() <= 1 and not [r for r in left.collect() if "jane@" in (r.text or "")]
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096 and len(packed) >= left.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
