@@ -36,7 +36,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stashed = path
+    return made
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what :func:`stash` has written, once no frame that is still to be run reads it."""
+    for df in stashed:
+        path = getattr(df, "_stashed", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -72,10 +84,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: u and its smaller neighbours hang on the least of them
         moved = large.join(small, "u")
-        now = stash(
+        before, now = now, stash(
             _directed(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))),
             f"{label}-edges",
         )
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

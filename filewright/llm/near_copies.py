@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.llm._shared import components, small_batches, stash
+from filewright.llm._shared import components, discard, small_batches, stash
 
 WORDS = 5
 #: The least similarity of a link as a fraction, so that its bounds are whole numbers.
@@ -28,6 +28,8 @@ CHUNK = 1 << 16
 #: Closest partners of a text that are compared first, and texts of a bucket that then meet its
 #: others, before all that are still apart are compared. Neither bounds what is found.
 STARS, MORE_STARS = 3, 32
+#: Counters of a set that go with its rows while pairs are formed; fewer bound less, and drop nothing.
+COUNTERS = 64
 #: Rows to compare are broadcast up to this many, one number each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -116,6 +118,18 @@ def _as_short(one: str, other: str) -> Column:
     return F.when(step == 1, F.col(one)).otherwise(F.transform(F.sequence(F.lit(0), (F.size(one) / step).cast("int") - 1), summed))
 
 
+def _most(one: str, other: str) -> Column:
+    """At most how many shingles two sets share, by their counts."""
+    return F.aggregate(F.zip_with(_as_short(one, other), _as_short(other, one), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+
+
+def _few_counters(counts: str) -> Column:
+    """At most COUNTERS counts by fewer leading bits."""
+    step = F.greatest(F.lit(1), (F.size(counts) / COUNTERS).cast("int"))
+    summed = lambda i: F.aggregate(F.slice(counts, i * step + 1, step), F.lit(0), lambda t, x: t + x)
+    return F.when(step == 1, F.col(counts)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), summed))
+
+
 def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` of rows whose whole sets share NUM / DEN or more of what both hold."""
 
@@ -123,8 +137,11 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     def every(x: pd.Series) -> pd.Series:
         return _listed(x, lambda s: s)
 
+    used: list[DataFrame] = []
+
     def rows_of(some: DataFrame, *columns) -> DataFrame:
         wanted = stash(some.select("u").union(some.select("v")).distinct().withColumnRenamed("u", "uid"), "near-wanted")
+        used.append(wanted)
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         return own.join(wanted, "uid", "left_semi").select("uid", *columns)
@@ -133,14 +150,16 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     known = rows_of(pairs, "n", "spread")
     one = known.select(F.col("uid").alias("u"), F.col("n").alias("na"), F.col("spread").alias("a"))
     two = known.select(F.col("uid").alias("v"), F.col("n").alias("nb"), F.col("spread").alias("b"))
-    most = F.aggregate(F.zip_with(_as_short("a", "b"), _as_short("b", "a"), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    possible = pairs.join(one, "u").join(two, "v").where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb")))
+    possible = pairs.join(one, "u").join(two, "v").where((NUM + DEN) * _most("a", "b") >= NUM * (F.col("na") + F.col("nb")))
+    used.append(pairs)
     pairs = stash(possible.select("u", "v"), "near-pairs")
     sets = stash(rows_of(pairs, every(F.col("text").cast("binary")).alias("hashes")), "near-sets")
     one = sets.select(F.col("uid").alias("u"), F.col("hashes").alias("a"))
     two = sets.select(F.col("uid").alias("v"), F.col("hashes").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
-    return stash(pairs.join(one, "u").join(two, "v").where((NUM + DEN) * shared >= NUM * (F.size("a") + F.size("b"))).select("u", "v"), "near-links")
+    found = stash(pairs.join(one, "u").join(two, "v").where((NUM + DEN) * shared >= NUM * (F.size("a") + F.size("b"))).select("u", "v"), "near-links")
+    discard(pairs, sets, *used)
+    return found
 
 
 def _may_be(x: str, y: str) -> str:
@@ -175,12 +194,14 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
         return _listed(x, lambda s: prefix(s, common.value))
 
     prefixes = stash(own.where("n > 0").select("uid", "n", ahead_of(F.col("text").cast("binary")).alias("first")), "near-prefixes")
+    written = prefixes
     prefixes = prefixes.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     # buckets are aggregated before they move, and a join can split the partition of a common shingle
     looked = prefixes.select("uid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "hash"))
     buckets = looked.groupBy("hash").agg(F.min(F.struct("uid", "n", "pos")).alias("star"), F.count("*").alias("rows")).where("rows > 1")
     shared = looked.join(buckets.select("hash", *(F.col(f"star.{x}").alias(f"{x}_s") for x in ("uid", "n", "pos"))), "hash")
     shared = stash(shared.selectExpr("hash", *(f"{x} as {x}_a" for x in ("uid", "n", "pos")), "uid_s", "n_s", "pos_s"), "near-shared")
+    discard(written)
 
     met = shared.where(f"uid_a <> uid_s and {_may_be('_a', '_s')}").groupBy("uid_a", "uid_s").count()
     stars = met.groupBy(F.col("uid_a").alias("v")).agg(F.max_by("uid_s", F.struct("count", "uid_s")).alias("u")).select("u", "v")
@@ -191,21 +212,27 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
         """Links that connect what ``found`` connects, one a text."""
         return stash(components(found, label).select(F.col("component").alias("u"), F.col("node").alias("v")), "near-forest")
 
+    named_by: list[DataFrame] = []
+
     def apart(trees: DataFrame) -> DataFrame:
         """The rows of buckets whose texts are in several of the trees found so far."""
         of = trees.select(F.col("v").alias("uid_a"), F.col("u").alias("component"))
         told = stash(named.join(of, "uid_a", "left").withColumn("c_a", F.coalesce("component", "uid_a")).drop("component"), "near-named")
+        named_by.append(told)
         several = told.groupBy("hash").agg(F.min("c_a").alias("least"), F.max("c_a").alias("most")).where("least < most").select("hash")
         return told.join(several, "hash")
 
     # one more round: some texts of each bucket, the same ones in all buckets, meet its others, and
     # texts that are still apart meet the rest of what SimHash found for them
     found = forest(found, "near-stars")
-    rest = stash(apart(found), "near-apart")
+    # from here on few counts of each set go with its rows: pairs whose sets cannot share enough are not formed
+    counters = own.select(F.col("uid").alias("uid_a"), _few_counters("spread").alias("spread_a"))
+    rest = stash(apart(found).join(counters, "uid_a"), "near-apart")
+    discard(*named_by)
     order = Window.partitionBy("hash").orderBy(F.xxhash64("uid_a"), "uid_a")
     numbered = rest.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MORE_STARS)
-    chosen = stash(numbered.selectExpr("hash", *(f"{x}_a as {x}_s" for x in ("uid", "n", "pos", "c"))), "near-chosen")
-    meeting = rest.join(chosen, "hash").where(f"c_a <> c_s and {_may_be('_a', '_s')}").select(F.least("uid_a", "uid_s").alias("u"), F.greatest("uid_a", "uid_s").alias("v"))
+    chosen = stash(numbered.selectExpr("hash", *(f"{x}_a as {x}_s" for x in ("uid", "n", "pos", "c", "spread"))), "near-chosen")
+    meeting = rest.join(chosen, "hash").where(F.expr(f"c_a <> c_s and {_may_be('_a', '_s')}") & ((NUM + DEN) * _most("spread_a", "spread_s") >= NUM * (F.col("n_a") + F.col("n_s")))).select(F.least("uid_a", "uid_s").alias("u"), F.greatest("uid_a", "uid_s").alias("v"))
     tree = {x: found.select(F.col("v").alias(x), F.col("u").alias(f"c_{x}")) for x in ("u", "v")}
     others = first.join(tree["u"], "u", "left").join(tree["v"], "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)")
     meeting = meeting.unionByName(others.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
@@ -216,7 +243,9 @@ def links(own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
 
     # the smaller set needs only the shorter prefix of two sets of its size
     small = rest.where(f"{NUM + DEN} * pos_a <= {DEN - NUM} * n_a")
-    large = rest.select("hash", *(F.col(f"{x}_a").alias(f"{x}_b") for x in ("uid", "n", "pos", "c")))
+    large = rest.select("hash", *(F.col(f"{x}_a").alias(f"{x}_b") for x in ("uid", "n", "pos", "c", "spread")))
     ahead = "(n_a < n_b or (n_a = n_b and uid_a < uid_b)) and c_a <> c_b"
-    pairs = small.join(large, "hash").where(f"{ahead} and {_may_be('_a', '_b')}").select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).distinct()
-    return found.unionByName(_similar(pairs, own))
+    pairs = small.join(large, "hash").where(F.expr(f"{ahead} and {_may_be('_a', '_b')}") & ((NUM + DEN) * _most("spread_a", "spread_b") >= NUM * (F.col("n_a") + F.col("n_b")))).select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).distinct()
+    last = _similar(pairs, own)
+    discard(shared, rest, chosen, *named_by)
+    return found.unionByName(last)
