@@ -61,3 +61,15 @@ def test_screen_prefers_the_name_then_the_own_key(spark):
     rows = spark.createDataFrame([("a.pem", "x"), ("a.txt", "has KEY-123"), ("a.txt", "kind: Secret"), ("a.txt", None)], "name string, text string")
     got = [r.r for r in rows.select(secrets.screen(F.col("name"), F.col("text"), "KEY-123").alias("r")).collect()]
     assert got == ["the extension is .pem", "the contents hold the key in use", "the contents hold Kubernetes Secret", None]
+
+
+def test_a_card_number_may_begin_inside_a_longer_run_of_groups(spark):
+    cases = {
+        "71.129.171.132 4815819516090933": True,  # with 132 these are 19 digits that fail the check
+        "132 4815819516090935": False,
+        "12 34 4111-1111-1111-1111 12": True,  # 22 digits
+        "4111 1111 1111 1111 5": False,  # from a group on only the longest counts
+        "4111111111111111 5 1111": False,  # these are 21 digits, the longest up to 19 are 17
+        "x4111111111111111" + "0" * 4: False,  # a group is not cut
+    }
+    assert column(spark, secrets.has_card_number, list(cases)) == list(cases.values())
