@@ -214,7 +214,8 @@ def intake_replay(spark, sf):
     folder = shared_path(spark, "intake-end")
     end.write.parquet(folder)
     closing = spark.readStream.schema(end.schema).parquet(folder)
-    return intake.replayed(spark, _observed(stream).unionByName(closing), there, _LIMITS)[0]
+    groups = max(1, events.count() // 500)  # a path has some seven events
+    return intake.replayed(spark, _observed(stream).unionByName(closing), there, _LIMITS, groups=groups)[0]
 
 
 _JOURNAL = "j AS (SELECT event_id AS seq, user_id % 10 AS plan_id, event_id % 2000 AS item_id, CASE WHEN event_type IN ('view', 'error') THEN 'quarantine' WHEN event_type = 'click' THEN 'restore' ELSE 'skip' END AS op, CASE WHEN event_id % 3 = 0 THEN 'started' ELSE 'done' END AS status, CASE WHEN event_id % 13 > 0 THEN 'm' || event_id % 4 END AS mark FROM events)"

@@ -5,6 +5,7 @@ import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from filewright.functions import untitled
@@ -212,6 +213,69 @@ def test_intake_is_the_same_in_any_batches_and_leaves_no_state(spark, tmp_path,
     assert spark.read.format("statestore").option("stateVarName", "path").load(checkpoint.removeprefix("file://")).count() == 0
 
 
+def intake_rows(spark, folder, groups):
+    rng, now = random.Random(5), int(START.timestamp() * 1000)
+    rows = [(f"f{rng.randint(0, 30)}", rng.randint(1, 2), now + rng.randint(0, 2), rng.random() < 0.1, rng.choice(["ok", "never", "later"]), t * 300) for t in range(600)]
+    for n, part in enumerate([rows[:200], rows[200:], [("~", 1, 1, True, "ok", 10**9)]]):
+        observed(spark, part).coalesce(1).write.parquet(f"{folder}/in/{n}")
+    there = spark.createDataFrame([(f"f{n}", 1, 1, START) for n in range(0, 40, 3)], intake.SEEN)
+    stream = spark.readStream.schema(intake.OBSERVED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    got, checkpoint = intake.replayed(spark, stream, there, LIMITS, groups=groups)
+    left = spark.read.format("statestore").option("stateVarName", "path").load(checkpoint.removeprefix("file://")).count()
+    return sorted(tuple(r) for r in got.collect()), naive_intake(rows, {f"f{n}" for n in range(0, 40, 3)}), left
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_paths_that_share_a_state_and_a_timer_do_not_mix(spark, tmp_path, groups):
+    got, want, left = intake_rows(spark, tmp_path, groups)
+    assert got == want and len(got) > 100
+    assert left == 0
+
+
+class Store:
+    """A state store that counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "clear", "registerTimer", "deleteTimer"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def test_the_calls_to_the_state_store_do_not_grow_with_the_paths():
+    one, store = intake.Intake(LIMITS, None), Store()
+    one.init(store)
+    rows = [Row(path=f"f{n}", size=1, mtime=10**13, gone=False, verdict="ok", at=START + timedelta(milliseconds=n)) for n in range(100)]
+    assert list(one.handleInputRows((0,), iter(rows), None)) == []
+    assert store.calls <= 5 and len(store.timers) == 1
+    again = [Row(**(r.asDict() | {"at": r.at + timedelta(hours=1)})) for r in rows]
+    assert [r.outcome for r in one.handleInputRows((0,), iter(again), None)] == ["accepted"] * 100
+    assert store.calls <= 10 and len(store.timers) == 1
+
+
 def test_a_file_is_tried_five_times_and_a_change_starts_anew():
     seen, out = intake.EMPTY, []
     now = 10**12
