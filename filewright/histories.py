@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from filewright.functions import secrets, untitled
 from filewright.operators import admission, facts, filing, groups, health, identity, learned, lookups, validation
 from filewright.queries import ORACLES, QUERIES, query
-from filewright.session import shared_path, table
+from filewright.session import shared_path, table, written
 from filewright.streaming import intake, sink
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -122,11 +122,14 @@ def plan_admission(spark, sf):
     month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
     key = F.col("o_orderkey")
     orders = table(spark, sf, "orders")
-    sent = orders.select(key.alias("seq"), key.alias("key"), month).unionByName(orders.where(key % 9 == 0).select((key + 100_000_000).alias("seq"), key.alias("key"), month))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_linenumber", "l_partkey")
-    wanted = lines.where("key % 11 <> 0").groupBy("key").agg(F.collect_list("id").alias("ids"))  # the lines of one order
-    requests = sent.join(wanted, "key", "left").select("seq", F.concat_ws("-", "month", F.floor(F.col("key") / 40).cast("string")).alias("request_id"), "ids")
-    listing = lines.where("l_linenumber < 7").join(orders.select(key.alias("key"), month), "key").select("id", F.concat_ws("-", "month", F.col("l_partkey").cast("string")).alias("item"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.struct("l_linenumber", "l_partkey").alias("line"))
+    # the lines of one order
+    dated = written(orders.select(key.alias("key"), month).join(lines.groupBy("key").agg(F.collect_list("line").alias("lines")), "key", "left"), "plans-orders")
+    sent = dated.withColumn("seq", F.col("key")).unionByName(dated.where("key % 9 = 0").withColumn("seq", F.col("key") + 100_000_000))
+    ids = F.when(F.col("key") % 11 != 0, F.transform("lines", lambda x: F.col("key") * 10 + x["l_linenumber"]))
+    requests = sent.select("seq", F.concat_ws("-", "month", F.floor(F.col("key") / 40).cast("string")).alias("request_id"), ids.alias("ids"))
+    line = dated.select("key", "month", F.explode("lines").alias("line")).where("line.l_linenumber < 7")
+    listing = line.select((F.col("key") * 10 + F.col("line.l_linenumber")).alias("id"), F.concat_ws("-", "month", F.col("line.l_partkey").cast("string")).alias("item"))
     return admission.admitted(requests, listing)
 
 

@@ -136,6 +136,25 @@ def test_plans_match_one_by_one(spark):
     assert admission.admitted(frame.limit(0), here).count() == 0
 
 
+def test_items_that_one_request_alone_wants_leave_the_rounds(spark):
+    wants = spark.createDataFrame([(seq, f"own {seq}") for seq in range(500)] + [(seq, "hot") for seq in range(20, 60)] + [(30, "two"), (600, "two"), (59, "end"), (700, "end")], "seq long, key string")
+    contested = admission.shared(wants)
+    assert contested.count() == 44
+    assert {r.first for r in contested.where("key = 'hot'").collect()} == {20}
+    # 30 is refused for 20's sake, so that its other key goes to 600
+    assert sorted(r.seq for r in admission.refused(contested).collect()) == list(range(21, 60))
+    assert admission.refused(admission.shared(wants.where("key like 'own%'"))).count() == 0
+
+
+def test_many_plans_for_few_items_match_one_by_one(spark):
+    rng = random.Random(3)
+    listing = {n: min(n % 50, 40) for n in range(200)}
+    requests = [(seq, rng.choice([None, f"r{rng.randint(0, 150)}"]), rng.sample(range(201), rng.randint(0, 3)) or None) for seq in range(400)]
+    frame = spark.createDataFrame(requests, "seq long, request_id string, ids array<long>")
+    got = sorted(tuple(r) for r in admission.admitted(frame, spark.createDataFrame(list(listing.items()), "id long, item long")).collect())
+    assert got == naive_plans(requests, listing)
+
+
 # --- identity ---
 
 
