@@ -1,16 +1,18 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
 Components become integers. A block of rows is indexed as one posting list per dimension,
-ordered by value. For a query, a posting's impact is what it adds to the score over the least
-that its dimension can add; segments of all lists are processed by descending quantised impact.
-A row's score lies between what it has and that plus the current impact level for every
-dimension not met yet. Processing stops once that proves all but a few rows out, and every row
-not proved out is rescored exactly.
+ordered by value and cut into segments. For a query, a posting's impact is what it adds to the score
+over the least that its dimension can add, and a segment's impact is its highest. The segments of all
+lists whose impact reaches a level are added up, for all queries of a strip in one product; what a row
+may get from the others is bounded by the highest impact that is left in each dimension. Processing
+goes down the levels and stops once that proves all but a few rows out, and every row not proved out
+is rescored exactly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -24,11 +26,11 @@ from filewright.llm.vectors import blocks, matrix, numbered, usable
 SCALE, K, EVERY = 64, 20, 20
 #: Rows of an indexed block and queries of a query block, on average: they bound a task's memory.
 BLOCK_ROWS, QUERY_ROWS = 8192, 8192
-#: Impact levels of a query as parts of its highest impact, in the order of processing; whether
-#: processing may stop is tried from CHECK_FROM on, once all but one row in REST are proved out.
-LEVELS, CHECK_FROM, REST = (0.4, 0.2, 0.1, 0.06, 0.03, 0.015, 0.0), 0.1, 8
-#: Segments of more than one row in DENSE are read as a range of a column, shorter ones as a list.
-DENSE = 24
+#: Impact levels of a query as parts of its highest impact, in the order of processing, which stops
+#: once all but one row in REST are proved out.
+LEVELS, REST = (0.1, 0.03, 0.0), 8
+#: Segments of a posting list, of about as many rows each, and queries that are processed at once.
+SEGMENTS, STRIP = 4, 256
 #: Scores are summed in single precision, which is exact for whole numbers below this.
 EXACT = 1 << 24
 #: Rows with a component of this size or more are in no posting list: they are rescored for every query.
@@ -40,20 +42,23 @@ _TURNED = str.maketrans("0123456789", "9876543210")
 
 
 class Index:
-    """Posting lists of one block of integer rows, each ordered by value."""
+    """Posting lists of one block of integer rows, each ordered by value and cut into segments."""
 
     def __init__(self, rows: np.ndarray):
         self.rows, (self.n, self.dims) = rows, rows.shape
-        order = np.argsort(rows, axis=0, kind="stable").T
-        self.ids = order.reshape(-1)
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
         self.span = self.high - self.low
         above = (rows - self.low).T  # per dimension, how far each row is above the least value
-        # all lists as one ascending array, for one search over every dimension and level
-        self.step = int(self.span.max()) + 2
-        self.keys = (np.arange(self.dims)[:, None] * self.step + np.take_along_axis(above, order, axis=1)).reshape(-1)
-        self.above = np.ascontiguousarray(above, np.float32)
-        self.below = np.ascontiguousarray(self.span[:, None] - above, np.float32)
+        ordered = np.sort(above, axis=1)
+        # equal values lie in one segment, so some may be empty
+        begins = ordered[:, [self.n * i // SEGMENTS for i in range(1, SEGMENTS)]]
+        place = (above[:, None, :] >= begins[:, :, None]).sum(axis=1, dtype=np.int8)
+        inside = place[:, None, :] == np.arange(SEGMENTS)[:, None]
+        self.filled = inside.any(axis=2)
+        self.least = np.where(inside, above[:, None, :], self.span[:, None, None]).min(axis=2)
+        self.best = np.where(inside, above[:, None, :], 0).max(axis=2)
+        # what each segment holds of each row, and whether it holds it
+        self.lists = np.concatenate([np.where(inside, above[:, None, :], 0), inside]).reshape(-1, self.n).astype(np.float32)
         self.most, self.floats = np.abs(rows).max(axis=0), rows.astype(np.float64)
 
     def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -67,51 +72,44 @@ class Index:
 
     def possible(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best; rows at ``own`` are none of the candidates."""
-        weight = np.abs(query)
-        peaks = weight * self.span
-        used = np.flatnonzero(peaks > 0)
-        if not len(used) or self.n - len(own) <= 2 * k or peaks.sum() >= EXACT:
-            return np.setdiff1d(np.arange(self.n), own)
-        weight, peaks, up, span = weight[used], peaks[used], query[used] > 0, self.span[used]
-        levels = np.unique(np.ceil(int(peaks.max()) * np.array(LEVELS)).astype(np.int64))[::-1]
-        least = -(-levels[:, None] // weight)  # how far above a list's least value an impact of a level begins
-        met, reach = least <= span, np.minimum(least, span)
-        rising = self.keys.searchsorted((used * self.step + reach).reshape(-1)).reshape(reach.shape)
-        falling = self.keys.searchsorted((used * self.step + span - reach).reshape(-1), "right").reshape(reach.shape)
-        start = np.where(up, (used + 1) * self.n, used * self.n)
-        edges = np.where(met, np.where(up, rising, falling), start)
-        have, seen = np.zeros(self.n, np.float32), np.zeros(self.n, np.int16)
-        before = np.full(len(used), np.iinfo(np.int64).max)
-        least_sum = int(query[used] @ np.where(up, self.low[used], self.high[used]))  # what every row has at least
-        least_sum += int(query @ self.low) - int(query[used] @ self.low[used])  # and has in lists of one value
-        for level, edge, reached in zip(levels.tolist(), edges, least, strict=True):
-            first, last = np.minimum(start, edge), np.maximum(start, edge)
-            some = np.flatnonzero(last > first)
-            for x, y, rise, w, d, low, high in zip(*(z[some].tolist() for z in (first, last, up, weight, used, reached, before)), strict=True):
-                values = self.above[d] if rise else self.below[d]
-                if (y - x) * DENSE > self.n:
-                    inside = values >= low if high > self.span[d] else (values >= low) & (values < high)
-                    have += values * np.float32(w) * inside
-                    seen += inside
-                else:  # a list holds each row once, so it is added in place
-                    ids = self.ids[x:y]
-                    have[ids] += values[ids] * np.float32(w)
-                    seen[ids] += 1
-            start, before = edge, reached
-            if level and level > CHECK_FROM * peaks.max():
-                continue
-            have[own] = -np.inf
-            large = peaks >= level
-            rest = (np.count_nonzero(large) - seen.astype(np.int64)) * max(level - 1, 0) + (peaks[~large].sum() if level else 0)
-            # the k-th best whole score of the rows that lead so far is a bound for the k-th best of all
-            lead = np.argpartition(have, -2 * k)[-2 * k :]
-            lead = lead[have[lead] >= 0]
-            whole = self.scores(lead, query) - least_sum
-            kth = np.partition(whole, -k)[-k]
-            may = np.flatnonzero((have + rest >= kth) & (have >= 0))
-            if not level or len(may) * REST <= self.n:
-                return may
-        raise AssertionError("the last level is zero")
+        return next(self.each_possible(query[None, :], k, [own]))
+
+    def each_possible(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """:meth:`possible` of each query, a strip of queries at a time."""
+        for at in range(0, len(queries), STRIP):
+            strip, owned = queries[at : at + STRIP], own[at : at + STRIP]
+            found: list = [None] * len(strip)
+            peaks = np.abs(strip).astype(np.float64) * self.span
+            left = np.flatnonzero((peaks > 0).any(axis=1) & (peaks.sum(axis=1) < EXACT // 2) & np.array([self.n - len(x) > 2 * k for x in owned], bool))
+            for n in np.setdiff1d(np.arange(len(strip)), left):
+                found[n] = np.setdiff1d(np.arange(self.n), owned[n])
+            for part in LEVELS:
+                if len(left):
+                    rows = self._open(strip[left], k, [owned[n] for n in left], part)
+                    for n, x in zip(left, rows, strict=True):
+                        found[n] = x if not part or len(x) * REST <= self.n else None
+                    left = np.array([n for n in left if found[n] is None], int)
+            yield from found
+
+    def _open(self, queries: np.ndarray, k: int, own: list[np.ndarray], part: float) -> list[np.ndarray]:
+        """The rows that are not proved out once all segments down to ``part`` of a query's highest impact are added."""
+        weight, up = np.abs(queries)[:, :, None], (queries > 0)[:, :, None]
+        impact = weight * np.where(up, self.best, self.span[:, None] - self.least) * self.filled
+        met = impact >= np.ceil(impact.max(axis=(1, 2), keepdims=True) * part)
+        rest = np.where(met, 0, impact).max(axis=2)  # the highest impact that is left in a dimension
+        # a row has its impact where its segment is met and the highest that is left elsewhere
+        by_value = np.where(met, np.where(up, weight, -weight), 0)
+        by_place = np.where(met, np.where(up, 0, weight * self.span[:, None]) - rest[:, :, None], 0)
+        most = np.concatenate([by_value, by_place], axis=1).reshape(len(queries), -1).astype(np.float32) @ self.lists
+        most += rest.sum(axis=1, dtype=np.int64).astype(np.float32)[:, None]
+        for n, rows in enumerate(own):
+            most[n, rows] = -np.inf
+        # the k-th best whole score of the rows that lead so far is a bound for the k-th best of all
+        lead = np.argpartition(most, -2 * k, axis=1)[:, -2 * k :]
+        least = np.where(queries > 0, self.low, self.high)  # what every row has at least
+        whole = np.einsum("nkd,nd->nk", self.floats[lead] - least[:, None, :], queries.astype(np.float64))
+        kth = np.partition(whole, -k, axis=1)[:, -k]
+        return [np.flatnonzero(x >= y) for x, y in zip(most, kth.astype(np.float32), strict=True)]
 
 
 def whole(vectors: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +152,19 @@ def _search(queries: pa.Table, rows: pa.Table, k: int, scale: int) -> pa.Table:
     uids = rows["uid"].to_numpy()
     by_uid = np.argsort(uids, kind="stable")
     out: list[list] = [[], [], []]
-    for n, (uid, query) in enumerate(zip(queries["uid"].to_numpy(), wanted, strict=True)):
-        at = np.searchsorted(uids, uid, sorter=by_uid)
-        own = by_uid[at : at + 1] if at < len(uids) and uids[by_uid[at]] == uid else by_uid[:0]
+    at = np.minimum(np.searchsorted(uids, queries["uid"].to_numpy(), sorter=by_uid), len(uids) - 1)
+    own = [by_uid[x : x + 1] if uids[by_uid[x]] == uid else by_uid[:0] for x, uid in zip(at, queries["uid"].to_numpy(), strict=True)]
+    # wide rows are in no list; what a wide query gets is computed below
+    passed = [np.union1d(x, np.flatnonzero(wide)) for x in own] if beyond else own
+    for n, (query, maybe) in enumerate(zip(wanted, index.each_possible(wanted, k, passed), strict=True)):
         if far[n] or beyond:
             exact = big(asked[n], scale)
-            found = np.setdiff1d(np.arange(len(values)), own) if far[n] else np.union1d(np.setdiff1d(index.possible(query, k, np.union1d(own, np.flatnonzero(wide))), own), np.setdiff1d(np.flatnonzero(wide), own))
+            found = np.setdiff1d(np.arange(len(values)), own[n]) if far[n] else np.union1d(maybe, np.setdiff1d(np.flatnonzero(wide), own[n]))
             score = values[found].astype(object) @ exact if far[n] else index.scores(found, query).astype(object)
             for place in np.flatnonzero(wide[found]):
                 score[place] = int(beyond[int(found[place])] @ exact)
         else:
-            found = index.possible(query, k, own)
+            found = maybe
             score = index.scores(found, query)
         best = np.array(sorted(range(len(score)), key=lambda i: -score[i])[:k], int) if score.dtype == object else np.argsort(-score, kind="stable")[:k]
         out[0].append(np.full(len(best), n))

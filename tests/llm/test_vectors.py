@@ -99,6 +99,24 @@ def test_index_proves_rows_out_and_keeps_every_member():
     assert set(index.possible(np.zeros(32, int), 20, np.array([1])).tolist()) == set(range(3000)) - {1}
 
 
+def test_strips_of_queries_prove_rows_out_at_any_level(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-30, 30, (1000, 16))
+    rows[:, 3], rows[:, 5] = 7, rng.integers(0, 2, 1000)  # lists of one value and of two
+    rows[200:230] = rows[200]
+    index, queries = topk.Index(rows), np.concatenate([rows[::20], np.zeros((1, 16), int), 10**6 * rows[:1]])
+    own = [np.array([n]) for n in [*range(0, 1000, 20), 1, 2]]
+    score = queries.astype(object) @ rows.T.astype(object)
+    monkeypatch.setattr(topk, "STRIP", 7)
+    for levels in ((0.5, 0.2, 0.0), (0.1, 0.0), (0.0,)):
+        monkeypatch.setattr(topk, "LEVELS", levels)
+        for n, left in enumerate(index.each_possible(queries, 20, own)):
+            best = sorted(set(range(1000)) - {int(own[n][0])}, key=lambda i: -score[n, i])
+            ties = {i for i in best if score[n, i] >= score[n, best[19]]}
+            assert ties <= set(left.tolist()) and own[n][0] not in left
+    assert len(left) == 999 and len(list(index.each_possible(queries[:0], 20, []))) == 0
+
+
 def test_large_components_take_part(spark):
     rows = [(20, [300000.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [1e9, -1.0]), (40, [1e300, 0.0]), (60, [0.5, 0.25])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
